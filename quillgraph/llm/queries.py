@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, lm, minhash, mixing, suffix_dedup
+from . import chat, decontaminate, exact_dedup, lm, minhash, mixing, suffix_dedup
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.decide(table(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
@@ -34,5 +38,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_paths(chat.linear(rows)))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op3_exact_dedup, op4_suffix_dedup, op6_lm_scoring, op8_mixing, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op3_exact_dedup, op4_suffix_dedup, op5_decontaminate, op6_lm_scoring, op8_mixing, op10_chat)}
 ORACLES: dict[str, str] = {}
