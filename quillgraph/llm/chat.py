@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut, drop_cut
+from .common import cut
 
 _CONTROL = r"/?(?:s>|INST\]|SYS\]|OUT\]|ROLE)"
 _HEADS = {"user": "[INST] ", "system": "[SYS] ", "assistant": "[OUT] "}
@@ -50,26 +50,32 @@ def chosen_paths(tree: DataFrame, top: int = 1) -> DataFrame:
     edges = tree.select("conv_id", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
     known = edges.join(ids, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("parent") == F.col("n")), "left")
     now = cut(known.select("conv_id", "node", F.col("n").alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total")), "chat-up")
-    n, jumps = now.count(), [now]
-    while (1 << (len(jumps) - 1)) <= max(n, 1) and not now.where("up is not null").isEmpty():
-        above = now.select(F.col("conv_id").alias("c"), F.col("node").alias("a"), F.col("up").alias("next"), F.col("depth").alias("d"), F.col("total").alias("t"))
-        now = cut(
-            now.join(above, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("up") == F.col("a")), "left").select(
-                "conv_id", "node", F.col("next").alias("up"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("t", F.lit(0.0))).alias("total")
-            ),
-            "chat-up",
-        )
-        jumps.append(now)
-    parents = jumps[0].where("up is not null").select(F.col("conv_id").alias("c"), F.col("up").alias("a")).distinct()
-    leaves = now.where("up is null").join(parents, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("a")), "left_anti")
+    n, ended, jumps = now.count(), [now.where("up is null")], []
+    # only nodes that haven't reached their root yet are joined again
+    active = now.where("up is not null")
+    while (1 << len(jumps)) <= 2 * max(n, 1) and not active.isEmpty():
+        jumps.append(active)
+        all_ = active
+        for x in ended:
+            all_ = all_.unionByName(x)
+        above = all_.select(F.col("conv_id").alias("c"), F.col("node").alias("a"), F.col("up").alias("next"), F.col("depth").alias("d"), F.col("total").alias("t"))
+        far = active.join(above, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("up") == F.col("a"))).select("conv_id", "node", F.col("next").alias("up"), (F.col("depth") + F.col("d")).alias("depth"), (F.col("total") + F.col("t")).alias("total"))
+        far = cut(far, "chat-up")
+        ended.append(far.where("up is null"))
+        active = far.where("up is not null")
+    rooted = ended[0]
+    for x in ended[1:]:
+        rooted = rooted.unionByName(x)
+    parents = now.where("up is not null").select(F.col("conv_id").alias("c"), F.col("up").alias("a")).distinct()
+    leaves = rooted.join(parents, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("a")), "left_anti")
     rank = F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("total"), "node"))
     best = leaves.withColumn("rank", rank).where(F.col("rank") <= top)
     rows = best.select("conv_id", "rank", "node")
-    for jump in jumps[:-1]:
-        up = jump.where("up is not null").select(F.col("conv_id").alias("c"), F.col("node").alias("a"), "up")
+    for jump in jumps:
+        up = jump.select(F.col("conv_id").alias("c"), F.col("node").alias("a"), "up")
         more = rows.join(up, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("a"))).select("conv_id", "rank", F.col("up").alias("node"))
         rows = cut(rows.unionByName(more), "chat-path")
-    depth = now.select(F.col("conv_id").alias("c"), F.col("node").alias("a"), "depth")
+    depth = rooted.select(F.col("conv_id").alias("c"), F.col("node").alias("a"), "depth")
     return rows.join(depth, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("a"))).select("conv_id", "rank", "node", "depth")
 
 

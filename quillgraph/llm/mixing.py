@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, drop_cut
+from .common import WORD, cut
 
 #: Documents in a chunk of the flight phase.
 CHUNK = 4096
