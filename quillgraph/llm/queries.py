@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, exact_dedup, lm, minhash, mixing, suffix_dedup
+from . import chat, decontaminate, exact_dedup, lm, minhash, mixing, quality, suffix_dedup
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classify(table(spark, sf_dir, "documents"), n=4)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -38,5 +42,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_paths(chat.linear(rows)))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op3_exact_dedup, op4_suffix_dedup, op5_decontaminate, op6_lm_scoring, op8_mixing, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_quality, op3_exact_dedup, op4_suffix_dedup, op5_decontaminate, op6_lm_scoring, op8_mixing, op10_chat)}
 ORACLES: dict[str, str] = {}
