@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, exact_dedup, lm, minhash, mixing, quality, suffix_dedup
+from . import chat, decontaminate, exact_dedup, html_text, licenses, lm, minhash, mixing, quality, suffix_dedup
 from .common import table
 
 
@@ -32,15 +32,23 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.sql("select * from values (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') as t(conv_id, turn, role, text)")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return chat.digests(chat.format_paths(chat.linear(rows)))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_quality, op3_exact_dedup, op4_suffix_dedup, op5_decontaminate, op6_lm_scoring, op8_mixing, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_quality, op3_exact_dedup, op4_suffix_dedup, op5_decontaminate, op6_lm_scoring, op7_licenses, op8_mixing, op9_html_text, op10_chat)}
 ORACLES: dict[str, str] = {}
