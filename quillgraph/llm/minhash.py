@@ -10,8 +10,11 @@
 3. Signature verification drops proposed pairs whose minima agree in under `slack` of all places (0.6: over five
    standard deviations below 0.8), then full shingle sets decide exactly.
 4. Components of the confirmed links, by alternating large-star and small-star. A bucket that now lies in one component
-   is done. Of the others, those of up to SMALL members propose their pairs across components; larger ones are dealt
-   into finer buckets by a further band, whose leaders propose again, and so on until none is left.
+   is done. Of the others, those of up to SMALL members propose their pairs across components. Larger ones are documents
+   that share much without being near copies of their leader: they are joined to clusters, dealt by windows of set size
+   into chunks of about CHUNK documents, and each pair of chunks takes the exact intersections of all its sets as one
+   product of sparse matrices, and gives at most one link for each pair of components that it joins. No bucket is capped,
+   and no task holds more than two chunks; what is left quadratic is that product, in the size of such a cluster.
 
 Defined cases: words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z. A text of fewer than n words is its whole
 word sequence as one shingle; without words (empty, white space or null) the set is empty and linked with nothing.
@@ -34,6 +37,8 @@ from .components import components
 BANDS, ROWS, SLACK = 32, 4, 0.6
 #: Members of a bucket up to which pairs across its components are proposed; larger ones are split first.
 SMALL = 64
+#: Documents in a chunk of a cluster, and columns of a matrix of shingles at once.
+CHUNK, COLUMNS = 768, 4096
 #: Of the 128 lowest bits of minima, so many may differ in proposed pairs (13 are expected at 0.8, with a deviation of 3.4).
 BITS_APART = 34
 #: Shingles whose minima are taken in one numpy pass.
@@ -173,46 +178,139 @@ def _stars(bucket: DataFrame, percent: int) -> DataFrame:
 
 def _meeting(rows: DataFrame) -> DataFrame:
     """The rows whose key occurs more than once."""
-    again = rows.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("members")).where("members > 1")
-    return rows.join(again, F.col("key") == F.col("k")).drop("k", "members")
+    again = C.cut(rows.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("members")).where("members > 1").select("k"), "minhash-keys")
+    return C.only(rows, "key", again, "k")
 
 
-def classify(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, slack: float = SLACK, small: int = SMALL) -> DataFrame:
+def _class(n, percent: int):
+    """Sets as similar as percent are of one size class or of neighbouring ones."""
+    return F.floor(F.log(n) / F.log(F.lit(100.0 / percent)) + 1e-9)
+
+
+def _sets(n: int):
+    def run(batches):
+        for part, data, at in C.blocks(batches):
+            h, bounds = shingle_hashes(C.LOWER[data], at, n)
+            sets = [np.unique(h[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], names=["s_id", "set"])
+
+    return run
+
+
+def cross_links(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """For all (i, j), whether left[i] and right[j] (sorted distinct hashes) are as similar as percent."""
+    n = len(left)
+    flat = np.concatenate([*left, *right])
+    owner = np.repeat(np.arange(n + len(right)), [len(x) for x in (*left, *right)])
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times > 1  # the others can't be in an intersection
+    number = np.cumsum(shared) - 1
+    use = shared[column]
+    owner, column = owner[use], number[column[use]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((n, len(right)), np.float32)
+    for lo in range(0, int(shared.sum()), COLUMNS):
+        i, j = np.searchsorted(column, (lo, lo + COLUMNS))
+        m = np.zeros((n + len(right), min(COLUMNS, int(shared.sum()) - lo)), np.float32)
+        m[owner[i:j], column[i:j] - lo] = 1
+        both += m[:n] @ m[n:].T
+    sizes = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None, :]
+    return (100 + percent) * both >= percent * sizes
+
+
+def _chunk_pairs(percent: int):
+    """Rows sorted by pair of chunks; gives links that join the components of a pair."""
+
+    def solve(rows):
+        if not rows or not any(r[1] == 0 for r in rows) or not any(r[1] == 1 for r in rows):
+            return [], []
+        a, b = ([r for r in rows if r[1] == side] for side in (0, 1))
+        hit = cross_links([r[4] for r in a], [r[4] for r in b], percent)
+        root: dict[int, int] = {}
+
+        def find(x):
+            while root.get(x, x) != x:
+                x = root[x] = root.get(root[x], root[x])
+            return x
+
+        us, vs = [], []
+        for i, j in zip(*np.nonzero(hit), strict=True):
+            x, y = find(a[i][3]), find(b[j][3])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                us.append(a[i][2])
+                vs.append(b[j][2])
+        return us, vs
+
+    def run(batches):
+        now, rows = None, []
+        for batch in batches:
+            us, vs = [], []
+            for pair, side, doc_id, comp, raw in zip(*(batch.column(c).to_pylist() for c in ("pair", "side", "doc_id", "comp", "set")), strict=True):
+                if pair != now:
+                    u, v = solve(rows)
+                    us += u
+                    vs += v
+                    now, rows = pair, []
+                rows.append((pair, side, doc_id, comp, np.frombuffer(raw, np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+        us, vs = solve(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def _cluster_links(large: DataFrame, docs: DataFrame, n: int, percent: int, chunk: int) -> DataFrame:
+    """Links across components between all members of large buckets that meet, directly or not."""
+    lead = large.groupBy(F.col("key").alias("k")).agg(F.min("doc_id").alias("u"))
+    cluster = components(large.join(lead, F.col("key") == F.col("k")).select("u", F.col("doc_id").alias("v")))
+    member = large.select("doc_id", "n", "comp").distinct().join(cluster, F.col("doc_id") == F.col("id"), "left").select("doc_id", "comp", F.coalesce("component", "doc_id").alias("cluster"), _class(F.col("n"), percent).alias("class"))
+    member = C.cut(member, "minhash-cluster")
+    size = member.groupBy(F.col("cluster").alias("x"), F.col("class").alias("y")).agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
+    of = lambda shift, name: size.select(F.col("x").alias(f"x{name}"), (F.col("y") - shift).alias(f"y{name}"), F.col("chunks").alias(name))
+    for shift, name in ((0, "own"), (1, "above"), (-1, "below")):
+        member = member.join(of(shift, name), (F.col("cluster") == F.col(f"x{name}")) & (F.col("class") == F.col(f"y{name}")), "left").drop(f"x{name}", f"y{name}")
+    member = member.withColumn("c", F.pmod(F.xxhash64("doc_id"), F.col("own")).cast("int"))
+    to = lambda x: F.sequence(F.lit(0), F.coalesce(F.col(x), F.lit(0)) - 1)
+    some = lambda x, f: F.when(F.coalesce(F.col(x), F.lit(0)) > 0, F.transform(to(x), f)).otherwise(F.array().cast("array<struct<a:int,b:int,k:int,side:int>>"))
+    row = lambda a, b, k, side: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), F.lit(k).alias("k"), side.cast("int").alias("side"))
+    # a pair of chunks of one class, with both sides in a chunk's pair with itself; then pairs with the class above
+    same = some("own", lambda i: row(F.least(i, F.col("c")), F.greatest(i, F.col("c")), 0, (i < F.col("c")).cast("int")))
+    twice = F.array(row(F.col("c"), F.col("c"), 0, F.lit(1)))
+    pairs = F.concat(same, twice, some("above", lambda i: row(F.col("c"), i, 1, F.lit(0))), some("below", lambda i: row(i, F.col("c"), 1, F.lit(1))))
+    dealt = member.select("doc_id", "comp", "cluster", "class", F.explode(pairs).alias("p"))
+    low = F.when((F.col("p.k") == 1) & (F.col("p.side") == 1), F.col("class") - 1).otherwise(F.col("class"))
+    dealt = dealt.select("doc_id", "comp", F.xxhash64("cluster", low, "p.k", "p.a", "p.b").alias("pair"), F.col("p.side").alias("side"))
+    ids = C.cut(member.select("doc_id").distinct().withColumnRenamed("doc_id", "d"), "minhash-ids")
+    sets = C.only(docs, "doc_id", ids, "d").mapInArrow(_sets(n), "s_id long, set binary")
+    return dealt.join(sets, F.col("doc_id") == F.col("s_id")).select("pair", "side", "doc_id", "comp", "set").repartition("pair").sortWithinPartitions("pair", "doc_id").mapInArrow(_chunk_pairs(percent), "u long, v long")
+
+
+def classify(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, slack: float = SLACK, small: int = SMALL, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = C.cut(sign(docs, n, bands, rows), "minhash-signed")
     classes = signed.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
     member = C.cut(signed.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2"], "left").select("doc_id", "n_shingles", "rep"), "minhash-member")
-    first = member.where("doc_id = rep").select(F.col("rep").alias("r")).distinct()
-    reps = signed.join(first, F.col("doc_id") == F.col("r"), "left_semi").select("doc_id", F.col("n_shingles").alias("n"), "b1", "b2", "sig", "band")
-    met = _meeting(reps.select("doc_id", "n", "b1", "b2", F.posexplode("band").alias("used", "key")))
-    size = F.floor(F.log("n") / F.log(F.lit(100.0 / percent)) + 1e-9)
-    bucket = C.cut(_meeting(met.withColumn("size", F.explode(F.array(size, size + 1))).select("doc_id", "n", "b1", "b2", "used", F.xxhash64("key", "size").alias("key"))), "minhash-bucket")
+    first = C.cut(member.where("doc_id = rep").select(F.col("rep").alias("r")).distinct(), "minhash-rep")
+    reps = C.only(signed, "doc_id", first, "r").select("doc_id", F.col("n_shingles").alias("n"), "b1", "b2", "sig", "band")
+    met = C.cut(_meeting(reps.select("doc_id", F.explode("band").alias("key"))), "minhash-met")
+    own = C.only(reps, "doc_id", C.cut(met.select(F.col("doc_id").alias("d")).distinct(), "minhash-ids"), "d").select(F.col("doc_id").alias("d"), "n", "b1", "b2")
+    size = _class(F.col("n"), percent)
+    bucket = C.cut(_meeting(met.join(own, F.col("doc_id") == F.col("d")).select("doc_id", "n", "b1", "b2", F.explode(F.array(F.xxhash64("key", size), F.xxhash64("key", size + 1))).alias("key"))), "minhash-bucket")
     proposed = C.cut(_stars(bucket, percent), "minhash-pairs")
-    tried, found = [proposed], []
-    while True:
-        found.append(C.cut(links(proposed, reps, docs, n, percent, bands, rows, slack), "minhash-links"))
-        edges = found[0]
-        for x in found[1:]:
-            edges = edges.unionByName(x)
-        comp = components(edges)
-        at = bucket.join(comp, F.col("doc_id") == F.col("id"), "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("id", "component")
-        state = at.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi and members > 2")
-        left = C.cut(at.join(state, F.col("key") == F.col("k")).drop("k", "lo", "hi"), "minhash-open")
-        x, y = left.where(F.col("members") <= small).alias("x"), left.where(F.col("members") <= small).alias("y")
-        across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.comp") != F.col("y.comp"))).where(_pairs("x", "y", percent))
-        across = across.select(F.col("x.doc_id").alias("u"), F.col("y.doc_id").alias("v")).distinct()
-        large = left.where(F.col("members") > small)
-        more = large.join(C.only(reps, "doc_id", large.select(F.col("doc_id").alias("d")).distinct(), "d").select(F.col("doc_id").alias("d"), "band"), F.col("doc_id") == F.col("d"))
-        more = more.select("doc_id", "n", "b1", "b2", F.col("key").alias("from"), F.col("used").alias("last"), F.posexplode("band").alias("used", "band")).where("used > last")
-        bucket = C.cut(_meeting(more.select("doc_id", "n", "b1", "b2", "used", F.xxhash64("from", "used", "band").alias("key"))), "minhash-bucket")
-        proposed = across.unionByName(_stars(bucket, percent)).distinct()
-        for x in tried:
-            proposed = proposed.join(x, ["u", "v"], "left_anti")
-        proposed = C.cut(proposed, "minhash-pairs")
-        tried.append(proposed)
-        if proposed.isEmpty() and bucket.isEmpty():
-            break
+    found = C.cut(links(proposed, reps, docs, n, percent, bands, rows, slack), "minhash-links")
+    comp = components(found)
+    at = bucket.join(comp, F.col("doc_id") == F.col("id"), "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("id", "component")
+    state = at.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi and members > 2")
+    left = C.cut(at.join(state, F.col("key") == F.col("k")).drop("k", "lo", "hi"), "minhash-open")
+    x, y = left.where(F.col("members") <= small).alias("x"), left.where(F.col("members") <= small).alias("y")
+    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.comp") != F.col("y.comp"))).where(_pairs("x", "y", percent))
+    across = C.cut(across.select(F.col("x.doc_id").alias("u"), F.col("y.doc_id").alias("v")).distinct().join(proposed, ["u", "v"], "left_anti"), "minhash-pairs")
+    edges = found.unionByName(C.cut(links(across, reps, docs, n, percent, bands, rows, slack), "minhash-links"))
+    edges = edges.unionByName(C.cut(_cluster_links(left.where(F.col("members") > small), docs, n, percent, chunk), "minhash-links"))
+    comp = components(edges)
     named = member.join(comp, F.col("rep") == F.col("id"), "left")
     component = F.coalesce("component", "rep", "doc_id")
     return named.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
