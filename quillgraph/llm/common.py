@@ -54,7 +54,7 @@ def drop_cut(df: DataFrame) -> None:
 
 
 #: Ids up to which a filter by them is broadcast, after counting them; beyond, it is a shuffled join.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 200_000
 
 
 def only(df: DataFrame, column: str, ids: DataFrame, key: str) -> DataFrame:

@@ -109,56 +109,55 @@ def sign(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, b1 long, b2 long, sig binary, band array<long>")
 
 
-def _agree(bands: int, rows: int, slack: float):
-    """Keeps pairs (u, v) whose signatures agree in slack of all places at least."""
+def _confirm(n: int, percent: int, slack: float):
+    """Rows sorted by (u, salt, kind): u, then the v to compare with it, each with its minima and its text. Gives the links (u, v)."""
 
     def run(batches):
+        sig = text = own = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, bands * rows) for c in ("su", "sv"))
-            good = pa.array((x == y).mean(axis=1) >= slack)
-            yield batch.select(["u", "v"]).filter(good)
-
-    return run
-
-
-def _confirm(n: int, percent: int):
-    """Rows sorted by (u, salt, kind): the text of u, then those of the v to compare with it. Gives the links (u, v)."""
-
-    def run(batches):
-        own = None
-        for part, data, at in C.blocks(batches):
-            h, bounds = shingle_hashes(C.LOWER[data], at, n)
             us, vs = [], []
-            u, v, kind = (part.column(c).to_numpy(zero_copy_only=False) for c in ("u", "v", "kind"))
-            for i in range(part.num_rows):
-                s = np.unique(h[bounds[i] : bounds[i + 1]])
-                if kind[i] == 0:
-                    own = s
+            cols = [batch.column(c).to_pylist() for c in ("u", "v", "kind", "sig", "raw")]
+            for u, v, kind, minima_, raw in zip(*cols, strict=True):
+                if kind == 0:
+                    sig, text, own = np.frombuffer(minima_, np.uint32), raw, None
+                    continue
+                if (sig == np.frombuffer(minima_, np.uint32)).mean() < slack:
                     continue
+                if own is None:
+                    own = _set_of(text, n)
+                s = _set_of(raw, n)
                 both = len(np.intersect1d(own, s, assume_unique=True))
                 if 100 * both >= percent * (len(own) + len(s) - both):
-                    us.append(u[i])
-                    vs.append(v[i])
+                    us.append(u)
+                    vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     return run
 
 
-def links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int, bands: int, rows: int, slack: float) -> DataFrame:
+def _set_of(text: bytes, n: int) -> np.ndarray:
+    data = C.LOWER[np.frombuffer(text, np.uint8)]
+    return np.unique(shingle_hashes(data, np.array([0, len(data)]), n)[0])
+
+
+def links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int, slack: float) -> DataFrame:
     """The pairs (u, v) of class representatives that are as similar as percent."""
-    ids = C.cut(pairs.select(F.explode(F.array("u", "v")).alias("d")).distinct(), "minhash-ids")
-    sig = C.only(reps, "doc_id", ids, "d").select(F.col("doc_id").alias("d"), "sig")
-    close = pairs.join(sig.withColumnRenamed("sig", "su"), F.col("u") == F.col("d")).drop("d").join(sig.withColumnRenamed("sig", "sv"), F.col("v") == F.col("d")).drop("d")
-    close = C.cut(close.select("u", "v", "su", "sv").mapInArrow(_agree(bands, rows, slack), "u long, v long"), "minhash-close")
     # a u with many partners is dealt over as many groups as they need
-    size = close.groupBy(F.col("u").alias("w")).agg(F.ceil(F.count("*") / 256).alias("groups"))
-    salted = close.join(size, F.col("u") == F.col("w")).select("u", "v", F.pmod(F.xxhash64("v"), F.col("groups")).alias("salt"))
+    size = pairs.groupBy(F.col("u").alias("w")).agg(F.ceil(F.count("*") / 256).alias("groups"))
+    salted = C.cut(pairs.join(size, F.col("u") == F.col("w")).select("u", "v", F.pmod(F.xxhash64("v"), F.col("groups")).alias("salt")), "minhash-salted")
     need = salted.select(F.col("v").alias("d"), "u", "v", "salt", F.lit(1).alias("kind")).unionByName(salted.select(F.col("u").alias("d"), "u", F.col("u").alias("v"), "salt", F.lit(0).alias("kind")).distinct())
-    ids = C.cut(need.select("d").distinct(), "minhash-ids")
-    texts = C.only(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", ids, "d").join(need, F.col("doc_id") == F.col("d")).select("u", "salt", "kind", "v", "text")
-    return texts.repartition("u", "salt").sortWithinPartitions("u", "salt", "kind").mapInArrow(_confirm(n, percent), "u long, v long")
+    ids = C.cut(salted.select(F.explode(F.array("u", "v")).alias("d")).distinct(), "minhash-ids")
+    texts = C.only(docs, "doc_id", ids, "d").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
+    sigs = C.only(reps, "doc_id", ids, "d").select(F.col("doc_id").alias("e"), "sig")
+    rows = need.join(texts, F.col("doc_id") == F.col("d")).join(sigs, F.col("e") == F.col("d")).select("u", "salt", "kind", "v", "sig", "raw")
+    return rows.repartition("u", "salt").sortWithinPartitions("u", "salt", "kind").mapInArrow(_confirm(n, percent, slack), "u long, v long")
+
+
+def _near_labels(found: DataFrame) -> DataFrame:
+    """id, component: the least neighbour, and its least neighbour: components, but for links of more steps."""
+    least = C.cut(found.groupBy(F.greatest("u", "v").alias("id")).agg(F.min(F.least("u", "v")).alias("component")), "minhash-near")
+    up = least.select(F.col("id").alias("i"), F.col("component").alias("c"))
+    return least.join(up, F.col("component") == F.col("i"), "left").select("id", F.coalesce("c", "component").alias("component"))
 
 
 def _pairs(u: str, v: str, percent: int):
@@ -300,16 +299,18 @@ def classify(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = BANDS,
     size = _class(F.col("n"), percent)
     bucket = C.cut(_meeting(met.join(own, F.col("doc_id") == F.col("d")).select("doc_id", "n", "b1", "b2", F.explode(F.array(F.xxhash64("key", size), F.xxhash64("key", size + 1))).alias("key"))), "minhash-bucket")
     proposed = C.cut(_stars(bucket, percent), "minhash-pairs")
-    found = C.cut(links(proposed, reps, docs, n, percent, bands, rows, slack), "minhash-links")
-    comp = components(found)
+    found = C.cut(links(proposed, reps, docs, n, percent, slack), "minhash-links")
+    comp = _near_labels(found)  # what it misses is only proposed once more
     at = bucket.join(comp, F.col("doc_id") == F.col("id"), "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("id", "component")
     state = at.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi and members > 2")
     left = C.cut(at.join(state, F.col("key") == F.col("k")).drop("k", "lo", "hi"), "minhash-open")
     x, y = left.where(F.col("members") <= small).alias("x"), left.where(F.col("members") <= small).alias("y")
     across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.comp") != F.col("y.comp"))).where(_pairs("x", "y", percent))
     across = C.cut(across.select(F.col("x.doc_id").alias("u"), F.col("y.doc_id").alias("v")).distinct().join(proposed, ["u", "v"], "left_anti"), "minhash-pairs")
-    edges = found.unionByName(C.cut(links(across, reps, docs, n, percent, bands, rows, slack), "minhash-links"))
-    edges = edges.unionByName(C.cut(_cluster_links(left.where(F.col("members") > small), docs, n, percent, chunk), "minhash-links"))
+    edges = found.unionByName(C.cut(links(across, reps, docs, n, percent, slack), "minhash-links"))
+    large = left.where(F.col("members") > small)
+    if not large.isEmpty():
+        edges = edges.unionByName(C.cut(_cluster_links(large, docs, n, percent, chunk), "minhash-links"))
     comp = components(edges)
     named = member.join(comp, F.col("rep") == F.col("id"), "left")
     component = F.coalesce("component", "rep", "doc_id")
