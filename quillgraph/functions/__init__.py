@@ -1 +1 @@
-"""Part of quillgraph."""
+"""Column functions and small aggregations."""

@@ -1 +1 @@
-"""Part of quillgraph."""
+"""Driver-controlled iteration."""

@@ -1 +1 @@
-"""Part of quillgraph."""
+"""Graphs out of relational tables and CSR files."""
