@@ -51,4 +51,28 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_quality, op3_exact_dedup, op4_suffix_dedup, op5_decontaminate, op6_lm_scoring, op7_licenses, op8_mixing, op9_html_text, op10_chat)}
-ORACLES: dict[str, str] = {}
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLES: dict[str, str] = {
+    "op3_exact_dedup": f"""WITH t AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256 FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256 FROM t WINDOW w AS (PARTITION BY text_sha256)""",
+    "op1_minhash_dedup": f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i+3], ' ')) END) AS sh FROM w),
+c AS MATERIALIZED (SELECT doc_id, len(sh) AS n, min(doc_id) OVER (PARTITION BY list_sort(sh)) AS rep, sh FROM s),
+x AS MATERIALIZED (SELECT doc_id, n, unnest(sh) AS h FROM c WHERE doc_id = rep),
+f AS MATERIALIZED (SELECT h, count(*) AS df FROM x GROUP BY h HAVING count(*) > 1),
+r AS MATERIALIZED (SELECT doc_id, n, x.h, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(df, 1), x.h) AS k FROM x LEFT JOIN f USING (h)),
+p AS MATERIALIZED (SELECT DISTINCT a.doc_id AS u, b.doc_id AS v FROM r a JOIN r b ON a.h = b.h AND a.doc_id < b.doc_id WHERE 5 * (a.k - 1) <= a.n AND 5 * (b.k - 1) <= b.n AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n),
+i AS (SELECT u, v, count(*) AS common FROM p JOIN x a ON a.doc_id = u JOIN x b ON b.doc_id = v AND a.h = b.h GROUP BY u, v),
+l AS MATERIALIZED (SELECT u, v FROM i JOIN (SELECT doc_id AS du, n AS nu FROM c) ON du = u JOIN (SELECT doc_id AS dv, n AS nv FROM c) ON dv = v WHERE 100 * common >= 80 * (nu + nv - common)),
+e AS MATERIALIZED (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+z(a, b) AS (SELECT u, u FROM e UNION SELECT z.a, e.v FROM z JOIN e ON z.b = e.u),
+m AS (SELECT a, min(b) AS low FROM z GROUP BY a)
+SELECT c.doc_id, CAST(c.n AS BIGINT) AS n_shingles, CASE WHEN c.n = 0 THEN c.doc_id ELSE coalesce(m.low, c.rep) END AS component_id, c.doc_id = CASE WHEN c.n = 0 THEN c.doc_id ELSE coalesce(m.low, c.rep) END AS kept FROM c LEFT JOIN m ON m.a = c.rep""",
+    "op10_chat": r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, regexp_replace(text, '([<\[])(\\*)(/?(?:s>|INST\]|SYS\]|OUT\]|ROLE))', '\1\2\\\3', 'g') AS esc FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+length(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_chars,
+sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+CAST(sum(length(esc) + 3 + 4 + CASE role WHEN 'user' THEN 7 WHEN 'system' THEN 6 WHEN 'assistant' THEN 6 ELSE 8 + length(hex(encode(role))) END) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id""",
+}
