@@ -7,8 +7,8 @@ the same document; overlaps count; all is judged on the input).
    equals), so equal windows have equal anchors. A document gives one row for each run of windows with one anchor.
 2. Runs whose anchor occurs once in the corpus hold no repeated window and end here. Of the others, the bytes of the
    run's windows (its segment) go to their anchor's group.
-3. A task packs whole groups into blocks of about BLOCK bytes, sorts the suffixes of a block's distinct segments,
-   takes the Burrows-Wheeler transform, and extends intervals backward, breadth first, one character a level: at
+3. A task leaves out windows that can't occur twice (by the cores of 4., which are compared byte by byte), packs whole
+   groups into blocks of about BLOCK bytes, sorts the suffixes of what is left of a block's distinct segments, takes the Burrows-Wheeler transform, and extends intervals backward, breadth first, one character a level: at
    level v exactly the common prefixes of length v between neighbouring suffixes are found, by increasing value. It
    stops at `length`: where no value was found by then, two neighbours share `length` bytes.
 4. An anchor with more than HEAVY runs (a passage that very many documents share) would be one large group. Its
@@ -41,7 +41,9 @@ BLOCK = 1 << 20
 #: Runs of an anchor beyond which its group is split by ranges.
 HEAVY = 2048
 #: Bits of the place relative to the anchor that the ranges of a heavy group leave open, step by step.
-STEPS = (5, 2, 0)
+STEPS = (7, 5, 3, 2, 1, 0)
+#: The same bits for the ranges by which a task looks for windows that can't occur twice before it builds the transform.
+FINE = 6
 
 
 def _window_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -99,8 +101,10 @@ def shared_prefixes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
     n = len(text)
     order = suffix_order(text, length + 1)
     bwt = text[order - 1].astype(np.int64)  # order 0 takes the last byte: rotations
-    keys = np.flatnonzero(np.ones(n, bool)) + bwt * n
-    keys.sort()  # the rank of c * n + i among them is where the interval of c before i begins
+    step_back = np.empty(n, np.int64)  # the place of the suffix that is one character longer
+    by_char = np.argsort(text[order - 1], kind="stable")
+    step_back[by_char] = np.arange(n)
+    keys = bwt[by_char] * n + by_char  # the rank of c * n + i among them is where the interval of c before i begins
     alphabet = np.unique(bwt)
     open_ = np.ones(n + 1, bool)  # whether the common prefix of i - 1 and i is still unknown
     open_[0] = open_[n] = False
@@ -108,29 +112,32 @@ def shared_prefixes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
     for _ in range(length):
         width = rb - lb
         wide = width > 2 * len(alphabet)
-        tl, tr, tc = [], [], []
+        to_l, to_r = [], []
         if wide.any():
-            k = int(wide.sum())
-            tl.append(np.repeat(lb[wide], len(alphabet)))
-            tr.append(np.repeat(rb[wide], len(alphabet)))
-            tc.append(np.tile(alphabet, k))
+            c = np.tile(alphabet, int(wide.sum())) * n
+            to_l.append(np.searchsorted(keys, c + np.repeat(lb[wide], len(alphabet))))
+            to_r.append(np.searchsorted(keys, c + np.repeat(rb[wide], len(alphabet))))
         if not wide.all():
             l, r = lb[~wide], rb[~wide]  # noqa: E741
-            w = r - l
-            first = np.cumsum(w) - w
-            ch = bwt[np.repeat(l - first, w) + np.arange(int(w.sum()))]
-            one = np.minimum.reduceat(ch, first) == np.maximum.reduceat(ch, first)
-            tl.append(l[one])
-            tr.append(r[one])
-            tc.append(ch[first[one]])
-            if not one.all():
-                many = ~np.repeat(one, w)
-                pair = np.unique(np.repeat(np.arange(len(w)), w)[many] * 256 + ch[many])
-                tl.append(l[pair >> 8])
-                tr.append(r[pair >> 8])
-                tc.append(pair & 255)
-        c = np.concatenate(tc) * n
-        lb, rb = np.searchsorted(keys, c + np.concatenate(tl)), np.searchsorted(keys, c + np.concatenate(tr))
+            alone = r - l == 1  # mostly
+            two = np.flatnonzero(~alone)
+            one = bwt[l] == bwt[r - 1]
+            if len(two):
+                w = r[two] - l[two]
+                first = np.cumsum(w) - w
+                ch = bwt[np.repeat(l[two] - first, w) + np.arange(int(w.sum()))]
+                one[two] = np.minimum.reduceat(ch, first) == np.maximum.reduceat(ch, first)
+                mixed = np.flatnonzero(~one[two])
+                if len(mixed):
+                    many = np.repeat(~one[two], w)
+                    owner = np.repeat(two, w)[many]
+                    pair, at, times = np.unique(owner * 256 + ch[many], return_index=True, return_counts=True)
+                    place = (np.repeat(l[two] - first, w) + np.arange(int(w.sum())))[many][at]
+                    to_l.append(step_back[place])
+                    to_r.append(step_back[place] + times)
+            to_l.append(step_back[l[one]])
+            to_r.append(step_back[l[one]] + (r - l)[one])
+        lb, rb = np.concatenate(to_l), np.concatenate(to_r)
         some = (rb > lb) & open_[rb]
         lb, rb = lb[some], rb[some]
         open_[rb] = False
@@ -140,7 +147,7 @@ def shared_prefixes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
 
 
 def repeated_starts(segments: list[bytes], counts: list[int], length: int) -> list[np.ndarray]:
-    """For each distinct segment, which of its windows occur again: in another segment, elsewhere in itself, or because it occurs twice as a whole."""
+    """For each segment, which of its windows occur again: in another segment, elsewhere in itself, or because it occurs twice as a whole."""
     joined = b"\xff".join(segments) + b"\xff"  # no byte of UTF-8
     text = np.frombuffer(joined, np.uint8)
     order, shared = shared_prefixes(text, length)
@@ -154,6 +161,31 @@ def repeated_starts(segments: list[bytes], counts: list[int], length: int) -> li
     return out
 
 
+def possible(group: list[tuple[bytes, int, int]], length: int, bits: int = FINE) -> list[list[tuple[int, int]]]:
+    """For each (segment, count, offset of the anchor) of one anchor, the [from, to) of its windows that could occur again: all windows of a range of places share a core, and ranges whose core no other segment has are left out."""
+    cores: dict[tuple[int, bytes], int] = {}
+    own = []
+    for seg, count, off in group:
+        mine = []
+        for r in range((off - (len(seg) - length)) >> bits, (off >> bits) + 1):
+            key = (r, seg[off - (r << bits) : off - ((r + 1 << bits) - 1) + length])
+            cores[key] = cores.get(key, 0) + min(count, 2)
+            mine.append(key)
+        own.append(mine)
+    out = []
+    for (seg, _, off), mine in zip(group, own, strict=True):
+        spans: list[tuple[int, int]] = []
+        for key in reversed(mine):
+            if cores[key] > 1:
+                lo, hi = max(0, off - ((key[0] + 1 << bits) - 1)), min(len(seg) - length, off - (key[0] << bits)) + 1
+                if spans and spans[-1][1] == lo:
+                    spans[-1] = (spans[-1][0], hi)
+                else:
+                    spans.append((lo, hi))
+        out.append(spans)
+    return out
+
+
 def _ranges(flags: np.ndarray) -> list[dict]:
     edge = np.flatnonzero(np.diff(np.r_[False, flags, False].astype(np.int8)))
     return [{"a": int(a), "b": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
@@ -201,54 +233,53 @@ def _index(length: int, block: int):
     """Rows sorted by anchor (fp); gives the repeated windows of each distinct segment."""
 
     def run(batches):
-        waiting: list[tuple[list, list, list]] = []  # groups of more than one distinct segment
-        size = 0
+        # pieces of segments that wait for a transform: (h1, h2), first window, bytes, count
+        waiting: list[tuple[tuple[int, int], int, bytes, int]] = []
+        size, now, group, ready = 0, None, {}, []
 
-        def done(ids, flags):
-            some = [(i, r) for i, f in zip(ids, flags, strict=True) if (r := _ranges(f))]
-            return pa.RecordBatch.from_arrays([pa.array([i[0] for i, _ in some], pa.int64()), pa.array([i[1] for i, _ in some], pa.int64()), pa.array([r for _, r in some], _RANGES)], names=["g1", "g2", "ranges"])
+        def close():
+            nonlocal size
+            items = list(group.items())
+            if len(items) == 1:  # all segments of the anchor are the same: there is nothing to compare
+                (key, (seg, count, _)), *_rest = items
+                if count > 1:
+                    ready.append((key, [{"a": 0, "b": len(seg) - length + 1}]))
+                return
+            for (key, (seg, count, _)), spans in zip(items, possible([tuple(x) for _, x in items], length), strict=True):
+                if count > 1:
+                    ready.append((key, [{"a": 0, "b": len(seg) - length + 1}]))
+                for lo, hi in spans:
+                    waiting.append((key, lo, seg[lo : hi + length - 1], count))
+                    size += hi - lo + length
 
         def flush():
             nonlocal size
-            out = None
-            if waiting:
-                ids, segs, counts = ([x for g in waiting for x in g[k]] for k in range(3))
-                out = done(ids, repeated_starts(segs, counts, length))
+            flags = repeated_starts([w[2] for w in waiting], [1] * len(waiting), length) if waiting else []
+            for (key, lo, _, count), f in zip(waiting, flags, strict=True):
+                if count == 1 and f.any():
+                    ready.append((key, [{"a": r["a"] + lo, "b": r["b"] + lo} for r in _ranges(f)]))
             waiting.clear()
             size = 0
-            return out
 
-        now, group = None, {}
+        def made():
+            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in ready], pa.int64()), pa.array([k[1] for k, _ in ready], pa.int64()), pa.array([r for _, r in ready], _RANGES)], names=["g1", "g2", "ranges"])
+            ready.clear()
+            return out
 
-        def close():
-            nonlocal size
-            ids, segs, counts = list(group), [x[0] for x in group.values()], [x[1] for x in group.values()]
-            if len(ids) > 1 or (ids and counts[0] == 1 and len(segs[0]) > length):
-                waiting.append((ids, segs, counts))
-                size += sum(map(len, segs)) + len(segs)
-                return None
-            # all segments of the anchor are the same: there is nothing to compare
-            return done(ids, [np.full(len(s) - length + 1, c > 1) for s, c in zip(segs, counts, strict=True)]) if ids else None
-
-        same: list = []
         for batch in batches:
-            fp, h1, h2, raw = (batch.column(i).to_pylist() for i in range(4))
-            for f, a, b, seg in zip(fp, h1, h2, raw, strict=True):
+            fp, h1, h2, off, raw = (batch.column(i).to_pylist() for i in range(5))
+            for f, a, b, o, seg in zip(fp, h1, h2, off, raw, strict=True):
                 if f != now:
-                    if (out := close()) is not None:
-                        same.append(out)
+                    close()
                     now, group = f, {}
                     if size >= block:
-                        yield flush()
-                have = group.setdefault((a, b), [seg, 0])
+                        flush()
+                have = group.setdefault((a, b), [seg, 0, o])
                 have[1] += 1
-            if same:
-                yield pa.Table.from_batches(same).combine_chunks().to_batches()[0]
-                same = []
-        if (out := close()) is not None:
-            yield out
-        if (out := flush()) is not None:
-            yield out
+            yield made()
+        close()
+        flush()
+        yield made()
 
     return run
 
@@ -311,7 +342,7 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int =
     some = C.only(keyed, "key", by_doc.select(F.col("k").alias("kk")).distinct(), "kk")
     texts = some.join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select("doc_id", "key", "text", "runs")
     occ = C.cut(texts.mapInArrow(_segments(length), "fp long, h1 long, h2 long, doc_id long, key long, lo int, n int, off int, heavy boolean, bytes binary"), "suffix-segments")
-    light = occ.where("not heavy and bytes is not null").select("fp", "h1", "h2", "bytes").repartition("fp").sortWithinPartitions("fp").mapInArrow(_index(length, block), "g1 long, g2 long, ranges array<struct<a:int,b:int>>")
+    light = occ.where("not heavy and bytes is not null").select("fp", "h1", "h2", "off", "bytes").repartition("fp").sortWithinPartitions("fp").mapInArrow(_index(length, block), "g1 long, g2 long, ranges array<struct<a:int,b:int>>")
     hot = _heavy(occ, length) if not often.where(F.col("times") > heavy).isEmpty() else None
     got = light.unionByName(hot) if hot is not None else light
     back = occ.select("h1", "h2", "doc_id", "key", "lo").join(got, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
