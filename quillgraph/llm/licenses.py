@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-SAMPLE, WINDOW, BITS = 1000, 40, 18
+#: Documents of the sample, lines that each gives, words of a window, bits of the n-gram hash.
+SAMPLE, LINES, WINDOW, BITS = 1000, 4, 40, 18
 UNKNOWN = "unknown"
 #: How texts give notice of the common public licences.
 TEMPLATES = {
@@ -105,7 +106,7 @@ def _examples(paragraphs: list[str], copies: int = 30) -> tuple[list[str], np.nd
     return texts, np.array(y)
 
 
-def fit(paragraphs: list[str], rounds: int = 80) -> tuple[np.ndarray, np.ndarray]:
+def fit(paragraphs: list[str], rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
     """Weights by hashed n-gram, and biases, divided by the fitted temperature."""
     templates = _template_sets()
     clear = [p for p, h in zip(paragraphs, _hash_each(paragraphs), strict=True) if not any(len(b & _bigrams(h)) >= 0.5 * len(b) for sets in templates.values() for b in sets)]
@@ -118,28 +119,32 @@ def fit(paragraphs: list[str], rounds: int = 80) -> tuple[np.ndarray, np.ndarray
     used, index = np.unique(flat, return_inverse=True)
     held = np.arange(len(texts)) % 5 == 4
     k = len(CLASSES)
-    w, b = np.zeros((len(used), k)), np.zeros(k)
-    gw, gb = np.full((len(used), k), 1e-6), np.full(k, 1e-6)
-    one = np.zeros((len(texts), k))
+    w, b = np.zeros((len(used), k), np.float32), np.zeros(k, np.float32)
+    gw, gb = np.full((len(used), k), 1e-6, np.float32), np.full(k, 1e-6, np.float32)
+    one = np.zeros((len(texts), k), np.float32)
     one[np.arange(len(texts)), y] = 1
-    train = ~held
+    train = (~held)[:, None].astype(np.float32)
+    some, begin = np.unique(owner, return_index=True)  # owner is sorted
+    by_gram = np.argsort(index, kind="stable")
+    gram_begin = np.searchsorted(index[by_gram], np.arange(len(used)))
+    gram_owner = owner[by_gram]
 
     def logits() -> np.ndarray:
-        z = np.zeros((len(texts), k))
-        for j in range(k):
-            z[:, j] = np.bincount(owner, w[index, j], len(texts))
+        z = np.zeros((len(texts), k), np.float32)
+        z[some] = np.add.reduceat(w[index], begin, axis=0)
         return z + b
 
     for _ in range(rounds):  # gradient steps scaled by the gradients so far
         z = logits()
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        d = (p - one) * train[:, None]
-        g = np.stack([np.bincount(index, d[owner, j], len(used)) for j in range(k)], axis=1) + 1e-3 * w
+        d = (p - one) * train
+        g = np.add.reduceat(d[gram_owner], gram_begin, axis=0) + np.float32(1e-3) * w
         gw += g * g
-        w -= 0.15 * g / np.sqrt(gw)
-        gb += d.sum(axis=0) ** 2
-        b -= 0.15 * d.sum(axis=0) / np.sqrt(gb)
+        w -= np.float32(0.15) * g / np.sqrt(gw)
+        s = d.sum(axis=0)
+        gb += s * s
+        b -= np.float32(0.15) * s / np.sqrt(gb)
     z = logits()[held]
     best, t = np.inf, 1.0
     for c in np.geomspace(0.25, 8, 25):
@@ -169,7 +174,7 @@ def scan(docs: DataFrame, sample: int = SAMPLE, least: float = 0.5, alike: float
     from .quality import lines
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    few = texts.where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.slice(F.split("text", "\n"), 1, 20).alias("l")).toPandas()["l"]
+    few = texts.where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.slice(F.split("text", "\n"), 1, LINES).alias("l")).toPandas()["l"]
     weights, bias = fit([x[:400] for l in few for x in l if x.strip()])  # noqa: E741
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((weights, bias))  # as large as 2**BITS and the classes, whatever the corpus

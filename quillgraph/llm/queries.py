@@ -33,7 +33,7 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(table(spark, sf_dir, "documents")).where("confirmed")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
