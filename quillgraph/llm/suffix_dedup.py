@@ -168,7 +168,8 @@ def possible(group: list[tuple[bytes, int, int]], length: int, bits: int = FINE)
     for seg, count, off in group:
         mine = []
         for r in range((off - (len(seg) - length)) >> bits, (off >> bits) + 1):
-            key = (r, seg[off - (r << bits) : off - ((r + 1 << bits) - 1) + length])
+            lo = off - (r << bits)
+            key = (r, seg[lo : max(lo, off - ((r + 1 << bits) - 1) + length)])
             cores[key] = cores.get(key, 0) + min(count, 2)
             mine.append(key)
         own.append(mine)
@@ -311,11 +312,11 @@ def _cores(length: int, bits: int, before: int | None):
     return run
 
 
-def _heavy(occ: DataFrame, length: int) -> DataFrame:
+def _heavy(occ: DataFrame, length: int, gram: int) -> DataFrame:
     """g1, g2, ranges of the repeated windows of the segments of heavy anchors."""
     segs = C.cut(occ.where("heavy and bytes is not null").groupBy("h1", "h2").agg(F.count("*").alias("n_same"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("off").alias("off"), F.first("bytes").alias("bytes")), "suffix-heavy")
     todo, before = segs.withColumn("left", F.lit(None).cast("array<long>")), None
-    for bits in STEPS:
+    for bits in (b for b in STEPS if (1 << b) <= length - gram):  # a range's windows share some bytes
         cores = C.cut(todo.select("h1", "h2", "n", "off", "left", "bytes", "n_same").mapInArrow(_cores(length, bits, before), "h1 long, h2 long, r long, c1 long, c2 long, n_same long"), "suffix-cores")
         again = cores.groupBy("c1", "c2", "r").agg(F.sum("n_same").alias("times")).where("times > 1").select(F.col("c1").alias("d1"), F.col("c2").alias("d2"), F.col("r").alias("q"))
         kept = cores.join(again, (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2")) & (F.col("r") == F.col("q"))).groupBy(F.col("h1").alias("g1"), F.col("h2").alias("g2")).agg(F.collect_set("r").alias("left"))
@@ -343,7 +344,7 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int =
     texts = some.join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select("doc_id", "key", "text", "runs")
     occ = C.cut(texts.mapInArrow(_segments(length), "fp long, h1 long, h2 long, doc_id long, key long, lo int, n int, off int, heavy boolean, bytes binary"), "suffix-segments")
     light = occ.where("not heavy and bytes is not null").select("fp", "h1", "h2", "off", "bytes").repartition("fp").sortWithinPartitions("fp").mapInArrow(_index(length, block), "g1 long, g2 long, ranges array<struct<a:int,b:int>>")
-    hot = _heavy(occ, length) if not often.where(F.col("times") > heavy).isEmpty() else None
+    hot = _heavy(occ, length, gram) if not often.where(F.col("times") > heavy).isEmpty() else None
     got = light.unionByName(hot) if hot is not None else light
     back = occ.select("h1", "h2", "doc_id", "key", "lo").join(got, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
     each = F.transform("ranges", lambda r: F.struct((r["a"] + F.col("lo")).alias("a"), (r["b"] + F.col("lo") + length - 1).alias("b")))
