@@ -9,12 +9,12 @@ has the word's discounted count, (c - d) / N, and the lattice of pieces has the
 n1 / (n1 + 2 n2) for n1 words seen once and n2 seen twice. Pieces and arcs don't cross words, so a text's
 log-probability is the sum over its words and one end token.
 
-As Spark jobs: a pass over the texts gives, for each block of documents and each word in it, one posting row (the
-word's count in training documents, the documents it occurs in and how often). Posting rows are summed by word (all
-counts cover the whole corpus), the distinct words get their lattice probability once each, and the posting rows join
-them and go back to their block, where they are summed by document. So a frequent word is one row for each block, not
-one for each document, and no vocabulary is broadcast or gathered: only sums by piece come to the driver, bounded by
-the vocabulary file.
+As Spark jobs: a pass over the texts gives, for each block of documents, one row for each distinct word in it (its number
+in the block and its count in training documents) and one row that holds which document has which word how often. The
+word rows meet by word, where counts over the whole corpus are summed, and each distinct word gets its lattice
+probability; both go back to the blocks, packed, where they are summed by document. So a frequent word is one row for
+each block, not one for each document, and no vocabulary is broadcast or gathered: only sums by piece come to the
+driver, bounded by the vocabulary file.
 
 Defined cases: null text is empty; an empty text is its end token. A null doc_id counts as not held out. Rows that
 repeat a doc_id are scored and counted each. An empty table gives an empty result; without training documents, N and V
@@ -32,11 +32,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from . import common as C
 
 #: Bytes of text in a block of documents.
 BLOCK = 2 << 20
+#: Word rows that a task packs by block at once.
+PACK = 200_000
+_NULL = -1 << 63
 ROUNDS = 2
 #: Expected count that every piece has before the corpus is seen.
 PRIOR = 0.1
@@ -140,7 +144,7 @@ def _held(doc_id: int | None, m: int, r: int) -> bool:
 
 
 def postings(docs: DataFrame, m: int, r: int) -> DataFrame:
-    """block, word, n_train, docs, tf: by block and word, its count in training rows, and the rows of the block it occurs in. The word '' is the end token; a null word's docs are the block's doc_ids."""
+    """block, word, number, n_train: the distinct words of each block, numbered, and their counts in training rows; the word '' is the end token. One more row for each block, of a null word, has ids, docs, numbers and tf: the rows' doc_ids, and the pairs of a row and a word."""
 
     def run(batches):
         for part, data, at in C.blocks(batches, limit=BLOCK):
@@ -158,26 +162,25 @@ def postings(docs: DataFrame, m: int, r: int) -> DataFrame:
             first = np.flatnonzero(new)
             tf = np.diff(np.r_[first, len(h)])
             word_at = np.flatnonzero(new_word[first])  # where words begin among the (word, document) pairs
-            pair_doc = doc[first]
+            pair_doc, number = doc[first], np.cumsum(new_word[first]) - 1
             one = order[first[word_at]]
             chars, chars_at = C.gather(data, starts[one], ends[one])
             n_train = np.add.reduceat(tf * train[pair_doc], word_at) if len(word_at) else np.zeros(0, np.int64)
-            # the end token and the row with the ids come after the words
-            words = C.binary_array(chars, np.r_[chars_at, chars_at[-1], chars_at[-1]], pa.string())
-            docs_at = np.r_[word_at, len(first), len(first) + k] * 2
-            docs_flat = np.r_[pair_doc, np.arange(k)].astype(np.uint16).view(np.uint8)
-            idb = np.array([(-1 << 63) if x is None else x for x in ids], np.int64).view(np.uint8)
-            docs_col = C.binary_array(np.r_[docs_flat, idb], np.r_[docs_at, docs_at[-1] + len(idb)])
-            tf_flat = np.r_[tf, np.ones(k, np.int64)].astype(np.uint32).view(np.uint8)
-            tf_col = C.binary_array(tf_flat, np.r_[docs_at * 2, docs_at[-1] * 2])
             w = len(word_at)
-            mask = np.zeros(w + 2, bool)
-            mask[-1] = True
-            words = pa.Array.from_buffers(pa.string(), w + 2, [pa.py_buffer(np.packbits(~mask, bitorder="little").tobytes()), *words.buffers()[1:]])
+            # the end token is the last word; every row has it once
+            pair_doc, number, tf = np.r_[pair_doc, np.arange(k)], np.r_[number, np.full(k, w)], np.r_[tf, np.ones(k, np.int64)]
+            valid = np.ones(w + 2, bool)
+            valid[-1] = False
+            words = C.binary_array(chars, np.r_[chars_at, chars_at[-1], chars_at[-1]], pa.string())
+            words = pa.Array.from_buffers(pa.string(), w + 2, [pa.py_buffer(np.packbits(valid, bitorder="little").tobytes()), *words.buffers()[1:]])
+            only = lambda x: pa.array([None] * (w + 1) + [x.tobytes()], pa.binary())
             block = pa.array(np.full(w + 2, uuid.uuid4().int >> 65, np.int64))
-            yield pa.RecordBatch.from_arrays([block, words, pa.array(np.r_[n_train, train.sum(), 0].astype(np.int64)), docs_col, tf_col], names=["block", "word", "n_train", "docs", "tf"])
+            yield pa.RecordBatch.from_arrays(
+                [block, words, pa.array(np.arange(w + 2, dtype=np.int32)), pa.array(np.r_[n_train, train.sum(), 0].astype(np.int64)), only(np.array([_NULL if x is None else x for x in ids], np.int64)), only(pair_doc.astype(np.uint16)), only(number.astype(np.uint32)), only(tf.astype(np.uint32))],
+                names=["block", "word", "number", "n_train", "ids", "docs", "numbers", "tf"],
+            )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "block long, word string, n_train long, docs binary, tf binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "block long, word string, number int, n_train long, ids binary, docs binary, numbers binary, tf binary")
 
 
 def train(words: DataFrame, pieces: list[bytes], logp: np.ndarray, rounds: int) -> np.ndarray:
@@ -205,9 +208,11 @@ def train(words: DataFrame, pieces: list[bytes], logp: np.ndarray, rounds: int)
 
 def score(docs: DataFrame, path: str | None = None, m: int = 7, r: int = 2, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs(doc_id, text)."""
-    spark = docs.sparkSession
     post = C.cut(postings(docs, m, r), "lm-postings")
-    words = C.cut(post.where("word is not null").groupBy("word").agg(F.sum("n_train").alias("c")), "lm-words")
+    by_word = W.partitionBy("word")
+    met = post.where("word is not null").select("word", "block", "number", F.sum("n_train").over(by_word).alias("c"), (F.col("block") == F.min("block").over(by_word)).alias("first"))
+    met = C.cut(met, "lm-words")
+    words = met.where("first").select("word", "c")
     count = lambda when, name: F.count(F.when(F.expr(when), 1)).alias(name)
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), count("c > 0", "v"), count("c = 1", "n1"), count("c = 2", "n2")).first()
     n, v = total["n"], total["v"]
@@ -216,56 +221,67 @@ def score(docs: DataFrame, path: str | None = None, m: int = 7, r: int = 2, roun
     logp = train(words, pieces, logp, rounds)
 
     def rate(batches):
+        """Rows sorted by word; gives packed (number, c, log10 probability) by block."""
         lattice = Lattice(pieces, logp)
+        waiting: list[tuple[np.ndarray, ...]] = []
+        rows = 0
+
+        def packed():
+            block, number, c, lp = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            order = np.argsort(block, kind="stable")
+            block, number, c, lp = block[order], number[order], c[order], lp[order]
+            begin = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+            end = np.r_[begin[1:], len(block)]
+            waiting.clear()
+            col = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(begin, end, strict=True)], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(block[begin]), col(number.astype(np.uint32)), col(c.astype(np.int64)), col(lp.astype(np.float32))], names=["block", "ids", "numbers", "tf"])
+
         for batch in batches:
+            if not batch.num_rows:
+                continue
             data, at = C.text_buffers(batch.column(0))
-            c = batch.column(1).to_numpy().astype(float)
-            lp = np.full(batch.num_rows, math.log(0.1))  # of the end token, as long as nothing was learnt
-            for rows, chars in lattice.groups(data, at):
-                if chars.shape[1] > 1:
-                    lp[rows] = lattice.forward(chars, lattice.edges(chars))[:, -1]
+            c = batch.column(3).to_numpy()
+            h = C.span_hash(C.prefix_hash(data[at[0] : at[-1]]), at[:-1] - at[0], at[1:] - at[0])
+            one = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])  # the words, each once
+            chars, chars_at = C.gather(data, at[one], at[one + 1])
+            lp = np.full(len(one), math.log(0.1))  # of the end token, as long as nothing was learnt
+            for some, text in lattice.groups(chars, chars_at):
+                if text.shape[1] > 1:
+                    lp[some] = lattice.forward(text, lattice.edges(text))[:, -1]
             if n:
                 with np.errstate(divide="ignore"):
-                    lp = np.logaddexp(np.log(np.maximum(c - discount, 0) / n), math.log(discount * v / n) + lp)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lp / math.log(10))], names=["w", "c", "lp"])
-
-    rated = words.mapInArrow(rate, "w string, c long, lp double")
-    joined = post.where("word is not null").join(rated, F.col("word") == F.col("w")).select("block", "c", "lp", "docs", "tf")
-    heads = post.where("word is null").select("block", F.lit(None).cast("long").alias("c"), F.lit(None).cast("double").alias("lp"), "docs", "tf")
+                    lp = np.logaddexp(np.log(np.maximum(c[one] - discount, 0) / n), math.log(discount * v / n) + lp)
+            waiting.append((batch.column(1).to_numpy(), batch.column(2).to_numpy(), c, np.repeat(lp / math.log(10), np.diff(np.r_[one, len(c)]))))
+            rows += batch.num_rows
+            if rows >= PACK:
+                yield packed()
+                rows = 0
+        if waiting:
+            yield packed()
+
+    rated = met.select("word", "block", "number", "c").mapInArrow(rate, "block long, ids binary, numbers binary, tf binary").select("block", "ids", F.lit(None).cast("binary").alias("docs"), "numbers", "tf")
+    heads = post.where("word is null").select("block", "ids", "docs", "numbers", "tf")
     denominator = n + v + 1
 
     def add(batches):
-        ids: dict[int, np.ndarray] = {}
-        sums: dict[int, np.ndarray] = {}
+        heads_: dict[int, tuple] = {}
+        tables: dict[int, list] = {}
         for batch in batches:
-            block = batch.column(0).to_numpy()
-            c, lp = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
-            head = np.isnan(c.astype(float))
-            data, at = C.text_buffers(batch.column(3))
-            freq, freq_at = C.text_buffers(batch.column(4))
-            for i in np.flatnonzero(head):
-                ids[block[i]] = np.frombuffer(data[at[i] : at[i + 1]].tobytes(), np.int64)
-            rows = np.flatnonzero(~head)
-            rows = rows[np.argsort(block[rows], kind="stable")]
-            b = block[rows]
-            for lo in np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else []:
-                some = rows[lo : np.searchsorted(b, b[lo], "right")]
-                local = C.gather(data, at[some], at[some + 1])[0].view(np.uint16).astype(np.int64)
-                tf = C.gather(freq, freq_at[some], freq_at[some + 1])[0].view(np.uint32).astype(float)
-                each = (np.diff(at)[some]) // 2
-                cc, ll = np.repeat(c[some].astype(float), each), np.repeat(lp[some], each)
-                have = sums.get(b[lo])
-                size = max(int(local.max()) + 1, 0 if have is None else have.shape[1])
-                new = np.stack([np.bincount(local, w, size) for w in (tf, tf * (cc > 0), tf * np.log10((cc + 1) / denominator), tf * ll)])
-                if have is not None:
-                    new[:, : have.shape[1]] += have
-                sums[b[lo]] = new
-        for k, own in ids.items():
-            s = sums[k]
-            held = [x != -1 << 63 and _held(x, m, r) for x in own.tolist()]
+            for block, ids, docs_, numbers, tf in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if docs_ is None:
+                    tables.setdefault(block, []).append((np.frombuffer(ids, np.uint32), np.frombuffer(numbers, np.int64), np.frombuffer(tf, np.float32)))
+                else:
+                    heads_[block] = (np.frombuffer(ids, np.int64), np.frombuffer(docs_, np.uint16), np.frombuffer(numbers, np.uint32), np.frombuffer(tf, np.uint32))
+        for block, (own, doc, number, tf) in heads_.items():
+            where, c, lp = (np.concatenate(x) for x in zip(*tables.pop(block), strict=True))
+            count, logs = np.zeros(len(where)), np.zeros(len(where))
+            count[where], logs[where] = c, lp  # numbers run from 0 to the last word
+            k, f, at = len(own), tf.astype(float), count[number]
+            s = [np.bincount(doc, x, k) for x in (f, f * (at > 0), f * np.log10((at + 1) / denominator), f * logs[number])]
+            held = [x != _NULL and _held(x, m, r) for x in own.tolist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(own, mask=own == -1 << 63), pa.array(held), pa.array(np.rint(s[0]).astype(np.int64)), pa.array(np.rint(s[1]).astype(np.int64)), pa.array(np.full(len(own), n, np.int64)), pa.array(s[2]), pa.array(s[3])],
+                [pa.array(own, mask=own == _NULL), pa.array(held), pa.array(np.rint(s[0]).astype(np.int64)), pa.array(np.rint(s[1]).astype(np.int64)), pa.array(np.full(k, n, np.int64)), pa.array(s[2]), pa.array(s[3])],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-    return joined.unionByName(heads).repartition("block").mapInArrow(add, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return rated.unionByName(heads).repartition("block").mapInArrow(add, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
