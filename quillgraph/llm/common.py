@@ -63,6 +63,15 @@ def only(df: DataFrame, column: str, ids: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, df[column] == ids[key], "left_semi")
 
 
+def bounded_sample(ids: DataFrame, key: str, rows: int) -> DataFrame:
+    """At most `rows` rows of a narrow table, by the hash of key. Its count gives a threshold first, so about twice as many rows reach the last task, however large the table is."""
+    n, span = ids.count(), 1 << 40
+    h = F.xxhash64(key)
+    if n > 2 * rows:
+        ids = ids.where(F.pmod(h, F.lit(span)) < F.lit(int(span * 2 * rows / n)))
+    return ids.orderBy(h, key).limit(rows)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like names that df doesn't have."""
     have = {c.lower() for c in df.columns}

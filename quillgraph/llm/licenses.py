@@ -174,8 +174,10 @@ def scan(docs: DataFrame, sample: int = SAMPLE, least: float = 0.5, alike: float
     from .quality import lines
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    few = texts.where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.slice(F.split("text", "\n"), 1, LINES).alias("l")).toPandas()["l"]
-    weights, bias = fit([x[:400] for l in few for x in l if x.strip()])  # noqa: E741
+    chosen = C.cut(C.bounded_sample(texts.where("text is not null and doc_id is not null").select("doc_id"), "doc_id", sample).select(F.col("doc_id").alias("d")).distinct(), "license-sample")
+    begin = F.transform(F.slice(F.split("text", "\n"), 1, LINES), lambda x: F.substring(x, 1, 400))
+    some = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("d")).groupBy("doc_id").agg(F.min(begin).alias("l")).toPandas().sort_values("doc_id")
+    weights, bias = fit([x for l in some["l"] for x in l if x.strip()])  # noqa: E741
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((weights, bias))  # as large as 2**BITS and the classes, whatever the corpus
     sets = _template_sets()

@@ -86,7 +86,7 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
 
 
 def _fly(last: bool):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "size", "p"], na_position="first", kind="mergesort").reset_index(drop=True)
         p = flight(pdf["p"].tolist(), pdf["size"].astype(float).tolist())
         return pdf.assign(p=landing(p, pdf["size"].astype(float).tolist()) if last else p)

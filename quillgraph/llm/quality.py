@@ -174,7 +174,7 @@ def document_quality(e: np.ndarray, size: np.ndarray, bounds: np.ndarray, t: np.
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, m: int = 3, r: int = 1):
     """The field fitted on `sample` labelled documents at most, of those whose crc32 of the id isn't r modulo m; None without any."""
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("quality").alias("y")).where(C.crc_mod("id", m) != r)
-    chosen = C.cut(known.orderBy(F.xxhash64("id"), "id").limit(sample), "quality-sample")
+    chosen = C.cut(C.bounded_sample(known, "id", sample), "quality-sample")
 
     def run(batches):
         for part, data, at in C.blocks(batches):
@@ -183,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, m: int = 3,
             sizes = [size[a:b].astype(np.float32).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(rows, pa.binary()), pa.array(sizes, pa.binary())], names=["doc_id", "y", "x", "size"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", F.col("y").cast("int").alias("y"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).groupBy("doc_id", F.col("y").cast("int").alias("y")).agg(F.min("text").alias("text"))  # one row for each id
     got = texts.mapInArrow(run, "doc_id long, y int, x binary, size binary").toPandas().sort_values(["doc_id", "y", "x"], kind="stable")
     if not len(got):
         return None
