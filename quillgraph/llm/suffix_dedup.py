@@ -286,7 +286,7 @@ def _index(length: int, block: int):
 
 
 def _cores(length: int, bits: int, before: int | None):
-    """Heavy segments with the ranges (of `before` bits) that are left of them; gives (h1, h2, range, hash of its core) for each finer range of `bits` bits."""
+    """Heavy segments with the ranges (of `before` bits) that are left of them; gives each finer range of `bits` bits with its windows [a, b), the hash of its core, and that of all its windows' bytes."""
 
     def run(batches):
         for part, data, at in C.blocks(batches, "bytes"):
@@ -304,10 +304,13 @@ def _cores(length: int, bits: int, before: int | None):
             row, r = np.array(rows, np.int64), np.array(rng, np.int64)
             if not len(row):
                 continue
-            anchor = at[row] + np.array(off)[row]
+            offs, ns = np.array(off)[row], np.array(n)[row]
+            anchor = at[row] + offs
             start, end = anchor - (r << bits), anchor - ((r + 1 << bits) - 1) + length
-            c1, c2 = C.span_hash(sums, start, end).view(np.int64), C.span_hash(sums2, start, end, C.BASE2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(h1)[row]), pa.array(np.array(h2)[row]), pa.array(r), pa.array(c1), pa.array(c2), part.column("n_same").take(pa.array(row))], names=["h1", "h2", "r", "c1", "c2", "n_same"])
+            a, b = np.maximum(0, offs - ((r + 1 << bits) - 1)), np.minimum(ns, offs - (r << bits) + 1)
+            w0, w1 = at[row] + a, at[row] + b - 1 + length
+            hashes = [C.span_hash(s, x, y, base).view(np.int64) for x, y in ((start, end), (w0, w1)) for s, base in ((sums, C.BASE), (sums2, C.BASE2))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(h1)[row]), pa.array(np.array(h2)[row]), pa.array(r), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), *map(pa.array, hashes), part.column("n_same").take(pa.array(row))], names=["h1", "h2", "r", "a", "b", "c1", "c2", "w1", "w2", "n_same"])
 
     return run
 
@@ -315,13 +318,26 @@ def _cores(length: int, bits: int, before: int | None):
 def _heavy(occ: DataFrame, length: int, gram: int) -> DataFrame:
     """g1, g2, ranges of the repeated windows of the segments of heavy anchors."""
     segs = C.cut(occ.where("heavy and bytes is not null").groupBy("h1", "h2").agg(F.count("*").alias("n_same"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("off").alias("off"), F.first("bytes").alias("bytes")), "suffix-heavy")
-    todo, before = segs.withColumn("left", F.lit(None).cast("array<long>")), None
+    todo, before, found = segs.withColumn("left", F.lit(None).cast("array<long>")), None, []
     for bits in (b for b in STEPS if (1 << b) <= length - gram):  # a range's windows share some bytes
-        cores = C.cut(todo.select("h1", "h2", "n", "off", "left", "bytes", "n_same").mapInArrow(_cores(length, bits, before), "h1 long, h2 long, r long, c1 long, c2 long, n_same long"), "suffix-cores")
-        again = cores.groupBy("c1", "c2", "r").agg(F.sum("n_same").alias("times")).where("times > 1").select(F.col("c1").alias("d1"), F.col("c2").alias("d2"), F.col("r").alias("q"))
-        kept = cores.join(again, (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2")) & (F.col("r") == F.col("q"))).groupBy(F.col("h1").alias("g1"), F.col("h2").alias("g2")).agg(F.collect_set("r").alias("left"))
+        cores = C.cut(todo.select("h1", "h2", "n", "off", "left", "bytes", "n_same").mapInArrow(_cores(length, bits, before), "h1 long, h2 long, r long, a int, b int, c1 long, c2 long, w1 long, w2 long, n_same long"), "suffix-cores")
+        # all windows of a range occur again if its bytes do; one such range stays, for others to be compared with
+        item = F.struct("h1", "h2", "r", "c1", "c2")
+        whole = C.cut(cores.groupBy(F.col("w1").alias("x1"), F.col("w2").alias("x2")).agg(F.sum("n_same").alias("times"), F.min(item).alias("one")).where("times > 1"), "suffix-whole")
+        same = (F.col("w1") == F.col("x1")) & (F.col("w2") == F.col("x2"))
+        found.append(C.cut(cores.join(whole, same, "left_semi").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.struct("a", "b").alias("range")), "suffix-found"))
+        alone = C.cut(cores.join(whole, same, "left_anti").select("h1", "h2", "r", "c1", "c2"), "suffix-alone")
+        stay = alone.withColumn("open", F.lit(1)).unionByName(whole.select("one.*").withColumn("open", F.lit(0)))
+        met = stay.groupBy(F.col("c1").alias("d1"), F.col("c2").alias("d2"), F.col("r").alias("q")).agg(F.count("*").alias("times"), F.max("open").alias("open")).where("times > 1 and open = 1").drop("times", "open")
+        kept = stay.join(met, (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2")) & (F.col("r") == F.col("q")), "left_semi")
+        kept = C.cut(kept.groupBy(F.col("h1").alias("g1"), F.col("h2").alias("g2")).agg(F.collect_set("r").alias("left")), "suffix-left")
+        if kept.isEmpty():
+            break
         todo, before = segs.join(kept, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))), bits
-    return todo.select("g1", "g2", "off", F.explode("left").alias("r")).groupBy("g1", "g2").agg(F.collect_list(F.struct((F.col("off") - F.col("r")).cast("int").alias("a"), (F.col("off") - F.col("r") + 1).cast("int").alias("b"))).alias("ranges"))
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out.groupBy("g1", "g2").agg(F.collect_list("range").alias("ranges"))
 
 
 def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, heavy: int = HEAVY) -> DataFrame:
