@@ -63,6 +63,14 @@ def only(df: DataFrame, column: str, ids: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, df[column] == ids[key], "left_semi")
 
 
+def without(df: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of df whose doc_id has a kept row in decided(doc_id, kept). Dropped ids are usually few, so df isn't shuffled for them."""
+    (key,) = fresh(df, "dropped_id")
+    ids = cut(decided.groupBy(F.col("doc_id").alias(key)).agg(F.max("kept").alias("k")).where("not k").select(key), "dropped")
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, df["doc_id"].eqNullSafe(F.col(key)), "left_anti")
+
+
 def bounded_sample(ids: DataFrame, key: str, rows: int) -> DataFrame:
     """At most `rows` rows of a narrow table, by the hash of key. Its count gives a threshold first, so about twice as many rows reach the last task, however large the table is."""
     n, span = ids.count(), 1 << 40

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, fresh
+from .common import LOWER, blocks, without
 
 #: Bytes of text that a task's tries hold before they are emitted.
 TRIE_BYTES = 16 << 20
@@ -154,6 +154,4 @@ def decide(docs: DataFrame, keep: str = "largest", trie_bytes: int = TRIE_BYTES)
 
 def dedup(docs: DataFrame, keep: str = "largest") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    (key,) = fresh(docs, "kept_id")
-    stay = decide(docs, keep).where("kept").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col(key)), "left_semi")
+    return without(docs, decide(docs, keep))

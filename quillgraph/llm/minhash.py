@@ -319,6 +319,4 @@ def classify(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = BANDS,
 
 def dedup(docs: DataFrame, n: int = 5, percent: int = 80, **options) -> DataFrame:
     """One document of each component, with all columns of docs."""
-    (key,) = C.fresh(docs, "kept_id")
-    stay = classify(docs, n, percent, **options).where("kept").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col(key)), "left_semi")
+    return C.without(docs, classify(docs, n, percent, **options))
