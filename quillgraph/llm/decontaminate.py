@@ -4,9 +4,9 @@ Words are what white space [\\x20\\x09-\\x0D] separates in the lower-cased text;
 of them). A shingle weighs as much as it has distinct words, so runs of one word count little. A document leaks an item
 if one of its windows of as many words as the item has has a weighted Jaccard similarity of `percent` with it.
 
-1. Shingles of documents that occur in the benchmark (a join that moves no text) give the windows to look at: those
-   that align a shared shingle with its place in the item, as long as the item's shingles shared nearby weigh
-   `percent` of the item at all, which every leak needs. A window that shares no shingle can't be similar.
+1. Shingles of documents that occur in the benchmark (a join that moves no text) give the windows to look at: every
+   window that holds so many places of the item's shingles that they could weigh `percent` of the item, in whatever
+   order they come. An item of fewer than n words is one shingle, and is looked for at its own length.
 2. Each window and each item gets a 64-bit SimHash of its weighted shingles: 64 sums in sixteen longs of four counters.
 3. Multi-index Hamming: 8 blocks of 8 bits. Two fingerprints within RADIUS = 8 * 3 - 1 = 23 bits have a block that
    differs in 2 bits at most, so an index of the items' blocks with all such differences finds each of them.
@@ -65,6 +65,23 @@ def weighted_array(words: Column, n: int) -> Column:
     return _bound(words, each)
 
 
+def _spans(words: Column, m: int) -> Column:
+    """Hashes of the runs of m words of an array of words, in order; fewer words have none."""
+    return _bound(words, lambda ws: F.slice(F.transform(ws, lambda w, i: F.xxhash64(w, *[F.get(ws, i + k) for k in range(1, m)])), 1, F.greatest(F.size(ws) - (m - 1), F.lit(0))))
+
+
+def _starts() -> Column:
+    """Of the n_places starts of group g: those whose n_places places hold at least `need` of the sorted places ps."""
+    first = F.col("g") * F.col("n_places")
+
+    def each(i: Column) -> Column:  # windows whose first place is ps[i]
+        low = F.greatest(first, F.get("ps", i + F.col("need") - 1) - F.col("n_places") + 1, F.get("ps", i - 1) + 1)
+        high = F.least(first + F.col("n_places") - 1, F.get("ps", i))
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size("ps") - F.col("need")), each))
+
+
 def weight_of(shingles: Column) -> Column:
     return F.aggregate(shingles, F.lit(0), lambda a, x: a + x.bitwiseAND(F.lit(7)).cast("int"))
 
@@ -101,17 +118,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, percent: int = PERC
     items = benchmark.select(F.xxhash64("item_id", "text").alias("item"), F.col("item_id").cast("long").alias("item_id"), word_array(F.col("text")).alias("words")).where("words[0] <> ''")
     items = cut(items.dropDuplicates(["item"]).select("item", "item_id", F.size("words").alias("n_words"), shingle_array(F.col("words"), n).alias("places"), weighted_array(F.col("words"), n).alias("b")), "leak-items")
     items = items.withColumn("w_item", weight_of(F.col("b")))
-    index = _small(items.select("item", "n_words", "w_item", F.size("places").alias("n_places"), F.posexplode("places").alias("q", "h")))
+    long = items.where(F.col("n_words") >= n)
+    index = _small(long.select("item", "n_words", "w_item", F.size("places").alias("n_places"), F.explode(F.array_distinct("places")).alias("h")))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("key"))
     shingles = keyed.select("doc_id", "key", shingle_array(word_array(F.col("text")), n).alias("hs"))
     hits = shingles.select("doc_id", "key", F.posexplode("hs").alias("p", "h2")).join(index, F.col("h2") == F.col("h"))
-    start = F.greatest(F.col("p") - F.col("q"), F.lit(0))
     by = ["doc_id", "key", "item", "n_words", "n_places", "w_item"]
-    # of one bucket of starts: at most n_places starts, and the weight of the shingles shared (at least, 5 each)
-    near = cut(hits.withColumn("s", start).withColumn("g", F.floor(F.col("s") / F.col("n_places"))).groupBy(*by, "g").agg((F.count("*") * n).alias("most"), F.collect_set("s").alias("starts")), "leak-hits")
-    around = near.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), F.col("item").alias("i"), F.explode(F.array(F.col("g") - 1, F.col("g"), F.col("g") + 1)).alias("g2"), "most").groupBy("d", "k", "i", "g2").agg(F.sum("most").alias("most"))
-    enough = near.drop("most").join(around, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")) & (F.col("item") == F.col("i")) & (F.col("g") == F.col("g2"))).where(F.col("most") * 100 >= F.col("w_item") * percent)
-    windows = cut(enough.select("doc_id", "key", "n_words", F.explode("starts").alias("s")).distinct().groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.collect_list(F.struct("n_words", "s")).alias("windows")), "leak-windows")
+    # a group of n_places starts, with the places of the item's shingles that their windows can hold
+    need = F.greatest(F.lit(1), F.ceil(F.col("w_item") * percent / (100 * n))).cast("int")
+    own = F.floor(F.col("p") / F.col("n_places")).cast("int")
+    near = hits.select(*by, "p", F.explode(F.array(own, own - 1)).alias("g")).where("g >= 0").groupBy(*by, "g").agg(F.array_sort(F.collect_set("p")).alias("ps"))
+    near = cut(near.withColumn("need", need).where(F.size("ps") >= F.col("need")), "leak-hits")
+    found = near.select("doc_id", "key", "n_words", F.explode(_starts()).alias("s"))
+    for m in sorted(r[0] for r in items.where(F.col("n_words") < n).select("n_words").distinct().collect()):
+        # fewer words than n are one shingle, which a window equals or doesn't: the first place will do
+        few = keyed.select("doc_id", "key", F.posexplode(_spans(word_array(F.col("text")), m)).alias("p", "h2"))
+        short = _small(items.where(F.col("n_words") == m).select("n_words", F.col("places")[0].alias("h")).distinct())
+        found = found.unionByName(few.join(short, F.col("h2") == F.col("h")).groupBy("doc_id", "key", "n_words", "h").agg(F.min("p").alias("s")).drop("h"))
+    windows = cut(found.distinct().groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.collect_list(F.struct("n_words", "s")).alias("windows")), "leak-windows")
     texts = only(keyed, "key", windows.select(F.col("k").alias("kk")).distinct(), "kk").dropDuplicates(["doc_id", "key"])
     texts = texts.join(windows, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")))
     sliced = _bound(word_array(F.col("text")), lambda ws: F.transform("windows", lambda x: F.struct(x["n_words"].alias("n_words"), x["s"].alias("s"), F.slice(ws, x["s"] + 1, x["n_words"]).alias("words"))))

@@ -209,6 +209,35 @@ def test_decontaminate(spark, none):
     assert decontaminate.clean(odd(spark), bench).count() == 4
 
 
+def test_decontaminate_any_order(spark):
+    """Items whose parts change order, and items of fewer words than a shingle, against brute force."""
+    r = random.Random(6)
+    vocab = [f"v{i}" for i in range(4000)]
+    some = lambda n: [r.choice(vocab) for _ in range(n)]
+    a, b = some(24), some(24)
+    x, y, z = some(30), some(20), some(25)
+    items = {1: a + b, 2: x + y + z, 3: ["tiny", "leak", "here"], 4: ["one"], 5: ["p", "q", "r", "s"]}
+    docs = {1: some(60) + b + a + some(30), 2: b + a, 3: some(9) + z + y + x, 4: some(20) + y + x + z + some(4), 5: some(50) + items[3] + some(7)}
+    docs |= {6: some(8) + items[3], 7: ["one"], 8: ["p", "q", "r"], 9: ["o", *items[5]], 10: some(70), 11: [*items[3], "x"] * 3, 12: a[:12] + b + a[12:]}
+
+    def sets(w):
+        s = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+        return s, sum(len(set(t)) for t in s)
+
+    best = {}
+    for i, w in docs.items():
+        for k, v in items.items():
+            t, wt = sets(v)
+            for s in range(len(w)):
+                u, wu = sets(w[s : s + len(v)])
+                both = sum(len(set(g)) for g in t & u)
+                if 100 * both >= 80 * (wt + wu - both) and both / (wt + wu - both) > best.get((i, k), (0, 0))[0]:
+                    best[i, k] = both / (wt + wu - both), s
+    got = decontaminate.leaks(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string"), spark.createDataFrame([(k, " ".join(v)) for k, v in items.items()], "item_id long, text string"))
+    assert {(g["doc_id"], g["item_id"]): (g["similarity"], g["at"]) for g in got.collect()} == best
+    assert {(1, 1), (2, 1), (5, 3), (6, 3), (7, 4), (9, 5), (11, 3)} <= set(best)
+
+
 def test_lm(spark, docs, none):
     rows = corpus()
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
