@@ -15,12 +15,12 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return exact_dedup.dedup(docs)
+    return exact_dedup.dedup(docs, once=True)
 
 
 def apart(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five words, similarity 0.8."""
-    return minhash.dedup(docs, n=5, percent=80)
+    return minhash.dedup(docs, n=5, percent=80, once=True)
 
 
 def untainted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,6 +71,39 @@ def without(df: DataFrame, decided: DataFrame) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, df["doc_id"].eqNullSafe(F.col(key)), "left_anti")
 
 
+def own_ids(docs: DataFrame, nulls_first: bool, once: bool) -> tuple[DataFrame, str]:
+    """docs, and the name of a column of ids that no two texts share; it is doc_id if that holds already.
+
+    Else each (doc_id, text) has its place in their order as an id, in a column of its own: repeated ids with different
+    texts are told apart, null ids too, and equal rows have one id. With once, one row of equal ones is left, whichever
+    if their other columns differ. Texts are shuffled for it only where ids repeat or are null."""
+    some = docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null")
+    if some.isEmpty():
+        return docs, "doc_id"
+    row, tag, d, t, c = fresh(docs, "row_id", "row_tag", "of_id", "of_tag", "row_count")
+    tagged = docs.withColumn(tag, F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    each = tagged.groupBy(F.col("doc_id").alias(d), F.col(tag).alias(t)).agg(F.count("*").alias(c))
+    # places rise over the sorted partitions, so ids keep the order of doc_id
+    places = cut(each.orderBy(F.asc_nulls_first(d) if nulls_first else F.asc_nulls_last(d), t).withColumn(row, F.monotonically_increasing_id()), "row-ids")
+    few = places.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    named = cut(tagged.join(F.broadcast(places) if few else places, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(tag) == F.col(t))).drop(tag, d, t), "row-named")
+    if once:
+        named = cut(named.where(F.col(c) == 1).unionByName(named.where(F.col(c) > 1).dropDuplicates([row])), "row-once")
+    return named.drop(c), row
+
+
+def dedup_rows(docs: DataFrame, decide, nulls_first: bool, once: bool) -> DataFrame:
+    """The rows of docs that decide(docs(doc_id, text)) keeps, each row by its own text."""
+    named, row = own_ids(docs, nulls_first, once)
+    if row == "doc_id":
+        return without(docs, decide(docs))
+    decided = decide(named.select(F.col(row).alias("doc_id"), "text"))
+    (key,) = fresh(named, "dropped_id")
+    ids = cut(decided.where("not kept").select(F.col("doc_id").alias(key)).distinct(), "dropped")
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return named.join(F.broadcast(ids) if few else ids, F.col(row) == F.col(key), "left_anti").select(*[named[x] for x in docs.columns])
+
+
 def bounded_sample(ids: DataFrame, key: str, rows: int) -> DataFrame:
     """At most `rows` rows of a narrow table, by the hash of key. Its count gives a threshold first, so about twice as many rows reach the last task, however large the table is."""
     n, span = ids.count(), 1 << 40

@@ -10,8 +10,9 @@ Spilling is by subtree: since the rows of one (length, hash) subtree come one af
 sort, a trie over the byte budget is emitted and freed at the next subtree's edge. Owners then go back to all rows
 over the SHA-256 of the normalised text, a join whose hot keys adaptive execution can split.
 
-Defined cases: an empty table gives an empty result. Null or empty texts are one group. Rows that repeat a doc_id
-share its decision and each count in group_size. A null doc_id never owns a group that has other ids; it is kept
+Defined cases: an empty table gives an empty result. Null or empty texts are one group. Rows that repeat a doc_id are
+decided by their own text, and each count in group_size; where id and text are equal they share the decision, of which
+dedup(once=True) leaves one row. A null doc_id never owns a group that has other ids; it is kept
 only if its group has no other. Extra columns are ignored by decide(), and preserved by dedup().
 """
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, without
+from .common import LOWER, blocks, dedup_rows
 
 #: Bytes of text that a task's tries hold before they are emitted.
 TRIE_BYTES = 16 << 20
@@ -152,6 +153,6 @@ def decide(docs: DataFrame, keep: str = "largest", trie_bytes: int = TRIE_BYTES)
     return each.join(owners(docs, keep, trie_bytes), "sha").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
-def dedup(docs: DataFrame, keep: str = "largest") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    return without(docs, decide(docs, keep))
+def dedup(docs: DataFrame, keep: str = "largest", once: bool = False) -> DataFrame:
+    """The rows of docs that stay, with all their columns; with once, rows that repeat id and text are copies too."""
+    return dedup_rows(docs, lambda d: decide(d, keep), keep == "largest", once)

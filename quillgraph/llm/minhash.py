@@ -19,6 +19,7 @@
 Defined cases: words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z. A text of fewer than n words is its whole
 word sequence as one shingle; without words (empty, white space or null) the set is empty and linked with nothing.
 Rows that repeat a doc_id are one document only if their sets are equal; a null doc_id is a component of its own rows.
+dedup() takes rows of one id, or of none, with different texts as documents of their own.
 An empty table gives an empty result. Extra columns are ignored by components_of(), and kept by dedup().
 """
 
@@ -317,6 +318,6 @@ def classify(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = BANDS,
     return named.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def dedup(docs: DataFrame, n: int = 5, percent: int = 80, **options) -> DataFrame:
-    """One document of each component, with all columns of docs."""
-    return C.without(docs, classify(docs, n, percent, **options))
+def dedup(docs: DataFrame, n: int = 5, percent: int = 80, once: bool = False, **options) -> DataFrame:
+    """One document of each component, with all columns of docs; with once, rows that repeat id and text are copies too."""
+    return C.dedup_rows(docs, lambda d: classify(d, n, percent, **options), False, once)

@@ -53,3 +53,18 @@ def test_run(spark, tables):
     out = p.run(spark, tables)
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"] and 55 <= out.count() <= 62
     assert not [r for r in out.collect() if re.search("%%%|bench1", r["text"])]
+
+
+def test_repeated_rows_leave_one(spark):
+    """Rows are decided by their own text, though they share an id or have none."""
+    import corpus_pipeline as p
+
+    x, y, z = (" ".join(f"{c}{i}" for i in range(40)) for c in "xyz")
+    near = lambda t: t + " more"
+    rows = [(1, x), (1, x), (1, x), (2, x), (1, y), (None, z), (None, z), (None, y.upper()), (0, near(z))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = p.distinct(spark, docs, "")
+    assert left.columns == docs.columns
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([(2, x), (1, y), (None, z), (0, near(z))], key=str)
+    both = spark.createDataFrame([*rows, (3, near(y))], docs.schema)
+    assert sorted(map(tuple, p.apart(spark, both, "").collect())) == [(0, near(z)), (1, x), (1, y)]
