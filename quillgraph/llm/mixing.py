@@ -12,7 +12,8 @@ and nothing is dropped or capped.
 
 Defined cases: null text has size 0; a null source is a source of its own and comes last. Documents of size 0 take
 part in balancing the document count and never take words. An empty table, or one without words, gives no words to
-any source. Rows that repeat a doc_id are units of their own (they share chunk and decision order by size).
+any source. Rows that repeat a doc_id are units of their own (they share chunk and decision order by size), and so are
+rows without one; repeat() takes each row by a number of its own, and keeps as many rows of size 0 as are decided.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, fresh
 
 #: Documents in a chunk of the flight phase.
 CHUNK = 4096
@@ -87,7 +88,7 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
 
 def _fly(last: bool):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "size", "p"], na_position="first", kind="mergesort").reset_index(drop=True)
+        pdf = pdf.sort_values(["doc_id", "size", "p", "row"], na_position="first", kind="mergesort").reset_index(drop=True)
         p = flight(pdf["p"].tolist(), pdf["size"].astype(float).tolist())
         return pdf.assign(p=landing(p, pdf["size"].astype(float).tolist()) if last else p)
 
@@ -96,16 +97,22 @@ def _fly(last: bool):
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, chunk: int = CHUNK) -> DataFrame:
     """doc_id, size, source, source_size, target, taken for every document."""
+    plan = _plan(docs, F.lit(0).cast("long"), weights, share, most, chunk)
+    return plan.select("doc_id", "size", "source", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+
+
+def _plan(docs: DataFrame, row: Column, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, chunk: int = CHUNK) -> DataFrame:
+    """row, doc_id, size, source, source_size, target, copies for every document."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")), "mix-sizes")
+    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), row.alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("spread")), "mix-sizes")
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     goal = cut(targets(per.select("source", "source_size"), weights, share, most).join(per.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "mix-targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(ratio + 1e-12)
-    # every source has its own number of chunks; a document's chunk depends on its id alone
+    # every source has its own number of chunks; a document's chunk depends on its id alone, or on its text if it has none
     n_chunks = F.greatest(F.lit(1), F.ceil(F.col("n") / chunk))
     to = F.broadcast(goal.withColumnRenamed("source", "s")) if _few(goal) else goal.withColumnRenamed("source", "s")
-    units = sized.join(to, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", whole.alias("whole"), F.greatest(F.lit(0.0), ratio - whole).alias("p"), F.pmod(F.xxhash64("doc_id"), n_chunks).alias("chunk"), n_chunks.alias("chunks"))
+    units = sized.join(to, F.col("source").eqNullSafe(F.col("s"))).select("row", "doc_id", "source", "size", "source_size", "target", whole.alias("whole"), F.greatest(F.lit(0.0), ratio - whole).alias("p"), F.pmod(F.xxhash64("spread"), n_chunks).alias("chunk"), n_chunks.alias("chunks"))
     schema = units.schema.simpleString()[len("struct<") : -1]
     done, most_chunks, last = [], goal.agg(F.max(F.greatest(F.lit(1), F.ceil(F.col("n") / chunk)))).first()[0] or 1, False
     while True:
@@ -123,7 +130,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out.select("doc_id", "size", "source", "source_size", "target", (F.col("size") * (F.col("whole") + F.round("p"))).cast("long").alias("taken"))
+    return out.select("row", "doc_id", "size", "source", "source_size", "target", (F.col("whole") + F.round("p")).cast("int").alias("copies"))
 
 
 def _few(goal: DataFrame, most: int = 100_000) -> bool:
@@ -131,8 +138,23 @@ def _few(goal: DataFrame, most: int = 100_000) -> bool:
     return goal.limit(most + 1).count() <= most
 
 
+#: Blocks of rows up to which they are broadcast, after counting them.
+BLOCKS = 10_000
+#: Rows whose numbers of copies travel together.
+PACK = 4096
+
+
 def repeat(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with the columns of docs."""
-    plan = mix(docs, **options).where("size > 0").select(F.col("doc_id").alias("_id"), F.expr("cast(taken div size as int)").alias("_copies")).where("_copies > 0")
-    joined = docs.join(plan, docs["doc_id"] == F.col("_id"))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    """The mix itself: each row as often as it is taken, with the columns of docs.
+
+    Rows get numbers that are written with them, so rows that share an id, or have none, are units of their own here
+    too. Numbers rise by one within a task, so the copies of a block of rows are an array by place; those arrays are
+    broadcast if they are few, and no text is shuffled then."""
+    row, n, block, copies = fresh(docs, "mix_row", "mix_copies", "mix_block", "mix_array")
+    named = cut(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    place = F.struct((F.col("row") % PACK).alias("at"), F.col("copies").alias("n"))
+    plan = _plan(named, F.col(row), **options).groupBy(F.floor(F.col("row") / PACK).alias(block)).agg(F.array_sort(F.collect_list(place))["n"].alias(copies))
+    plan = cut(plan, "mix-plan")
+    joined = named.join(F.broadcast(plan) if _few(plan, BLOCKS) else plan, F.floor(named[row] / PACK) == F.col(block))
+    joined = joined.withColumn(n, F.get(copies, (F.col(row) % PACK).cast("int")).cast("int")).where(F.col(n) > 0).drop(copies, block)
+    return joined.withColumn(n, F.explode(F.array_repeat(F.lit(0), F.col(n)))).select(*docs.columns)

@@ -355,6 +355,24 @@ def test_mixing_cases(spark, none, docs):
     assert out.columns == docs.columns and out.count() > 0
 
 
+def test_repeat_takes_rows(spark):
+    """Rows without an id, rows that share one, rows of size 0, and columns named as the plan's."""
+    ids = [None, 7, 7, 7, None] * 8 + list(range(20, 60))
+    rows = [(i, "" if k % 9 == 4 else " ".join(f"t{k}x{j}" for j in range(4 + k % 3)), f"s{k % 2}", k, k, k) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _id long, row long, mix_row long").repartition(3)
+    out = mixing.repeat(df)
+    assert out.columns == df.columns
+    got = collections.Counter(tuple(r) for r in out.collect())
+    assert set(got) <= set(rows) and max(got.values()) <= 2
+    assert {r[0] for r in got} >= {None, 7} and any(not r[1] for r in got)
+    for s in ("s0", "s1"):
+        target = mixing.mix(df).where(f"source = '{s}'").first()["target"]
+        assert abs(sum(n * len(words(r[1])) for r, n in got.items() if r[2] == s) - target) <= 6
+    kept = {r[3]: n for r, n in got.items()}
+    units = mixing._plan(df, df["_id"]).collect()
+    assert sum(kept.values()) == sum(r["copies"] for r in units)
+
+
 def test_flight_keeps_totals():
     r = random.Random(8)
     p, s = [r.random() for _ in range(300)], [float(r.randint(0, 50)) for _ in range(300)]
