@@ -18,8 +18,8 @@
 
 Defined cases: words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z. A text of fewer than n words is its whole
 word sequence as one shingle; without words (empty, white space or null) the set is empty and linked with nothing.
-Rows that repeat a doc_id are one document only if their sets are equal; a null doc_id is a component of its own rows.
-dedup() takes rows of one id, or of none, with different texts as documents of their own.
+Rows that repeat a doc_id, or have none, are documents of their own where their texts differ; a component is named by its
+least doc_id, and null names it only if it has no other.
 An empty table gives an empty result. Extra columns are ignored by components_of(), and kept by dedup().
 """
 
@@ -81,7 +81,7 @@ def minima(distinct: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def sign(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, s1, s2 (128-bit hash of the set), b1, b2 (lowest bits of the first 128 minima), sig (minima), band (one hash for each band) of every row."""
+    """doc_id, n_shingles, s1, s2 (128-bit hash of the set), b1, b2 (lowest bits of the first 128 minima), sig (lowest bytes of all minima), band (one hash for each band) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _affine(bands * rows)
@@ -101,7 +101,7 @@ def sign(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             for r in range(rows):
                 key = C.mix(key * np.uint64(C.BASE) + quads[:, r])
             band = pa.ListArray.from_arrays(pa.array(np.arange(0, k * bands + 1, bands, dtype=np.int32)), pa.array(key.view(np.int64)))
-            sig = pa.array([x.tobytes() for x in sigs], pa.binary())
+            sig = pa.array([x.tobytes() for x in (sigs & np.uint32(255)).astype(np.uint8)], pa.binary())
             low = np.zeros((k, 128), np.uint8)
             low[:, : sigs.shape[1]] = (sigs & np.uint32(1))[:, :128]
             low = np.packbits(low, axis=1).view(np.int64)
@@ -110,19 +110,27 @@ def sign(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, b1 long, b2 long, sig binary, band array<long>")
 
 
-def _confirm(n: int, percent: int, slack: float):
-    """Rows sorted by (u, salt, kind): u, then the v to compare with it, each with its minima and its text. Gives the links (u, v)."""
+def _agreeing(slack: float):
+    """Of rows (u, v, su, sv), the pairs whose signatures agree in `slack` of all places."""
 
     def run(batches):
-        sig = text = own = None
+        for batch in batches:
+            su, sv = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("su", "sv"))
+            yield batch.select(["u", "v"]).filter(pa.array((su == sv).mean(axis=1) >= slack))
+
+    return run
+
+
+def _confirm(n: int, percent: int):
+    """Rows sorted by (u, salt, kind): u, then the v to compare with it, each with its text. Gives the links (u, v)."""
+
+    def run(batches):
+        text = own = None
         for batch in batches:
             us, vs = [], []
-            cols = [batch.column(c).to_pylist() for c in ("u", "v", "kind", "sig", "raw")]
-            for u, v, kind, minima_, raw in zip(*cols, strict=True):
+            for u, v, kind, raw in zip(*(batch.column(c).to_pylist() for c in ("u", "v", "kind", "raw")), strict=True):
                 if kind == 0:
-                    sig, text, own = np.frombuffer(minima_, np.uint32), raw, None
-                    continue
-                if (sig == np.frombuffer(minima_, np.uint32)).mean() < slack:
+                    text, own = raw, None
                     continue
                 if own is None:
                     own = _set_of(text, n)
@@ -141,17 +149,21 @@ def _set_of(text: bytes, n: int) -> np.ndarray:
     return np.unique(shingle_hashes(data, np.array([0, len(data)]), n)[0])
 
 
-def links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int, slack: float) -> DataFrame:
-    """The pairs (u, v) of class representatives that are as similar as percent."""
+def links(pairs: DataFrame, signed: DataFrame, docs: DataFrame, n: int, percent: int, slack: float) -> DataFrame:
+    """The pairs (u, v) of class representatives that are as similar as percent: signatures are compared first, on narrow rows; only what they leave brings its texts together."""
+    sigs = signed.select(F.col("doc_id").alias("d"), "sig")
+    ends = C.cut(pairs.select(F.explode(F.array("u", "v")).alias("e")).distinct(), "minhash-ids")
+    sigs = C.cut(C.only(sigs, "d", ends, "e").dropDuplicates(["d"]), "minhash-sigs")
+    both = pairs.join(sigs.select("d", F.col("sig").alias("su")), F.col("u") == F.col("d")).drop("d").join(sigs.select("d", F.col("sig").alias("sv")), F.col("v") == F.col("d")).drop("d")
+    alike = C.cut(both.mapInArrow(_agreeing(slack), "u long, v long"), "minhash-alike")
     # a u with many partners is dealt over as many groups as they need
-    size = pairs.groupBy(F.col("u").alias("w")).agg(F.ceil(F.count("*") / 256).alias("groups"))
-    salted = C.cut(pairs.join(size, F.col("u") == F.col("w")).select("u", "v", F.pmod(F.xxhash64("v"), F.col("groups")).alias("salt")), "minhash-salted")
+    size = alike.groupBy(F.col("u").alias("w")).agg(F.ceil(F.count("*") / 256).alias("groups"))
+    salted = C.cut(alike.join(size, F.col("u") == F.col("w")).select("u", "v", F.pmod(F.xxhash64("v"), F.col("groups")).alias("salt")), "minhash-salted")
     need = salted.select(F.col("v").alias("d"), "u", "v", "salt", F.lit(1).alias("kind")).unionByName(salted.select(F.col("u").alias("d"), "u", F.col("u").alias("v"), "salt", F.lit(0).alias("kind")).distinct())
-    ids = C.cut(salted.select(F.explode(F.array("u", "v")).alias("d")).distinct(), "minhash-ids")
-    texts = C.only(docs, "doc_id", ids, "d").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
-    sigs = C.only(reps, "doc_id", ids, "d").select(F.col("doc_id").alias("e"), "sig")
-    rows = need.join(texts, F.col("doc_id") == F.col("d")).join(sigs, F.col("e") == F.col("d")).select("u", "salt", "kind", "v", "sig", "raw")
-    return rows.repartition("u", "salt").sortWithinPartitions("u", "salt", "kind").mapInArrow(_confirm(n, percent, slack), "u long, v long")
+    ids = C.cut(salted.select(F.explode(F.array("u", "v")).alias("e")).distinct(), "minhash-ids")
+    texts = C.only(docs, "doc_id", ids, "e").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
+    rows = need.join(texts, F.col("doc_id") == F.col("d")).select("u", "salt", "kind", "v", "raw")
+    return rows.repartition("u", "salt").sortWithinPartitions("u", "salt", "kind").mapInArrow(_confirm(n, percent), "u long, v long")
 
 
 def _near_labels(found: DataFrame) -> DataFrame:
@@ -209,7 +221,7 @@ def cross_links(left: list[np.ndarray], right: list[np.ndarray], percent: int) -
     owner, column = owner[use], number[column[use]]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    both = np.zeros((n, len(right)), np.float32)
+    both = np.zeros((n, len(right)), np.float64)
     for lo in range(0, int(shared.sum()), COLUMNS):
         i, j = np.searchsorted(column, (lo, lo + COLUMNS))
         m = np.zeros((n + len(right), min(COLUMNS, int(shared.sum()) - lo)), np.float32)
@@ -287,28 +299,30 @@ def _cluster_links(large: DataFrame, docs: DataFrame, n: int, percent: int, chun
     return dealt.join(sets, F.col("doc_id") == F.col("s_id")).select("pair", "side", "doc_id", "comp", "set").repartition("pair").sortWithinPartitions("pair", "doc_id").mapInArrow(_chunk_pairs(percent), "u long, v long")
 
 
-def classify(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, slack: float = SLACK, small: int = SMALL, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _classify(docs: DataFrame, n: int, percent: int, bands: int = BANDS, rows: int = ROWS, slack: float = SLACK, small: int = SMALL, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text), in which no id has two texts."""
     signed = C.cut(sign(docs, n, bands, rows), "minhash-signed")
     classes = signed.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
     member = C.cut(signed.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2"], "left").select("doc_id", "n_shingles", "rep"), "minhash-member")
     first = C.cut(member.where("doc_id = rep").select(F.col("rep").alias("r")).distinct(), "minhash-rep")
-    reps = C.only(signed, "doc_id", first, "r").select("doc_id", F.col("n_shingles").alias("n"), "b1", "b2", "sig", "band")
+    reps = C.cut(C.only(signed.select("doc_id", F.col("n_shingles").alias("n"), "b1", "b2", "band"), "doc_id", first, "r"), "minhash-reps")
     met = C.cut(_meeting(reps.select("doc_id", F.explode("band").alias("key"))), "minhash-met")
     own = C.only(reps, "doc_id", C.cut(met.select(F.col("doc_id").alias("d")).distinct(), "minhash-ids"), "d").select(F.col("doc_id").alias("d"), "n", "b1", "b2")
     size = _class(F.col("n"), percent)
     bucket = C.cut(_meeting(met.join(own, F.col("doc_id") == F.col("d")).select("doc_id", "n", "b1", "b2", F.explode(F.array(F.xxhash64("key", size), F.xxhash64("key", size + 1))).alias("key"))), "minhash-bucket")
+    C.drop_cut(reps)
+    C.drop_cut(met)
     proposed = C.cut(_stars(bucket, percent), "minhash-pairs")
-    found = C.cut(links(proposed, reps, docs, n, percent, slack), "minhash-links")
+    found = C.cut(links(proposed, signed, docs, n, percent, slack), "minhash-links")
     comp = _near_labels(found)  # what it misses is only proposed once more
     at = bucket.join(comp, F.col("doc_id") == F.col("id"), "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("id", "component")
     state = at.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi and members > 2")
     left = C.cut(at.join(state, F.col("key") == F.col("k")).drop("k", "lo", "hi"), "minhash-open")
+    C.drop_cut(bucket)
     x, y = left.where(F.col("members") <= small).alias("x"), left.where(F.col("members") <= small).alias("y")
     across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.comp") != F.col("y.comp"))).where(_pairs("x", "y", percent))
     across = C.cut(across.select(F.col("x.doc_id").alias("u"), F.col("y.doc_id").alias("v")).distinct().join(proposed, ["u", "v"], "left_anti"), "minhash-pairs")
-    edges = found.unionByName(C.cut(links(across, reps, docs, n, percent, slack), "minhash-links"))
+    edges = found.unionByName(C.cut(links(across, signed, docs, n, percent, slack), "minhash-links"))
     large = left.where(F.col("members") > small)
     if not large.isEmpty():
         edges = edges.unionByName(C.cut(_cluster_links(large, docs, n, percent, chunk), "minhash-links"))
@@ -318,6 +332,19 @@ def classify(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = BANDS,
     return named.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def classify(docs: DataFrame, n: int = 5, percent: int = 80, **options) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    named, row = C.own_ids(docs, False, False)
+    if row == "doc_id":
+        return _classify(docs, n, percent, **options)
+    # ids of rows are in the order of doc_id, so the least of a component has its least doc_id
+    found = _classify(named.select(F.col(row).alias("doc_id"), "text"), n, percent, **options)
+    names = C.cut(named.select(F.col(row).alias("r"), F.col("doc_id").alias("own")).distinct(), "minhash-names")
+    found = found.join(names, F.col("doc_id") == F.col("r")).drop("r").join(names.select("r", F.col("own").alias("least")), F.col("component_id") == F.col("r"))
+    return found.select(F.col("own").alias("doc_id"), "n_shingles", F.col("least").alias("component_id"), F.col("own").eqNullSafe(F.col("least")).alias("kept"))
+
+
 def dedup(docs: DataFrame, n: int = 5, percent: int = 80, once: bool = False, **options) -> DataFrame:
     """One document of each component, with all columns of docs; with once, rows that repeat id and text are copies too."""
     return C.dedup_rows(docs, lambda d: classify(d, n, percent, **options), False, once)
