@@ -4,8 +4,16 @@ Tags open and close elements as the HTML rules imply (a block closes an open par
 cell the cell before it, and so on); the stack of open elements is the path in the tree, and each element is rendered
 when it opens and closes, so pages of any size and depth need no recursion. Blocks are set apart by line breaks,
 paragraphs and headings by a blank line; list items get a dash or their number, indented by depth; the cells of a table
-are aligned by column; `pre` keeps its spacing. Comments, `head`, scripts, styles, templates and elements hidden by
-attribute or inline style are not visible. Rendering is one pass over the rows, without a shuffle.
+are aligned by column, spanning ones over the columns that they span; `pre` and `xmp` keep their spacing; of a select the
+chosen option shows. Comments, `head`, scripts, styles, templates, fallback content (of canvas, video and the like), and
+what the attribute `hidden` or an inline `display: none` hides are not visible. `visibility` is inherited, and an element
+inside can set it back. `aria-hidden` hides nothing that is drawn; svg and math show their text, but not titles,
+descriptions and annotations. A closed `details` counts as open, since it is there to be opened. Rendering is one pass
+over the rows, without a shuffle.
+
+A page takes time in proportion to its length: open elements are found by name, tags by index, and no text is scanned
+twice for an end that isn't there. For that, indents stop growing at DEEPEST levels, tables nested deeper than TABLES are
+set as plain blocks, and cells keep their places below spanning rows in the first SPANNED columns; no text is lost.
 
 Defined cases: null or empty html gives ''. Markup that doesn't parse counts as text or is closed at the end. Rows that
 repeat a page_id are rendered one by one. An empty table gives an empty result. Extra columns are ignored.
@@ -13,33 +21,41 @@ repeat a page_id are rendered one by one. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 import html as _html
 import re
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_MARK = re.compile(r"[>\"']")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_HIDE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_NONE = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-_UNSEEN = frozenset("head script style title template noscript iframe noembed noframes object audio video canvas svg math datalist select".split())
+_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in _RAW}
+_UNSEEN = frozenset("head script style title template noscript iframe noembed noframes object audio video canvas datalist desc metadata annotation annotation-xml".split())
 _HEAD = frozenset("base link meta title style script noscript template".split())
 #: Lines between what comes before and after: 2 leaves a blank line.
-_BLOCK = dict.fromkeys("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr menu".split(), 2) | dict.fromkeys("html body div article section header footer nav aside main address form fieldset li dt dd tr caption figcaption details summary center legend option".split(), 1)
-_CLOSES_P = frozenset(_BLOCK) - {"option", "tr", "caption", "html", "body"}
+_BLOCK = dict.fromkeys("p h1 h2 h3 h4 h5 h6 blockquote pre xmp ul ol dl table figure hr menu".split(), 2) | dict.fromkeys("html body div article section header footer nav aside main address form fieldset li dt dd tr caption figcaption details summary center legend option text".split(), 1)
+_CLOSES_P = frozenset(_BLOCK) - {"option", "tr", "caption", "html", "body", "text"}
+_APART = frozenset("section article blockquote table td th body main nav aside header footer form fieldset details figure center".split())
 #: An element that opens closes these, as long as none of the second set is open above them.
 _IMPLIED = {
-    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist"}),
+    "li": ({"li"}, {"ul", "ol", "menu"} | _APART), "dt": ({"dt", "dd"}, {"dl"} | _APART), "dd": ({"dt", "dd"}, {"dl"} | _APART), "option": ({"option"}, {"select", "datalist"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr", "td", "th", "caption"}, {"table"}),
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "thead": ({"caption"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"}),
-    "a": ({"a"}, {"table", "td", "th"}), "body": ({"head"}, set()),
+    "a": ({"a"}, {"table", "td", "th"}), "select": ({"select"}, set()), "body": ({"head"}, set()),
 }
 _SCOPE = frozenset("table td th caption html template".split())
 #: Widest column that is padded; a longer cell shifts its row instead of widening the table.
 WIDEST = 60
+#: Levels of indents, of tables within tables, and columns in which cells of spanning rows are followed.
+DEEPEST, TABLES, SPANNED = 32, 8, 40
 
 
 class _Page:
@@ -68,60 +84,113 @@ class _Page:
         if self.breaks or not self.out:
             if self.out:
                 self.out.append("\n" * self.breaks)
-            self.out.append("  " * (self.indent - 1) + self.mark if self.mark else "  " * self.indent)
+            deep = min(self.indent, DEEPEST)
+            self.out.append("  " * (deep - 1) + self.mark if self.mark else "  " * deep)
             self.breaks, self.mark = 0, ""
         elif self.gap:
             self.out.append(" ")
-        self.out.append(t.replace("\n", "\n" + "  " * self.indent) if pre and self.indent else t)
+        self.out.append(t.replace("\n", "\n" + "  " * min(self.indent, DEEPEST)) if pre and self.indent else t)
         self.gap = trail
 
     def get(self) -> str:
         return "".join(self.out)
 
 
-def _table(rows: list[list[str]]) -> str:
-    columns = max(map(len, rows), default=0)
-    cells = [[c.split("\n") for c in r] + [[""]] * (columns - len(r)) for r in rows]
-    wide = [max((len(x) for r in cells for x in r[k] if len(x) <= WIDEST), default=0) for k in range(columns)]
-    lines = []
-    for r in cells:
-        for i in range(max(map(len, r), default=0)):
-            lines.append(" | ".join((c[i] if i < len(c) else "").ljust(wide[k]) for k, c in enumerate(r)).rstrip())
-    return "\n".join(lines)
+def _table(rows: list[list[tuple[str, int, int]]]) -> str:
+    """Rows of (text, columns spanned, rows spanned), aligned."""
+    taken: dict[int, int] = {}  # the row up to which a column is taken by a cell above
+    placed = []
+    for r, row in enumerate(rows):
+        column, own = 0, []
+        for text, wide, high in row:
+            while taken.get(column, 0) > r:
+                own.append((column, column + 1, [""]))
+                column += 1
+            own.append((column, column + wide, text.split("\n")))
+            if high > 1:
+                for k in range(column, min(column + wide, SPANNED)):
+                    taken[k] = r + high
+            column += wide
+        placed.append(own)
+    starts = sorted({c[0] for row in placed for c in row})
+    width = [0] * len(starts)
+    cells = [[(bisect.bisect_left(starts, a), bisect.bisect_left(starts, b), lines, max(map(len, lines))) for a, b, lines in row] for row in placed]
+    for row in cells:
+        for a, b, _, long in row:
+            if b == a + 1 and long <= WIDEST:
+                width[a] = max(width[a], long)
+    before = [0, *accumulate(w + 3 for w in width)]
+    for row in cells:  # a spanning cell that needs more widens its last column
+        for a, b, _, long in row:
+            if b > a + 1 and long <= WIDEST:
+                width[b - 1] = max(width[b - 1], width[b - 1] + long + 3 - (before[b] - before[a]))
+    before = [0, *accumulate(w + 3 for w in width)]
+    out = []
+    for row in cells:
+        for i in range(max((len(c[2]) for c in row), default=0)):
+            out.append(" | ".join((lines[i] if i < len(lines) else "").ljust(before[b] - before[a] - 3) for a, b, lines, _ in row).rstrip())
+    return "\n".join(out)
+
+
+def _span(value: str | None, most: int) -> int:
+    return min(max(int(value), 1), most) if value and value.isascii() and value.isdigit() and len(value) < 10 else 1
+
+
+def _laid_out(stack: list[tuple], where: dict[str, list[int]]) -> bool:
+    """Whether the innermost open table is laid out as one."""
+    at = where.get("table")
+    return bool(at) and bool(stack[at[-1]][4])
 
 
 def render(page: str | None) -> str:
     """The visible text of a page."""
     if not page:
         return ""
-    stack: list[tuple[str, bool]] = []  # open elements, and whether each hides what is in it
-    outs, tables, lists = [_Page()], [], []
+    # open elements: name, whether it hides what is in it, whether it was laid out, whether text around it is visible, what it needs when it closes
+    stack: list[tuple] = []
+    where: dict[str, list[int]] = {}  # places in the stack by name
+    outs, tables, lists, choices = [_Page()], [], [], []
     hidden = pre = 0
+    visible = True
 
     def close() -> None:
-        nonlocal hidden, pre
-        name, hides = stack.pop()
+        nonlocal hidden, pre, visible
+        name, hides, laid, visible, more = stack.pop()
+        where[name].pop()
         if hides:
             hidden -= 1
-        if hidden:
+        if not laid:
             return
-        if name in ("td", "th") and tables:
-            if tables[-1] and len(outs) > 1:
-                tables[-1][-1].append(outs.pop().get())
-        elif name == "table" and tables:
-            rows = [r for r in tables.pop() if r]
-            if rows:
-                outs[-1].block(2)
-                outs[-1].text(_table(rows), True)
-        elif name in ("ul", "ol", "menu") and lists:
+        if name in ("td", "th"):
+            if more:
+                tables[-1][-1].append((outs.pop().get(), *more))
+            else:
+                outs[-1].block(1)
+        elif name == "table":
+            if more:
+                rows = [r for r in tables.pop() if r]
+                if rows:
+                    outs[-1].block(2)
+                    outs[-1].text(_table(rows), True)
+        elif name in ("ul", "ol", "menu"):
             lists.pop()
             outs[-1].indent = max(0, outs[-1].indent - 1)
-        elif name == "dd" or name == "blockquote":
+        elif name in ("dd", "blockquote"):
             outs[-1].indent = max(0, outs[-1].indent - 1)
         elif name == "pre":
             pre -= 1
         elif name == "q":
             outs[-1].text('"', False)
+        elif name == "option" and more is not None:
+            choices[-1].append((more, outs.pop().get()))
+            return
+        elif name == "select":
+            outs.pop()
+            options = choices.pop()
+            shown = options if more else ([o for o in options if o[0]] or options)[:1]
+            for _, text in shown:
+                outs[-1].block(1) if more else None
+                outs[-1].text(text, False)
         if name in _BLOCK:
             outs[-1].block(_BLOCK[name] if not (name in ("ul", "ol") and lists) else 1)
 
@@ -130,106 +199,166 @@ def render(page: str | None) -> str:
             close()
 
     def find(names, scope) -> int:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
-                return i
-            if stack[i][0] in scope:
-                return -1
-        return -1
+        """The place of the innermost open element of names, -1 if one of scope is open inside it."""
+        i = max((where[x][-1] for x in names if where.get(x)), default=-1)
+        return i if i > max((where[x][-1] for x in scope if x not in names and where.get(x)), default=-1) else -1
 
     def say(s: str) -> None:
-        if hidden or not s:
+        if not s:
+            return
+        if stack and stack[-1][0] == "head" and not s.isspace():
+            close()
+        if hidden or not visible:
             return
-        if stack and stack[-1][0] in ("table", "tr", "tbody", "thead", "tfoot", "ul", "ol") and s.isspace():
+        if stack and stack[-1][0] in ("table", "tr", "tbody", "thead", "tfoot", "ul", "ol", "select") and s.isspace():
             return
         outs[-1].text(_html.unescape(s) if "&" in s else s, pre > 0)
 
-    at, n = 0, len(page)
+    n, at, look, quotes, cdata = len(page), 0, 0, True, page.rfind("]]>")
+
+    def tag_end(i: int) -> int:
+        """Where the tag ends: at the first > outside the quotes of attribute values; -1 without one."""
+        nonlocal quotes
+        k = i
+        while quotes:
+            m = _MARK.search(page, k)
+            if m is None:
+                break
+            if m.group() == ">":
+                return m.start()
+            j = m.start() - 1
+            while page[j] in " \t\n\r\f":
+                j -= 1
+            k = page.find(m.group(), m.end()) + 1 if page[j] == "=" else m.end()
+            if k == 0:
+                break
+        quotes = False  # quotes run to the end of the page: from here on they don't count
+        return page.find(">", i)
+
     while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        lt = page.find("<", look)
+        if lt < 0 or lt + 1 >= n:
             say(page[at:])
             break
-        say(page[at : m.start()])
-        at = m.end()
-        name = m.group(2)
-        if name is None:
-            if page.startswith("<![CDATA[", m.start()):
-                say(page[m.start() + 9 : at - 3])
+        c = page[lt + 1]
+        if c in "!?":
+            if page.startswith("<!--", lt):
+                end = page.find("-->", lt + 2)
+                after = n if end < 0 else end + 3
+            elif page.startswith("<![CDATA[", lt) and cdata >= lt + 9:
+                end = page.find("]]>", lt + 9)
+                after = end + 3
+            else:
+                end = page.find(">", lt)
+                if end < 0:
+                    say(page[at:])
+                    break
+                after = end + 1
+            say(page[at:lt])
+            if page.startswith("<![CDATA[", lt) and cdata >= lt + 9:
+                say(page[lt + 9 : end])
+            at = look = after
+            continue
+        m = _NAME.match(page, lt + 1 + (c == "/"))
+        if m is None:
+            look = lt + 1
             continue
-        name = name.lower()
-        if m.group(1):
+        end = tag_end(m.end())
+        if end < 0:  # no > is left
+            say(page[at:])
+            break
+        say(page[at:lt])
+        at = look = end + 1
+        name = m.group().lower()
+        if c == "/":
             if name == "br":
                 outs[-1].block(1) if not hidden else None
-            elif name == "p" and find({"p"}, _SCOPE) < 0:
+            elif name == "p" and find(("p",), _SCOPE) < 0:
                 outs[-1].block(2) if not hidden else None
-            elif (i := find({name}, _SCOPE - {name} if name not in ("table", "html", "body") else ())) >= 0:
+            elif (i := find((name,), _SCOPE if name not in ("table", "html", "body") else ())) >= 0:
                 close_to(i)
             continue
         if (rule := _IMPLIED.get(name)) is not None:
-            while (i := find(rule[0], rule[1])) >= 0:
+            while (i := find(*rule)) >= 0:
                 close_to(i)
         if stack and stack[-1][0] == "head" and name not in _HEAD:
             close()
-        if name in _CLOSES_P and (i := find({"p"}, _SCOPE)) >= 0:
+        if name in _CLOSES_P and (i := find(("p",), _SCOPE)) >= 0:
             close_to(i)
-        given = m.group(3)
-        attrs = {a.lower(): b or c or d for a, b, c, d in _ATTR.findall(given)} if given and not given.isspace() else {}
-        hides = name in _UNSEEN or "hidden" in attrs or ("style" in attrs and _HIDE.search(attrs["style"]) is not None) or (name == "dialog" and "open" not in attrs) or attrs.get("aria-hidden") == "true"
+        attrs: dict[str, str] = {}
+        if end > m.end() and not page[m.end() : end].isspace():
+            for k, x, y, z in _ATTR.findall(page, m.end(), end):
+                attrs.setdefault(k.lower(), x or y or z)
+        style = attrs.get("style", "")
+        hides = name in _UNSEEN or "hidden" in attrs or _NONE.search(style) is not None or (name == "dialog" and "open" not in attrs)
+        seen = set_.group(1).lower() == "visible" if (set_ := _VISIBILITY.search(style)) else visible
         if name in _VOID:
             if not hidden and not hides:
                 if name == "br":
                     outs[-1].block(outs[-1].breaks + 1 if outs[-1].breaks == 1 else 1)
                 elif name == "hr":
                     outs[-1].block(2)
-                elif name == "img" and attrs.get("alt"):
+                elif name == "img" and attrs.get("alt") and seen:
                     say(attrs["alt"])
-                elif name == "input" and attrs.get("type", "text").lower() in ("submit", "button", "text") and attrs.get("value"):
+                elif name == "input" and attrs.get("type", "text").lower() in ("submit", "button", "text") and attrs.get("value") and seen:
                     say(attrs["value"])
             continue
         if name in _RAW:
-            end = re.compile(f"</{name}[^>]*>", re.I).search(page, at)
-            stop = end.start() if end else n
-            if not hidden and not hides and name == "textarea":
-                outs[-1].text(_html.unescape(page[at:stop]), True)
-            at = end.end() if end else n
-            continue
-        stack.append((name, hides))
-        if hides:
-            hidden += 1
-        if hidden:
+            found = _END[name].search(page, at)
+            stop = found.start() if found else n
+            if not hidden and not hides and seen and name in ("textarea", "xmp"):
+                outs[-1].block(2 if name == "xmp" else outs[-1].breaks)
+                outs[-1].text(_html.unescape(page[at:stop]) if name == "textarea" else page[at:stop].strip("\n"), True)
+                outs[-1].block(2 if name == "xmp" else outs[-1].breaks)
+            at = look = page.find(">", stop) + 1 or n if found else n
             continue
+        hidden += hides
+        more = None
         out = outs[-1]
-        if name in _BLOCK:
-            out.block(_BLOCK[name] if not (name in ("ul", "ol") and lists) else 1)
-        if name in ("ul", "ol", "menu"):
-            start = attrs.get("start", "1")
-            lists.append([name == "ol", int(start) if start.isascii() and start.isdigit() and len(start) < 10 else 1])
-            out.indent += 1
-        elif name == "li":
-            here = lists[-1] if lists else [False, 1]
-            out.mark = f"{here[1]}. " if here[0] else "- "
-            out.indent = max(out.indent, 1)
-            here[1] += 1
-        elif name == "dd" or name == "blockquote":
-            out.indent += 1
-        elif name == "pre":
-            pre += 1
-        elif name == "table":
-            tables.append([])
-        elif name == "tr" and tables:
-            tables[-1].append([])
-        elif name in ("td", "th") and tables:
-            if not tables[-1]:
+        if not hidden:
+            if name in _BLOCK and name != "option":
+                out.block(_BLOCK[name] if not (name in ("ul", "ol") and lists) else 1)
+            if name in ("ul", "ol", "menu"):
+                lists.append([name == "ol", _span(attrs.get("start"), 1 << 40)])
+                out.indent += 1
+            elif name == "li":
+                here = lists[-1] if lists else [False, 1]
+                out.mark = f"{here[1]}. " if here[0] else "- "
+                out.indent = max(out.indent, 1)
+                here[1] += 1
+            elif name in ("dd", "blockquote"):
+                out.indent += 1
+            elif name == "pre":
+                pre += 1
+            elif name == "table":
+                more = len(tables) < TABLES
+                if more:
+                    tables.append([])
+            elif name == "tr" and tables and _laid_out(stack, where):
                 tables[-1].append([])
-            outs.append(_Page())
-        elif name == "q":
-            out.text('"', False)
+            elif name in ("td", "th"):
+                if tables and _laid_out(stack, where):
+                    if not tables[-1]:
+                        tables[-1].append([])
+                    more = (_span(attrs.get("colspan"), 1000), _span(attrs.get("rowspan"), 65534))
+                    outs.append(_Page())
+                else:
+                    out.block(1)
+            elif name == "q":
+                out.text('"', False)
+            elif name == "select":
+                more = "multiple" in attrs
+                choices.append([])
+                outs.append(_Page())
+            elif name == "option" and choices:
+                more = "selected" in attrs
+                outs.append(_Page())
+            elif name == "option":
+                out.block(1)
+        where.setdefault(name, []).append(len(stack))
+        stack.append((name, hides, not hidden, visible, more))
+        visible = seen
     close_to(0)
-    while len(outs) > 1:  # cells that no table closed
-        tail = outs.pop().get()
-        outs[-1].block(1)
-        outs[-1].text(tail, True)
     return outs[0].get().strip("\n")
 
 

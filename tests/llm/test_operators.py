@@ -389,6 +389,58 @@ def test_html():
     assert html_text.render("<div>" * 5000 + "x") == "x" and "x" in html_text.render("<table><tr><td>" * 200 + "x")
 
 
+def test_html_visible():
+    assert html_text.render("<table><tr><th colspan=2>head over<th>z<tr><td>a<td>b<td>c<tr><td rowspan=2>tall<td>1<td>2<tr><td>3<td>4</table>") == "head over | z\na    | b  | c\ntall | 1  | 2\n     | 3  | 4"
+    assert html_text.render("<head><title>no</title></head>") == "" and html_text.render("<head>text") == "text"
+    assert html_text.render("<p style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no</p>x") == "yes\n\nx"
+    assert html_text.render("<select><option>a<option selected>b</select> t<i aria-hidden=true>s</i>") == "b ts"
+    assert html_text.render("<svg><title>no</title><text>in svg</text></svg><math><mi>m</mi></math><xmp><b>raw</b></xmp>u") == "in svg\nm\n\n<b>raw</b>\n\nu"
+    assert html_text.render("<ul hidden><li>x</ul>y<td hidden>z</td>w") == "yw"
+    assert html_text.render("<p class=it's>ok<a href='q>r'>s</a>") == "oks"
+
+
+def test_html_trees():
+    """Generated trees: every visible word comes out once and in order, and no hidden one."""
+    r = random.Random(9)
+
+    def tree(depth, seen):
+        out, said = "", []
+        for _ in range(r.randint(1, 4)):
+            w = f"w{r.randrange(10**9)}"
+            if depth and r.random() < 0.6:
+                name = r.choice(["div", "p", "ul", "li", "b", "table", "section", "span", "blockquote"])
+                how = r.choice(["", "", "", " hidden", " style='display:none'", " style='visibility:hidden'", " style='visibility:visible'"])
+                shown = {" style='visibility:hidden'": False, " style='visibility:visible'": seen is not None}.get(how, seen)
+                inner, words_ = tree(depth - 1, None if how in (" hidden", " style='display:none'") or seen is None else shown)
+                cell, end = ("<tr><td>", "</table>") if name == "table" else ("", f"</{name}>" if name != "p" else "")
+                if name == "p":
+                    inner, words_ = f"<i>{w}</i>", [w] if seen is not None and shown and not how.startswith((" hidden", " style='display")) else []
+                    end = "</p>"
+                around = ("<ul>", "</ul>") if name == "li" else ("", "")
+                out, said = out + f"{around[0]}<{name}{how}>{cell}{inner}{end}{around[1]}", said + words_
+            else:
+                out += f" {w} "
+                said += [w] if seen else []
+        return out, said
+
+    for _ in range(200):
+        page, said = tree(4, True)
+        assert re.findall(r"w\d+", html_text.render(page)) == said, page
+
+
+@pytest.mark.parametrize("piece", ["<div>", "<ul><li>", "<ul><li>x", "<a ", "<a \">\" ", "<table><tr><td>x", "<select><option>x", "<![CDATA[>", "<p>", "<td colspan=1000 rowspan=60000>x<tr>"])
+def test_html_takes_time_in_proportion(piece):
+    """Four times as much page in at most ten times the time."""
+    import time
+
+    took = []
+    for size in (100_000, 400_000):
+        start = time.process_time()
+        html_text.render("<table>" * piece.startswith("<td") + piece * (size // len(piece)))
+        took.append(time.process_time() - start)
+    assert took[1] < 10 * took[0] + 0.5
+
+
 def test_html_table(spark):
     got = html_text.extract(spark.createDataFrame([(1, "<p>x", "u"), (1, "<p>x", "u"), (None, None, None)], "page_id long, html string, url string"))
     assert sorted((str(r["page_id"]), r["text"]) for r in got.collect()) == [("1", "x"), ("1", "x"), ("None", "")]
