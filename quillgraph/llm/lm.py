@@ -7,7 +7,7 @@ the mark of its start, has the probability of all ways to put it together from p
 space; every byte is a piece, so every text has a probability. One more arc spans each whole word that training saw: it
 has the word's discounted count, (c - d) / N, and the lattice of pieces has the mass d * V / N that this leaves, d being
 n1 / (n1 + 2 n2) for n1 words seen once and n2 seen twice. Pieces and arcs don't cross words, so a text's
-log-probability is the sum over its words and one end token.
+log-probability is the sum over its words and one end token, which has its own count.
 
 As Spark jobs: a pass over the texts gives, for each block of documents, one row for each distinct word in it (its number
 in the block and its count in training documents) and one row that holds which document has which word how often. The
@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 from . import common as C
 
 #: Bytes of text in a block of documents.
-BLOCK = 2 << 20
+BLOCK = 4 << 20
 #: Word rows that a task packs by block at once.
 PACK = 200_000
 _NULL = -1 << 63
@@ -144,7 +144,7 @@ def _held(doc_id: int | None, m: int, r: int) -> bool:
 
 
 def postings(docs: DataFrame, m: int, r: int) -> DataFrame:
-    """block, word, number, n_train: the distinct words of each block, numbered, and their counts in training rows; the word '' is the end token. One more row for each block, of a null word, has ids, docs, numbers and tf: the rows' doc_ids, and the pairs of a row and a word."""
+    """block, word, number, n_train: the distinct words of each block, numbered, and their counts in training rows; One more row for each block, of a null word, has ids, docs, numbers and tf: the rows' doc_ids, and the pairs of a row and a word; its n_train are the training rows, as each has an end token."""
 
     def run(batches):
         for part, data, at in C.blocks(batches, limit=BLOCK):
@@ -167,16 +167,14 @@ def postings(docs: DataFrame, m: int, r: int) -> DataFrame:
             chars, chars_at = C.gather(data, starts[one], ends[one])
             n_train = np.add.reduceat(tf * train[pair_doc], word_at) if len(word_at) else np.zeros(0, np.int64)
             w = len(word_at)
-            # the end token is the last word; every row has it once
-            pair_doc, number, tf = np.r_[pair_doc, np.arange(k)], np.r_[number, np.full(k, w)], np.r_[tf, np.ones(k, np.int64)]
-            valid = np.ones(w + 2, bool)
+            valid = np.ones(w + 1, bool)
             valid[-1] = False
-            words = C.binary_array(chars, np.r_[chars_at, chars_at[-1], chars_at[-1]], pa.string())
-            words = pa.Array.from_buffers(pa.string(), w + 2, [pa.py_buffer(np.packbits(valid, bitorder="little").tobytes()), *words.buffers()[1:]])
-            only = lambda x: pa.array([None] * (w + 1) + [x.tobytes()], pa.binary())
-            block = pa.array(np.full(w + 2, uuid.uuid4().int >> 65, np.int64))
+            words = C.binary_array(chars, np.r_[chars_at, chars_at[-1]], pa.string())
+            words = pa.Array.from_buffers(pa.string(), w + 1, [pa.py_buffer(np.packbits(valid, bitorder="little").tobytes()), *words.buffers()[1:]])
+            only = lambda x: pa.array([None] * w + [x.tobytes()], pa.binary())
+            block = pa.array(np.full(w + 1, uuid.uuid4().int >> 65, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [block, words, pa.array(np.arange(w + 2, dtype=np.int32)), pa.array(np.r_[n_train, train.sum(), 0].astype(np.int64)), only(np.array([_NULL if x is None else x for x in ids], np.int64)), only(pair_doc.astype(np.uint16)), only(number.astype(np.uint32)), only(tf.astype(np.uint32))],
+                [block, words, pa.array(np.arange(w + 1, dtype=np.int32)), pa.array(np.r_[n_train, train.sum()].astype(np.int64)), only(np.array([_NULL if x is None else x for x in ids], np.int64)), only(pair_doc.astype(np.uint32)), only(number.astype(np.uint32)), only(tf.astype(np.uint32))],
                 names=["block", "word", "number", "n_train", "ids", "docs", "numbers", "tf"],
             )
 
@@ -185,7 +183,7 @@ def postings(docs: DataFrame, m: int, r: int) -> DataFrame:
 
 def train(words: DataFrame, pieces: list[bytes], logp: np.ndarray, rounds: int) -> np.ndarray:
     """Log-probabilities of the pieces after some rounds of expectation maximisation over the distinct words of words(word, c) with c > 0."""
-    seen = words.where("c > 0 and word <> ''").select("word")
+    seen = words.where("c > 0").select("word")
     for _ in range(rounds):
 
         def run(batches, logp=logp):
@@ -215,7 +213,8 @@ def score(docs: DataFrame, path: str | None = None, m: int = 7, r: int = 2, roun
     words = met.where("first").select("word", "c")
     count = lambda when, name: F.count(F.when(F.expr(when), 1)).alias(name)
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), count("c > 0", "v"), count("c = 1", "n1"), count("c = 2", "n2")).first()
-    n, v = total["n"], total["v"]
+    ends = post.where("word is null").agg(F.coalesce(F.sum("n_train"), F.lit(0))).first()[0]  # of the end token, a word of its own
+    n, v = total["n"] + ends, total["v"] + (ends > 0)
     discount = min(0.99, max(0.01, total["n1"] / (total["n1"] + 2 * total["n2"]))) if total["n1"] else 0.5
     pieces, logp = vocabulary(path)
     logp = train(words, pieces, logp, rounds)
@@ -244,10 +243,9 @@ def score(docs: DataFrame, path: str | None = None, m: int = 7, r: int = 2, roun
             h = C.span_hash(C.prefix_hash(data[at[0] : at[-1]]), at[:-1] - at[0], at[1:] - at[0])
             one = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])  # the words, each once
             chars, chars_at = C.gather(data, at[one], at[one + 1])
-            lp = np.full(len(one), math.log(0.1))  # of the end token, as long as nothing was learnt
+            lp = np.zeros(len(one))
             for some, text in lattice.groups(chars, chars_at):
-                if text.shape[1] > 1:
-                    lp[some] = lattice.forward(text, lattice.edges(text))[:, -1]
+                lp[some] = lattice.forward(text, lattice.edges(text))[:, -1]
             if n:
                 with np.errstate(divide="ignore"):
                     lp = np.logaddexp(np.log(np.maximum(c[one] - discount, 0) / n), math.log(discount * v / n) + lp)
@@ -262,26 +260,38 @@ def score(docs: DataFrame, path: str | None = None, m: int = 7, r: int = 2, roun
     rated = met.select("word", "block", "number", "c").mapInArrow(rate, "block long, ids binary, numbers binary, tf binary").select("block", "ids", F.lit(None).cast("binary").alias("docs"), "numbers", "tf")
     heads = post.where("word is null").select("block", "ids", "docs", "numbers", "tf")
     denominator = n + v + 1
+    # the end token is none of the lattice's words, so it has its count, or a tenth as long as nothing was learnt
+    end_log = math.log10(max(ends - discount, 0.5) / n) if ends else -1.0
 
     def add(batches):
-        heads_: dict[int, tuple] = {}
-        tables: dict[int, list] = {}
-        for batch in batches:
-            for block, ids, docs_, numbers, tf in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if docs_ is None:
-                    tables.setdefault(block, []).append((np.frombuffer(ids, np.uint32), np.frombuffer(numbers, np.int64), np.frombuffer(tf, np.float32)))
-                else:
-                    heads_[block] = (np.frombuffer(ids, np.int64), np.frombuffer(docs_, np.uint16), np.frombuffer(numbers, np.uint32), np.frombuffer(tf, np.uint32))
-        for block, (own, doc, number, tf) in heads_.items():
-            where, c, lp = (np.concatenate(x) for x in zip(*tables.pop(block), strict=True))
-            count, logs = np.zeros(len(where)), np.zeros(len(where))
-            count[where], logs[where] = c, lp  # numbers run from 0 to the last word
-            k, f, at = len(own), tf.astype(float), count[number]
+        """Rows sorted by block, its documents first: one block is held at a time."""
+        now, head, tables = None, None, []
+
+        def made():
+            own, doc, number, tf = head
+            words = int(number.max()) + 1 if len(number) else 0
+            counts, logs = np.zeros(words), np.zeros(words)
+            for where, c, lp in tables:
+                counts[where], logs[where] = c, lp
+            k, f, at = len(own), tf.astype(float), counts[number]
             s = [np.bincount(doc, x, k) for x in (f, f * (at > 0), f * np.log10((at + 1) / denominator), f * logs[number])]
             held = [x != _NULL and _held(x, m, r) for x in own.tolist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(own, mask=own == _NULL), pa.array(held), pa.array(np.rint(s[0]).astype(np.int64)), pa.array(np.rint(s[1]).astype(np.int64)), pa.array(np.full(k, n, np.int64)), pa.array(s[2]), pa.array(s[3])],
+            return pa.RecordBatch.from_arrays(
+                [pa.array(own, mask=own == _NULL), pa.array(held), pa.array(np.rint(s[0]).astype(np.int64) + 1), pa.array(np.rint(s[1]).astype(np.int64) + (ends > 0)), pa.array(np.full(k, n, np.int64)), pa.array(s[2] + math.log10((ends + 1) / denominator)), pa.array(s[3] + end_log)],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-    return rated.unionByName(heads).repartition("block").mapInArrow(add, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        for batch in batches:
+            for block, ids, docs_, numbers, tf in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if block != now and head is not None:
+                    yield made()
+                if block != now:
+                    now, head, tables = block, None, []
+                if docs_ is None:
+                    tables.append((np.frombuffer(ids, np.uint32), np.frombuffer(numbers, np.int64), np.frombuffer(tf, np.float32)))
+                else:
+                    head = (np.frombuffer(ids, np.int64), np.frombuffer(docs_, np.uint32), np.frombuffer(numbers, np.uint32), np.frombuffer(tf, np.uint32))
+        if head is not None:
+            yield made()
+
+    return rated.unionByName(heads).repartition("block").sortWithinPartitions("block", F.col("docs").isNull()).mapInArrow(add, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
