@@ -28,9 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one where it is unset, as in tests."""
+    """The folder that all executors share (spark.checkpoint.dir); a temporary one where it is unset and Spark is local, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -179,26 +181,57 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts, ends, np.searchsorted(starts, at)
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Hashes of spans are pairs of polynomials modulo a prime; modulo 2**64, some pairs of texts would collide under every base.
+PRIME = np.uint64((1 << 31) - 1)
+_BITS = np.uint64(31)
 BASE = 0x9E3779B97F4A7C15
 BASE2 = 0xC2B2AE3D27D4EB4F
+#: Bytes up to which sums need no reduction.
+_EXACT = 1 << 24
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, in place."""
+    for _ in range(2):
+        high = x >> _BITS
+        x &= PRIME
+        x += high
+    x[x >= PRIME] -= PRIME
+    return x
+
+
+def _power_row(base: int, m: int) -> np.ndarray:
+    out, k, step = np.ones(m, np.uint64), 1, base
+    while k < m:
+        some = out[: min(k, m - k)] * np.uint64(step)
+        out[k : k + len(some)] = _reduced(some)
+        k, step = 2 * k, step * step % int(PRIME)
+    return out
 
 
 def powers(n: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i mod 2**64 for i < n at least."""
+    """Two rows of powers of bases taken from base, and two of their inverses, for exponents i < n at least."""
     have = _POWERS.get(base)
-    if have is None or len(have[0]) < n:
-        m = max(n, BLOCK_BYTES + 1)
-        p, q = np.full(m, base, np.uint64), np.full(m, pow(base, -1, 1 << 64), np.uint64)
-        p[0] = q[0] = 1
-        have = _POWERS[base] = (np.multiply.accumulate(p), np.multiply.accumulate(q))
+    if have is None or have[0].shape[1] < n:
+        m, p = max(n, BLOCK_BYTES + 1), int(PRIME)
+        pair = [(base >> 32) % p, base % (1 << 32) % p]
+        have = _POWERS[base] = (np.stack([_power_row(b, m) for b in pair]), np.stack([_power_row(pow(b, -1, p), m) for b in pair]))
     return have
 
 
 def prefix_hash(data: np.ndarray, base: int = BASE) -> np.ndarray:
-    """len+1 sums of (byte+1) * base**i: with span_hash, a hash of any span in constant time."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data) + 1, base)[0][: len(data)], out=out[1:])
+    """Two rows of len+1 sums of (byte+1) * base**i: with span_hash, a hash of any span in constant time."""
+    n = len(data)
+    out, pw, x = np.zeros((2, n + 1), np.uint64), powers(n + 1, base)[0], data.astype(np.uint64) + np.uint64(1)
+    for r in range(2):
+        np.cumsum(x * pw[r, :n], out=out[r, 1:])
+        if n > _EXACT:  # sums over all of it would pass 2**64
+            carry = np.uint64(0)
+            for i in range(0, n, _EXACT):
+                part = np.cumsum(x[i : i + _EXACT] * pw[r, i : min(n, i + _EXACT)]) + carry
+                out[r, i + 1 : i + 1 + len(part)] = _reduced(part)
+                carry = part[-1]
     return out
 
 
@@ -214,8 +247,16 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE) -> np.ndarray:
     """64-bit hashes of the spans [start, end) of what prefix_hash summed."""
-    h = (sums[ends] - sums[starts]) * powers(len(sums), base)[1][starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    inverse, pair = powers(sums.shape[1], base)[1], []
+    for r in range(2):
+        h, low = sums[r][ends], sums[r][starts]
+        if sums.shape[1] - 1 > _EXACT:
+            h += PRIME * (h < low)
+        h -= low
+        h = _reduced(h)
+        h *= inverse[r][starts]
+        pair.append(_reduced(h))
+    return mix(pair[0] + (pair[1] << np.uint64(32)) + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

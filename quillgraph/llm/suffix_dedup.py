@@ -8,8 +8,8 @@ the same document; overlaps count; all is judged on the input).
 2. Runs whose anchor occurs once in the corpus hold no repeated window and end here. Of the others, the bytes of the
    run's windows (its segment) go to their anchor's group.
 3. A task leaves out windows that can't occur twice (by the cores of 4., which are compared byte by byte), packs whole
-   groups into blocks of about BLOCK bytes, sorts the suffixes of what is left of a block's distinct segments, takes the Burrows-Wheeler transform, and extends intervals backward, breadth first, one character a level: at
-   level v exactly the common prefixes of length v between neighbouring suffixes are found, by increasing value. It
+   groups into blocks of about BLOCK bytes, sorts the suffixes of what is left of a block's distinct segments, takes the
+   Burrows-Wheeler transform, and extends intervals backward, breadth first, one character a level: at level v exactly the common prefixes of length v between neighbouring suffixes are found, by increasing value. It
    stops at `length`: where no value was found by then, two neighbours share `length` bytes.
 4. An anchor with more than HEAVY runs (a passage that very many documents share) would be one large group. Its
    distinct segments are split by ranges of the window's place relative to the anchor instead: all windows of a range
@@ -59,12 +59,26 @@ def _window_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
 
 
+def gram_hash(data: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all k-grams. Unequal grams may share one, which only brings their anchors into one group."""
+    out, taken, h, size = None, 0, data.astype(np.uint64) + np.uint64(1), 1  # h: hashes of all runs of size bytes
+    while True:
+        if k & size:
+            at = h[taken:]
+            out = at if out is None else out[: len(at)] * np.uint64(pow(C.BASE, size, 1 << 64)) + at
+            taken += size
+        if taken == k:
+            return C.mix(out)
+        h = h[:-size] * np.uint64(pow(C.BASE, size, 1 << 64)) + h[size:]
+        size *= 2
+
+
 def runs(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """(document, first window, windows, offset of the anchor from the first window, anchor's hash) of each run of a block."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return none, none, none, none, none
-    h = C.span_hash(C.prefix_hash(data), np.arange(len(data) - gram + 1), np.arange(gram, len(data) + 1))
+    h = gram_hash(data, gram)
     place = np.arange(len(h), dtype=np.uint64)
     least = _window_min((h & np.uint64(0xFFFFFFFF00000000)) | place, length - gram + 1)
     doc = np.searchsorted(at, np.arange(len(least)), "right") - 1
