@@ -110,6 +110,41 @@ def test_minhash_cases(spark, none):
     assert sorted(str(r["doc_id"]) for r in left.collect()) == ["1", "1", "2", "None"]
 
 
+def test_minhash_repeated_ids(spark):
+    """Rows that share an id, or have none, and differ in text are documents of their own."""
+    a, b = (" ".join(f"{c}{i}" for i in range(50)) for c in "ab")
+    near = lambda t: t + " more"
+    rows = [(1, a), (1, b), (2, near(a)), (3, near(b)), (None, near(b) + " still"), (None, "alone here with few words"), (1, a)]
+    got = minhash.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in got) == sorted([("1", "1", True)] * 3 + [("2", "1", False), ("3", "1", False), ("None", "1", False), ("None", "None", True)])
+
+
+def test_long_texts(spark):
+    """A text of a million words and its near copy, beside short ones, through the operators on texts."""
+    long = " ".join(f"w{i * 7919 % 100003}" for i in range(300_000))
+    rows = [(1, long), (2, long + " end"), (3, "short one"), (4, "x" * 3_000_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in minhash.classify(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert {r["doc_id"]: r["group_size"] for r in exact_dedup.decide(docs).collect()} == {1: 1, 2: 1, 3: 1, 4: 1}
+    assert {r["doc_id"]: r["n_tokens"] for r in lm.score(docs.where("doc_id < 4")).collect()} == {1: 300_001, 2: 300_002, 3: 3}
+    item = " ".join(long.split()[1000:1040])
+    bench = spark.createDataFrame([(9, item)], "item_id long, text string")
+    assert {(r["doc_id"], r["at"]) for r in decontaminate.leaks(docs, bench).collect()} >= {(1, 1000), (2, 1000)}
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (4, 0)], "doc_id long, quality int")
+    assert quality.score(docs.unionByName(spark.createDataFrame([(5, "line\n" * 400_000)], "doc_id long, text string")), labels).count() == 5
+
+
+def test_hash_of_thue_morse_words():
+    """Words whose hashes would be equal modulo 2**64 under every base."""
+    a = b"a"
+    for _ in range(11):
+        a += a.translate(bytes.maketrans(b"ab", b"ba"))
+    data = np.frombuffer(a + a.translate(bytes.maketrans(b"ab", b"ba")) + a, np.uint8)
+    at = np.arange(4) * len(a)
+    h = licenses.C.span_hash(licenses.C.prefix_hash(data), at[:-1], at[1:])
+    assert h[0] == h[2] != h[1]
+
+
 def test_cluster_path_is_exact(spark):
     """Many texts around one passage: large open buckets, whose chunks are solved by matrices."""
     r = random.Random(1)
@@ -254,6 +289,33 @@ def test_lm(spark, docs, none):
     assert lm.score(odd(spark)).count() == 4
 
 
+def test_lm_score(spark):
+    """Scores put together again from the lattice, the counts and the discount, word by word."""
+    rows = [(i, t) for i, t, *_ in corpus(n=30)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    count = collections.Counter(w for i, t in rows if not held(i) for w in words(t))
+    ends = sum(not held(i) for i, _ in rows)
+    n, v = sum(count.values()) + ends, len(count) + 1
+    once, twice = (sum(c == k for c in count.values()) for k in (1, 2))
+    d = once / (once + 2 * twice)
+    pieces, logp = lm.vocabulary()
+    spell = lambda w: np.frombuffer(b" " + w.encode(), np.uint8)[None, :]
+    for _ in range(lm.ROUNDS):
+        lattice, total = lm.Lattice(pieces, logp), np.full(len(pieces), lm.PRIOR)
+        for w in count:
+            lattice.expected(spell(w), np.ones(1), total)
+        logp = np.log(total / total.sum())
+    lattice = lm.Lattice(pieces, logp)
+
+    def log10(w):
+        mass = math.exp(lattice.forward(spell(w), lattice.edges(spell(w)))[0, -1])
+        return math.log10(max(count[w] - d, 0) / n + d * v / n * mass)
+
+    got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        assert math.isclose(got[i], sum(map(log10, words(t))) + math.log10((ends - d) / n), rel_tol=1e-5), i
+
+
 def test_lattice():
     """The forward recursion is the sum over all segmentations, and expected counts are those of the posterior."""
     pieces = sorted([b" ", b"a", b"b", b" a", b"ab", b"ba", b"aba"])
@@ -318,6 +380,55 @@ def test_licenses(spark, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_licenses_wrapped(spark):
+    """Notices that are wrapped, commented, or share a line with another one; long texts; and what only looks like one."""
+    import textwrap
+
+    mit, bsd, gpl = licenses.TEMPLATES["mit"][2], licenses.TEMPLATES["bsd"][2], licenses.TEMPLATES["gpl-3.0"][2]
+    plain = "the river and the house of the old town where people see another line about nothing at all"
+    long = "\n".join(plain for _ in range(20000))
+    rows = [
+        (1, "\n".join(textwrap.wrap(mit, 60))),
+        (2, "/*\n" + "\n".join(" * " + x for x in textwrap.wrap(gpl, 50)) + "\n */\n" + plain),
+        (3, f"{plain} {mit} {plain} {bsd} {plain}"),
+        (4, "\n".join("# " + x for x in ["The MIT License (MIT)", "", *textwrap.wrap(mit, 70)])),
+        (5, plain + "\nSPDX-License-Identifier: MIT\n" + plain),
+        (6, f"{long}\n{bsd}\n{long}"),
+        (7, "permission is granted to any person to deal in software and conditions without any restriction " + plain),
+        (8, " - -- \n --"),
+    ] + [(k, f"{plain} {k}") for k in range(20, 60)]
+    got = collections.defaultdict(set)
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("confirmed").collect():
+        got[r["doc_id"]].add((r["family"], r["paragraph"]))
+    assert {i: {f for f, _ in x} for i, x in got.items()} == {1: {"mit"}, 2: {"gpl-3.0"}, 3: {"mit", "bsd"}, 4: {"mit"}, 5: {"mit"}, 6: {"bsd"}}
+    assert ("gpl-3.0", 1) in got[2] and ("mit", 1) in got[5] and ("bsd", 20000) in got[6]
+
+
+def test_licenses_confirm():
+    """The share of a notice's bigrams against all stretches of its length and a quarter."""
+    r = random.Random(3)
+    notice = [f"n{i}" for i in range(12)]
+    grams, n = licenses._template_sets_of([" ".join(notice)])[0]
+    for _ in range(60):
+        w = [r.choice(["x", "y", *notice]) if r.random() < 0.6 else notice[k % 12] for k in range(r.randint(2, 40))]
+        h = licenses._hash_each([" ".join(w)])[0]
+        own = licenses.C.mix(h[:-1] * np.uint64(licenses.C.BASE) + h[1:]).tolist()
+        span = n + n // 4 + 1
+        want = max(len({x for x in own[i : i + span + 1] if x in grams}) / len(grams) for i in range(len(own)))
+        assert math.isclose(licenses.confirm(h, 0, len(h), 0, len(h), [(grams, n)])[0], want)
+
+
+def test_licenses_held_out():
+    """Notices and paragraphs that a training doesn't see: most are told apart."""
+    r = random.Random(5)
+    vocab = ["river", "house", "the", "of", "and", "town", "people", "see", "old", "line", "free", "use", "this", "is"]
+    z, y = licenses.held_out_logits([" ".join(r.choice(vocab) for _ in range(30)) for _ in range(300)], 50)
+    top = z.argmax(axis=1)
+    assert np.mean(top[y == 0] == 0) > 0.9 and np.mean(top[y > 0] > 0) > 0.3
+    z, y = licenses.held_out_logits([" ".join(r.choice(vocab) for _ in range(30)) for _ in range(300)], 50, varied=True)
+    assert np.mean(z.argmax(axis=1) == y) > 0.7
+
+
 @pytest.mark.parametrize("chunk", [4, 4096])
 def test_mixing(docs, chunk):
     rows = corpus()
