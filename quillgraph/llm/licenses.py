@@ -1,16 +1,16 @@
 """Licence scans: a trained paragraph classifier names the licence family, templates confirm it.
 
 A paragraph is a run of lines that hold words; comment marks don't count as words, so a notice that is wrapped over
-commented lines is one paragraph. Every line of it, and every window of WINDOW words of it and of half as many, half a window
-apart, is classified. The classifier is multinomial logistic regression on sparse hashed word 1- to 3-grams. It is trained here, on
-the notices of each family (TEMPLATES): whole or windows of them, varied by dropped words and by words of the corpus
-around them, against windows of a bounded sample of documents (SAMPLE and LINES, parameters; taken by hash from anywhere
-in a text) and against shuffled words of the notices, which are class 'unknown'. A temperature calibrates the
-probabilities; it is fitted on new variations, and on whole notices that a first training doesn't see, the last of each
-family that has several.
-Where the families together are below `least`, the class is unknown, else the likeliest family. A prediction is confirmed if some notice of the family has at least `alike` of its word
-bigrams in the words around the window, as many on either side as that notice has. Scoring reads every whole text, however
-long, and is one pass without a shuffle.
+commented lines is one paragraph. Every line of it, and every window of WINDOW words of it and of half as many, half a
+window apart, is classified. The classifier is multinomial logistic regression on sparse hashed word 1- to 3-grams. It
+is trained here, on the notices of each family (TEMPLATES): whole or windows of them, varied by dropped words and by
+words of the corpus around them, against windows of a bounded sample of documents (SAMPLE and LINES, parameters; taken
+by hash from anywhere in a text) and against shuffled words of the notices, which are class 'unknown'. A temperature
+calibrates the probabilities; it is fitted on new variations, and on whole notices that a first training doesn't see,
+the last of each family that has several. Where the families together are below `least`, the class is unknown, else the
+likeliest family. A prediction is confirmed if some notice of the family has at least `alike` of its word bigrams in the
+words around the window, as many on either side as that notice has. Scoring reads every whole text, however long, and is
+one pass without a shuffle.
 
 Defined cases: null or empty texts hold no licence. Rows that repeat a doc_id are scanned one by one. Of equally similar
 windows, the first is given. Without documents the classifier is trained on the notices alone. An empty table gives an

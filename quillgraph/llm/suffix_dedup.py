@@ -406,7 +406,7 @@ def _with_spans(docs: DataFrame, **options) -> DataFrame:
 
 
 def decide(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs(doc_id, text)."""
+    """doc_id, n_removed, n_spans, n_bytes, kept_sha256, repeats (whether anything is removed) for every row of docs(doc_id, text)."""
 
     def run(batches):
         for part, data, at in C.blocks(batches):
@@ -416,9 +416,9 @@ def decide(docs: DataFrame, **options) -> DataFrame:
                 n_removed.append(sum(b - a for a, b in u))
                 n_spans.append(len(u))
                 shas.append(hashlib.sha256(_cut_out(data[at[i] : at[i + 1]].tobytes(), u)).hexdigest())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at)), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(shas)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(np.diff(at)), pa.array(shas), pa.array([x > 0 for x in n_removed], pa.bool_())], names=["doc_id", "n_removed", "n_spans", "n_bytes", "kept_sha256", "repeats"])
 
-    return _with_spans(docs, **options).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(docs, **options).mapInArrow(run, "doc_id long, n_removed long, n_spans long, n_bytes long, kept_sha256 string, repeats boolean")
 
 
 def remove(docs: DataFrame, **options) -> DataFrame:
