@@ -84,3 +84,13 @@ def csr_offsets(g: Graph) -> DataFrame:
     start = sums.select(F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inner = F.coalesce(F.sum("degree").over(W.partitionBy("bucket").orderBy("id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return d.withColumn("inner", inner).join(start, F.col("bucket") == F.col("b")).select("id", (F.col("before") + F.col("inner")).cast("long").alias("begin"))
+
+
+def degree_sum(g: Graph, ids: DataFrame) -> DataFrame:
+    """degrees: how many edges leave ids(id), which is what expanding them costs."""
+    return g.edges.join(ids.select(F.col("id").alias("i")), F.col("src") == F.col("i"), "left_semi").agg(F.count("*").alias("degrees"))
+
+
+def batch(prio: DataFrame, low: int, high: int) -> DataFrame:
+    """The vertices of prio(id, prio) with low <= prio < high: a batch of a fixed order, which no sort or offset has to find."""
+    return prio.where((F.col("prio") >= low) & (F.col("prio") < high))

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions.priority import priorities
 from ..model import Graph
-from ..plans.loop import HOPS, cut, small
+from ..plans.loop import BROADCAST_ROWS, HOPS, by_source, cut, drop, small
 
 
 def prefix_min(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
@@ -24,19 +24,19 @@ def le_lists(g: Graph, prio: DataFrame | None = None, hops: int = HOPS) -> DataF
     priority at once, hop by hop, and only an improvement is sent on: whatever doesn't improve a vertex can't improve
     what lies behind it. A job takes several hops, and the prefix minimum then drops what came too late."""
     prio = cut(prio if prio is not None else priorities(g.vertices))
-    edges = g.edges.where("src <> dst").select("src", "dst").distinct()
-    edges = cut(edges)
-    seen = cut(prio.select("id", "prio", F.lit(0).alias("dist")))
-    front, n, base = seen, seen.count(), 0
-    while n:
-        step, found = small(front.select("id", "prio"), n), seen
-        for k in range(1, hops + 1):
-            step = edges.join(step, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg(F.min("prio").alias("prio"))
-            found = found.unionByName(step.withColumn("dist", F.lit(base + k)))
-        seen = cut(prefix_min(found, "id", "dist", "prio"))
-        base += hops
-        front = seen.where(F.col("dist") == base)
-        n = front.count()
+    with by_source(g.edges.where("src <> dst").select("src", "dst").distinct()) as edges:
+        seen = cut(prio.select("id", "prio", F.lit(0).alias("dist")))
+        front, n, base = seen, seen.count(), 0
+        while n:
+            step, found, ahead = small(front.select("id", "prio"), n), seen, hops if n <= BROADCAST_ROWS else 1
+            for k in range(1, ahead + 1):
+                step = edges.join(step, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg(F.min("prio").alias("prio"))
+                found = found.unionByName(step.withColumn("dist", F.lit(base + k)))
+            before, seen = seen, cut(prefix_min(found, "id", "dist", "prio"))
+            drop(before)
+            base += ahead
+            front = seen.where(F.col("dist") == base)
+            n = front.count()
     name = prio.select(F.col("prio").alias("p"), F.col("id").alias("source"))
     return seen.join(name, F.col("prio") == F.col("p")).select(F.col("id").alias("target"), "source", "dist")
 
@@ -47,19 +47,31 @@ def ldd(g: Graph, beta: float = 0.2, hops: int = HOPS) -> DataFrame:
     Vertices start in the order of their priority, exponentially many a round: the one of priority p at ceil(ln(p + 1) / beta)."""
     prio = priorities(g.vertices)
     start = cut(prio.select("id", F.struct(F.ceil(F.log(F.col("prio") + 1.0) / beta).cast("int").alias("arrival"), "prio").alias("key")))
-    edges = cut(g.edges.where("src <> dst").select("src", "dst").distinct())
-    now, delta, n = start, start, start.count()
-    while n:
-        step, found = small(delta.select("id", "key"), n), now
-        for _ in range(hops):
-            step = edges.join(step, F.col("src") == F.col("id")).select(F.col("dst").alias("id"), F.struct((F.col("key.arrival") + 1).alias("arrival"), F.col("key.prio").alias("prio")).alias("key")).groupBy("id").agg(F.min("key").alias("key"))
-            found = found.unionByName(step)
-        best = found.groupBy("id").agg(F.min("key").alias("key"))
-        both = cut(best.join(now.select(F.col("id").alias("i"), F.col("key").alias("was")), F.col("id") == F.col("i")))
-        delta = both.where("key < was")
-        n = delta.count()
-        now = both.select("id", "key")
+    plain = cut(g.edges.where("src <> dst").select("src", "dst").distinct())
+    with by_source(plain) as edges:
+        both, now, delta, n = start, start, start, start.count()
+        while n:
+            step, found = small(delta.select("id", "key"), n), now
+            for _ in range(hops if n <= BROADCAST_ROWS else 1):
+                step = edges.join(step, F.col("src") == F.col("id")).select(F.col("dst").alias("id"), F.struct((F.col("key.arrival") + 1).alias("arrival"), F.col("key.prio").alias("prio")).alias("key")).groupBy("id").agg(F.min("key").alias("key"))
+                found = found.unionByName(step)
+            best = found.groupBy("id").agg(F.min("key").alias("key"))
+            before, both = both, cut(best.join(now.select(F.col("id").alias("i"), F.col("key").alias("was")), F.col("id") == F.col("i")))
+            drop(before)
+            delta = both.where("key < was")
+            n = delta.count()
+            now = both.select("id", "key")
     at = now.select(F.col("id").alias("i"), F.col("key").alias("k"))
-    below = edges.join(at, F.col("src") == F.col("i")).join(now, F.col("dst") == F.col("id")).where("key.prio = k.prio and key.arrival = k.arrival + 1").groupBy(F.col("dst").alias("d")).agg(F.min("src").alias("up"))
+    below = plain.join(at, F.col("src") == F.col("i")).join(now, F.col("dst") == F.col("id")).where("key.prio = k.prio and key.arrival = k.arrival + 1").groupBy(F.col("dst").alias("d")).agg(F.min("src").alias("up"))
     name = prio.select(F.col("prio").alias("p"), F.col("id").alias("center"))
     return now.join(name, F.col("key.prio") == F.col("p")).join(below, F.col("id") == F.col("d"), "left").select("id", "center", F.when(F.col("id") == F.col("center"), F.col("id")).otherwise(F.col("up")).alias("parent"))
+
+
+def centres(n: int, samples: int = 1024) -> list[int]:
+    """Ids of `samples` vertices of 0..n-1, by a hash of 1024 and on: the same on every run."""
+    return [(k * 2654435761 + 12345) % 2**32 % n for k in range(1024, 1024 + samples)] if n else []
+
+
+def differing(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The rows that only one of two results has, repeats counted; none if they are equal."""
+    return a.exceptAll(b).unionByName(b.exceptAll(a))

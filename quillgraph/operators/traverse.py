@@ -1,7 +1,8 @@
 """Traversals: hop distances, reachability, labels from many sources.
 
-A job takes several hops from the frontier, keeps the best value by vertex, and drops what is settled; the frontier of
-the next job are the vertices at its last hop. Edges are never broadcast; a frontier is, if its count allows it.
+Edges are dealt by their source once; a hop shuffles its frontier alone. A job takes several hops from a small frontier,
+or one from a wide one, so that little is expanded twice; it keeps the best value by vertex and drops what is settled.
+Each job writes what is new, and what was written before is never written again.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.loop import HOPS, cut, drop, small
+from ..plans.loop import BROADCAST_ROWS, HOPS, by_source, cut, drop, small, together
 from .construct import transpose
 
 
@@ -19,23 +20,22 @@ def _oriented(edges: DataFrame, direction: str) -> DataFrame:
 
 def bfs(edges: DataFrame, sources: DataFrame, direction: str = "out", hops: int = HOPS) -> DataFrame:
     """id, dist: least number of edges from any of sources(id)."""
-    edges = _oriented(edges, direction)
-    seen = cut(sources.select("id").distinct().withColumn("dist", F.lit(0)))
-    front, n, base = seen, seen.count(), 0
-    while n:
-        step, found = small(front.select("id"), n), None
-        for k in range(1, hops + 1):
-            step = edges.join(step, F.col("src") == F.col("id")).select(F.col("dst").alias("id")).distinct()
-            at = step.withColumn("dist", F.lit(base + k))
-            found = at if found is None else found.unionByName(at)
-        new = cut(found.groupBy("id").agg(F.min("dist").alias("dist")).join(seen.select(F.col("id").alias("s")), F.col("id") == F.col("s"), "left_anti"))
-        base += hops
-        front = new.where(F.col("dist") == base)
-        n = front.count()
-        if new.isEmpty():
-            break
-        seen = cut(seen.unionByName(new))
-    return seen
+    with by_source(_oriented(edges, direction)) as kept:
+        done = [cut(sources.select("id").distinct().withColumn("dist", F.lit(0)))]
+        front, n, base = done[0], done[0].count(), 0
+        while n:
+            step, found, ahead = small(front.select("id"), n), None, hops if n <= BROADCAST_ROWS else 1
+            for k in range(1, ahead + 1):
+                step = kept.join(step, F.col("src") == F.col("id")).select(F.col("dst").alias("id")).distinct()
+                at = step.withColumn("dist", F.lit(base + k))
+                found = at if found is None else found.unionByName(at)
+            new = cut(found.groupBy("id").agg(F.min("dist").alias("dist")).join(together(done).select(F.col("id").alias("s")), F.col("id") == F.col("s"), "left_anti"))
+            base += ahead
+            some, n = new.agg(F.count("*"), F.count(F.when(F.col("dist") == base, 1))).first()
+            if some:
+                done.append(new)
+            front = new.where(F.col("dist") == base)
+        return together(done)
 
 
 def reach(edges: DataFrame, sources: DataFrame, direction: str = "out") -> DataFrame:
@@ -49,33 +49,48 @@ def multi_reach(edges: DataFrame, sources: DataFrame, part: DataFrame | None = N
 
     edges = _oriented(edges, direction)
     if part is not None:
-        edges = cut(restrict(edges, part).select("src", "dst"))
-    seen = cut(sources.select("id", F.col("id").alias("label")).distinct())
-    delta, n = seen, seen.count()
-    while n:
-        step, found = small(delta, n), None
-        for _ in range(2):
-            step = edges.join(step, F.col("src") == F.col("id")).select(F.col("dst").alias("id"), "label").distinct()
-            found = step if found is None else found.unionByName(step)
-        delta = cut(found.distinct().join(seen, ["id", "label"], "left_anti"))
-        n = delta.count()
-        seen = cut(seen.unionByName(delta)) if n else seen
-    return seen
+        edges = restrict(edges, part)
+    with by_source(edges) as kept:
+        done = [cut(sources.select("id", F.col("id").alias("label")).distinct())]
+        delta, n = done[0], done[0].count()
+        while n:
+            step, found = small(delta, n), None
+            for _ in range(2 if n <= BROADCAST_ROWS else 1):
+                step = kept.join(step, F.col("src") == F.col("id")).select(F.col("dst").alias("id"), "label").distinct()
+                found = step if found is None else found.unionByName(step)
+            delta = cut(found.distinct().join(together(done), ["id", "label"], "left_anti"))
+            n = delta.count()
+            if n:
+                done.append(delta)
+        return together(done)
 
 
 def least_label(edges: DataFrame, start: DataFrame, hops: int = HOPS) -> DataFrame:
     """id, label: the least label of start(id, label) that reaches a vertex, its own included."""
-    now = cut(start)
-    delta, n = now, now.count()
-    while n:
-        step, found = small(delta, n), now
-        for _ in range(hops):
-            step = edges.join(step, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("label"))
-            found = found.unionByName(step)
-        best = found.groupBy("id").agg(F.min("label").alias("label"))
-        old = now.select(F.col("id").alias("i"), F.col("label").alias("was"))
-        both = cut(best.join(old, F.col("id") == F.col("i")))
-        delta = both.where("label < was").select("id", "label")
-        n = delta.count()
-        now = both.select("id", "label")
-    return now
+    with by_source(edges) as kept:
+        now = cut(start)
+        both, delta, n = now, now, now.count()
+        while n:
+            step, found = small(delta, n), now
+            for _ in range(hops if n <= BROADCAST_ROWS else 1):
+                step = kept.join(step, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("label"))
+                found = found.unionByName(step)
+            best = found.groupBy("id").agg(F.min("label").alias("label"))
+            old = now.select(F.col("id").alias("i"), F.col("label").alias("was"))
+            before, both = both, cut(best.join(old, F.col("id") == F.col("i")))
+            drop(before)
+            delta = both.where("label < was").select("id", "label")
+            n = delta.count()
+            now = both.select("id", "label")
+        return now
+
+
+def effective_degree(edges: DataFrame, dist: DataFrame, beyond: int) -> DataFrame:
+    """id, degree: how many neighbours of a vertex are farther than `beyond` in dist(id, dist), or not in it at all."""
+    near = dist.where(F.col("dist") <= beyond).select(F.col("id").alias("v"))
+    return edges.join(near, F.col("dst") == F.col("v"), "left_anti").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
+
+
+def greatest_label(pairs: DataFrame) -> DataFrame:
+    """id, label: the greatest label of each vertex of multi_reach's pairs(id, label)."""
+    return pairs.groupBy("id").agg(F.max("label").alias("label"))

@@ -7,7 +7,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +21,11 @@ HOPS = 4
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where it is unset, as in tests."""
+    """spark.checkpoint.dir, or a temporary folder where it is unset and Spark is local, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -43,6 +48,23 @@ def drop(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def together(frames: list[DataFrame]) -> DataFrame:
+    """What several cut() of one schema wrote, as one scan."""
+    return frames[0].sparkSession.read.schema(frames[0].schema).parquet(*[f._quill_path for f in frames])
+
+
+@contextmanager
+def by_source(edges: DataFrame) -> Iterator[DataFrame]:
+    """edges(src, dst), dealt by src once and kept like that while a loop runs: a hop then shuffles its frontier only, never the edges. What a lost executor held is read again."""
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = edges.select("src", "dst").repartition(n, "src").persist(StorageLevel.MEMORY_AND_DISK)
+    kept.count()
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if its known number of rows allows it."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
