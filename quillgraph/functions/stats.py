@@ -44,3 +44,20 @@ def phase_breakdown(phases: DataFrame, by: str, phase: str, seconds: str, names:
     wide = phases.groupBy(by).pivot(phase, [*names, total]).agg(F.sum(seconds))
     known = sum((F.coalesce(F.col(n), F.lit(0.0)) for n in names), F.lit(0.0))
     return wide.select(by, *[F.coalesce(F.col(n), F.lit(0.0)).alias(n) for n in names], (F.col(total) - known).alias("others"))
+
+
+def pivot_mean(runs: DataFrame, row: str, column: str, value: str, names: list) -> DataFrame:
+    """The mean of value by row, one column for each of names: a sweep's table."""
+    return runs.groupBy(row).pivot(column, names).agg(F.avg(value))
+
+
+def rounds(dist: DataFrame, hops: int) -> DataFrame:
+    """rounds, jobs, ratio: synchronous rounds that distances took, jobs of `hops` hops each that do the same, and how many times fewer those are."""
+    r = dist.agg(F.coalesce(F.max("dist"), F.lit(0)).cast("long").alias("rounds"))
+    return r.withColumn("jobs", F.ceil(F.col("rounds") / hops)).withColumn("ratio", F.col("rounds") / F.nullif(F.col("jobs"), F.lit(0)))
+
+
+def frontiers(g: Graph, dist: DataFrame) -> DataFrame:
+    """dist, n, degrees: the size of the frontier of each round, and the edges that leave it."""
+    out = g.edges.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("d"))
+    return dist.join(out, F.col("id") == F.col("v"), "left").groupBy("dist").agg(F.count("*").alias("n"), F.coalesce(F.sum("d"), F.lit(0)).alias("degrees"))

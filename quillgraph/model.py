@@ -31,6 +31,54 @@ class Graph:
         """The graph with the edges that meet a predicate on src and dst; Spark pushes it down to the scan where it can."""
         return Graph(self.vertices, self.edges.where(predicate), self.symmetric)
 
+    def reach(self, sources: DataFrame, direction: str = "out") -> DataFrame:
+        """id: what sources(id) reach."""
+        from .operators import traverse
+
+        return traverse.reach(self.edges, sources, direction)
+
+    def bfs(self, sources: DataFrame, direction: str = "out") -> DataFrame:
+        """id, dist from the nearest of sources(id)."""
+        from .operators import traverse
+
+        return traverse.bfs(self.edges, sources, direction)
+
+    def multi_reach(self, sources: DataFrame, part: DataFrame | None = None, direction: str = "out") -> DataFrame:
+        """id, label: the pairs of a vertex and each of sources(id) that reaches it."""
+        from .operators import traverse
+
+        return traverse.multi_reach(self.edges, sources, part, direction)
+
+    def scc(self) -> DataFrame:
+        """id, comp: strongly connected components."""
+        from .operators import scc
+
+        return scc.scc(self)
+
+    def connected_components(self) -> DataFrame:
+        """id, comp: components, edges taken in both directions."""
+        from .operators import cc
+
+        return cc.connected_components(self)
+
+    def spanning_forest(self) -> DataFrame:
+        """src, dst of a forest that spans each component."""
+        from .operators import cc
+
+        return cc.spanning_forest(self)
+
+    def ldd(self, beta: float = 0.2) -> DataFrame:
+        """id, center, parent: low-diameter decomposition; edges must be symmetric."""
+        from .operators import decompose
+
+        return decompose.ldd(self, beta)
+
+    def le_lists(self) -> DataFrame:
+        """target, source, dist: least-element lists; edges must be symmetric."""
+        from .operators import decompose
+
+        return decompose.le_lists(self)
+
     def validate(self) -> DataFrame:
         """dangling: edges with an end that is no vertex; asymmetric: edges without their reverse; duplicates: repeated ids; nulls: edges or ids with a null."""
         ids = self.vertices.select("id").distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -10,7 +12,8 @@ from .functions import stats
 from .functions.priority import priorities
 from .model import Graph
 from .operators import cc, construct, decompose, scc, traverse
-from .plans.loop import cut
+from .plans.loop import HOPS, cut, shared_dir
+from .sources import csr
 from .sources import relational as R
 
 QUERIES: dict = {}
@@ -190,16 +193,16 @@ def neighbour_pull(spark, sf_dir):
     return g.vertices.join(s, F.col("id") == F.col("s"), "left_anti").join(edges_in, F.col("id") == F.col("dst"), "left_semi")
 
 
-@_query(f"WITH RECURSIVE {KNN2}, r(id, label) AS (SELECT id, id FROM v WHERE id % 50 = 7 UNION SELECT e.dst, r.label FROM r JOIN e ON r.id = e.src) SELECT id, label FROM r")
+@_query(f"WITH RECURSIVE {KNN2}, r(id, label) AS (SELECT id, id FROM v UNION SELECT e.dst, r.label FROM r JOIN e ON r.id = e.src) SELECT id, label FROM r")
 def multi_reach(spark, sf_dir):
     g = R.knn(spark, sf_dir, 2)
-    return traverse.multi_reach(cut(g.edges), g.vertices.where("id % 50 = 7"))
+    return traverse.multi_reach(cut(g.edges), g.vertices)
 
 
-@_query(f"WITH RECURSIVE {C12}, w AS (SELECT e.* FROM e WHERE src % 3 = dst % 3), r(id, label) AS (SELECT id, id FROM v WHERE id % 20 = 3 UNION SELECT w.dst, r.label FROM r JOIN w ON r.id = w.src) SELECT id, label FROM r")
+@_query(f"WITH RECURSIVE {C12}, w AS (SELECT e.* FROM e WHERE src % 3 = dst % 3), r(id, label) AS (SELECT id, id FROM v UNION SELECT w.dst, r.label FROM r JOIN w ON r.id = w.src) SELECT id, label FROM r")
 def multi_reach_parts(spark, sf_dir):
     g = _c12(spark, sf_dir)
-    return traverse.multi_reach(g.edges, g.vertices.where("id % 20 = 3"), g.vertices.select("id", (F.col("id") % 3).alias("part")))
+    return traverse.multi_reach(g.edges, g.vertices, g.vertices.select("id", (F.col("id") % 3).alias("part")))
 
 
 @_query(f"WITH RECURSIVE {C12}, {CLOSURE}, {SCC} SELECT id, comp FROM scc")
@@ -343,3 +346,68 @@ def after_warm_up(spark, sf_dir):
 @_query(f"WITH {C12}, {PRIO} SELECT id, prio FROM p")
 def permutation(spark, sf_dir):
     return priorities(R.copart(spark, sf_dir, 12).vertices)
+
+
+@_query(f"WITH RECURSIVE {C12}, {SOURCE}, {_BFS} SELECT CAST(max(dist) AS BIGINT) AS rounds, CAST(ceil(max(dist) / {HOPS}) AS BIGINT) AS jobs, max(dist) / ceil(max(dist) / {HOPS}) AS ratio FROM b")
+def bfs_rounds(spark, sf_dir):
+    g = _c12(spark, sf_dir)
+    return stats.rounds(g.bfs(_source(g)), HOPS)
+
+
+@_query(f"WITH RECURSIVE {C12}, {SOURCE}, {_BFS}, d AS (SELECT src, count(*) AS d FROM e GROUP BY src) SELECT CAST(dist AS INT) AS dist, count(*) AS n, CAST(coalesce(sum(d), 0) AS BIGINT) AS degrees FROM b LEFT JOIN d ON id = src GROUP BY dist")
+def bfs_frontiers(spark, sf_dir):
+    g = _c12(spark, sf_dir)
+    return stats.frontiers(g, g.bfs(_source(g)))
+
+
+@_query(f"WITH RECURSIVE {C12}, {SOURCE}, {_BFS} SELECT src AS id, count(*) AS degree FROM e WHERE dst NOT IN (SELECT id FROM b WHERE dist <= 2) GROUP BY src")
+def effective_degree(spark, sf_dir):
+    g = _c12(spark, sf_dir)
+    return traverse.effective_degree(g.edges, g.bfs(_source(g)), 2)
+
+
+@_query(f"WITH RECURSIVE {KNN2}, r(id, label) AS (SELECT id, id FROM v UNION SELECT e.dst, r.label FROM r JOIN e ON r.id = e.src) SELECT id, max(label) AS label FROM r GROUP BY id")
+def greatest_label(spark, sf_dir):
+    g = R.knn(spark, sf_dir, 2)
+    return traverse.greatest_label(traverse.multi_reach(cut(g.edges), g.vertices))
+
+
+@_query(f"""WITH RECURSIVE {KNN2}, {SYM}, {PRIO}, {PAIRS}, l AS MATERIALIZED (SELECT b AS id, arg_min(a, (CAST(ceil(ln(prio + 1.0) / 0.2) AS INT) + dist, prio)) AS center, min(CAST(ceil(ln(prio + 1.0) / 0.2) AS INT) + dist) AS arrival FROM t JOIN p ON p.id = t.a GROUP BY b),
+up AS (SELECT u.dst AS d, min(u.src) AS parent FROM u JOIN l x ON x.id = u.src JOIN l y ON y.id = u.dst WHERE x.center = y.center AND y.arrival = x.arrival + 1 GROUP BY u.dst)
+SELECT id, center, CASE WHEN id = center THEN id ELSE parent END AS parent FROM l LEFT JOIN up ON d = id""")
+def ldd_parents(spark, sf_dir):
+    return _knn_sym(spark, sf_dir).ldd()
+
+
+@_query("SELECT CAST(0 AS BIGINT) AS differing")
+def le_list_check(spark, sf_dir):
+    """Lists made with several hops a job against those made hop by hop, both ways."""
+    g = _knn_sym(spark, sf_dir)
+    return decompose.differing(g.le_lists(), decompose.le_lists(g, hops=1)).agg(F.count("*").alias("differing"))
+
+
+@_query("SELECT l_linenumber, avg(l_quantity) FILTER (WHERE l_returnflag = 'A') AS \"A\", avg(l_quantity) FILTER (WHERE l_returnflag = 'N') AS \"N\", avg(l_quantity) FILTER (WHERE l_returnflag = 'R') AS \"R\" FROM lineitem GROUP BY l_linenumber")
+def sweep_pivot(spark, sf_dir):
+    return stats.pivot_mean(R.table(spark, sf_dir, "lineitem"), "l_linenumber", "l_returnflag", "l_quantity", ["A", "N", "R"])
+
+
+@_query(f"WITH {C12}, s AS (SELECT id FROM v WHERE id IN (SELECT dst FROM e)) SELECT count(*) AS degrees FROM e WHERE src IN (SELECT id FROM s)")
+def degree_sum(spark, sf_dir):
+    g = _c12(spark, sf_dir)
+    return construct.degree_sum(g, g.edges.select(F.col("dst").alias("id")).distinct())
+
+
+@_query(f"WITH {C12}, {PRIO} SELECT id, prio FROM p WHERE prio >= 128 AND prio < 256")
+def priority_batch(spark, sf_dir):
+    return construct.batch(priorities(R.copart(spark, sf_dir, 12).vertices), 128, 256)
+
+
+@_query("""WITH k AS (SELECT DISTINCT o_custkey AS c, l_suppkey AS s FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity < 2),
+x AS (SELECT DISTINCT 'c' AS kind, c AS num FROM k UNION SELECT DISTINCT 's', s FROM k), d AS (SELECT kind, num, row_number() OVER (ORDER BY kind, num) - 1 AS id FROM x)
+SELECT a.id AS src, b.id AS dst FROM k JOIN d a ON a.kind = 'c' AND a.num = c JOIN d b ON b.kind = 's' AND b.num = s""")
+def adj_round_trip(spark, sf_dir):
+    """The graph of customers and suppliers, written as .adj text and read again."""
+    g = R.dense_customer_suppliers(spark, sf_dir)
+    path = f"{shared_dir(spark)}/quillgraph/graph-{uuid.uuid4().hex}.adj"
+    csr.write_adj(Graph(cut(g.vertices), cut(g.edges)), path)
+    return csr.read(spark, path).edges

@@ -1,17 +1,19 @@
-"""CSR graph files: `.adj` text and `.bin` little-endian binary, read and written in parallel.
+"""CSR graph files: `.adj` text and `.bin` little-endian binary.
 
 A `.bin` block is u64 n, u64 m, u64 size, u64 offset[n + 1], u32 target[m]; a dual file has a second block, of the edges
 by their targets. Reading plans byte ranges from the header, and a task reads its range of targets and the offsets that
-cover it, so a file of any size is read in pieces. The files must be where every executor sees them.
+cover it, so a file of any size is read in pieces, from wherever pyarrow's file systems reach. An `.adj` graph is one text
+file or a folder of them in the order of their names; it is read and written by Spark's own text source.
 """
 
 from __future__ import annotations
 
 import struct
-from pathlib import Path
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -32,29 +34,47 @@ def read(spark: SparkSession, path: str, symmetric: bool = False, dual: bool = F
     raise ValueError(f"{path}: the ending must be .adj or .bin")
 
 
+def _open(path: str) -> pa.NativeFile:
+    system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    return system.open_input_file(inner)
+
+
+class _Offsets:
+    """The n + 1 offsets of a file, each read where it is asked for."""
+
+    def __init__(self, f: pa.NativeFile, n: int) -> None:
+        self.f, self.n = f, n
+
+    def __len__(self) -> int:
+        return self.n + 1
+
+    def __getitem__(self, i: int) -> int:
+        return int(self.span(i, i + 1)[0])
+
+    def span(self, i: int, j: int) -> np.ndarray:
+        return np.frombuffer(self.f.read_at(8 * (j - i), 24 + 8 * i), "<u8").astype(np.int64)
+
+
 def read_bin(spark: SparkSession, path: str, symmetric: bool = False, dual: bool = False, piece: int = PIECE) -> Graph:
-    with open(path, "rb") as f:
-        n, m, size = struct.unpack("<QQQ", f.read(24))
-    expected = (n + 1) * 8 + m * 4 + 24
-    if size != expected:
-        raise ValueError(f"{path}: header says {size} bytes, n and m give {expected}")
-    there = Path(path).stat().st_size
-    if there != expected * (2 if dual else 1):
-        raise ValueError(f"{path}: has {there} bytes")
-    if dual:
-        with open(path, "rb") as f:
-            f.seek(expected)
-            if struct.unpack("<QQ", f.read(16)) != (n, m):
-                raise ValueError(f"{path}: its two blocks differ in n or m")
+    with _open(path) as f:
+        n, m, size = struct.unpack("<QQQ", f.read_at(24, 0))
+        expected = (n + 1) * 8 + m * 4 + 24
+        if size != expected:
+            raise ValueError(f"{path}: header says {size} bytes, n and m give {expected}")
+        if f.size() != expected * (2 if dual else 1):
+            raise ValueError(f"{path}: has {f.size()} bytes")
+        if dual and struct.unpack("<QQ", f.read_at(16, expected)) != (n, m):
+            raise ValueError(f"{path}: its two blocks differ in n or m")
 
     def edges(batches):
         for batch in batches:
             for k in batch.column(0).to_pylist():
                 lo, hi = k * piece, min(m, (k + 1) * piece)
-                offsets = np.memmap(path, "<u8", "r", 24, (n + 1,))
-                first, last = int(np.searchsorted(offsets, lo, "right")) - 1, int(np.searchsorted(offsets, hi, "left"))
-                own = np.clip(offsets[first : last + 1].astype(np.int64), lo, hi)
-                target = np.fromfile(path, "<u4", hi - lo, offset=24 + 8 * (n + 1) + 4 * lo).astype(np.int64)
+                with _open(path) as f:
+                    offsets = _Offsets(f, n)
+                    first, last = bisect_right(offsets, lo) - 1, bisect_left(offsets, hi)
+                    own = np.clip(offsets.span(first, last + 1), lo, hi)
+                    target = np.frombuffer(f.read_at(4 * (hi - lo), 24 + 8 * (n + 1) + 4 * lo), "<u4").astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(first, last), np.diff(own))), pa.array(target)], names=["src", "dst"])
 
     pieces = -(-m // piece)
@@ -62,17 +82,18 @@ def read_bin(spark: SparkSession, path: str, symmetric: bool = False, dual: bool
 
 
 def read_adj(spark: SparkSession, path: str, symmetric: bool = False) -> Graph:
-    """Tokens in lines of any length: AdjacencyGraph, n, m, n offsets, m targets. Tokens are numbered by line and place, and their running number comes from the lines' counts."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), F.filter(F.split("value", r"[\r\t \x00]+"), lambda x: x != "").alias("t")).where("size(t) > 0")
+    """Tokens in lines of any length: AdjacencyGraph, n, m, n offsets, m targets. Tokens are numbered by file, place of the split in it, and line, and their running number comes from the splits' counts."""
     from ..plans.loop import cut
 
+    split = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    lines = spark.read.text(path).select(split.alias("part"), F.monotonically_increasing_id().alias("line"), F.filter(F.split("value", r"[\r\t \x00]+"), lambda x: x != "").alias("t")).where("size(t) > 0")
     lines = cut(lines)
-    # lines of one file partition are numbered in order, and partitions follow the file
-    sizes = lines.select("line", F.size("t").alias("n"), F.floor(F.col("line") / (1 << 33)).alias("part"))
+    # lines of one split are numbered in order; a window holds one row for each split
+    sizes = lines.select("line", F.size("t").alias("n"), "part")
     of_part = sizes.groupBy("part").agg(F.sum("n").alias("s"))
     base = of_part.select(F.col("part").alias("p"), F.coalesce(F.sum("s").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     start = F.coalesce(F.sum("n").over(W.partitionBy("part").orderBy("line").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    at = sizes.withColumn("inner", start).join(F.broadcast(base), F.col("part") == F.col("p")).select(F.col("line").alias("l"), (F.col("base") + F.col("inner")).alias("start"))
+    at = sizes.withColumn("inner", start).join(base, F.col("part") == F.col("p")).select(F.col("line").alias("l"), (F.col("base") + F.col("inner")).alias("start"))
     tokens = lines.join(at, F.col("line") == F.col("l")).select("start", F.posexplode("t").alias("k", "v")).select((F.col("start") + F.col("k")).alias("i"), "v")
     tokens = cut(tokens)
     head = {r["i"]: r["v"] for r in tokens.where("i < 3").collect()}
@@ -105,10 +126,11 @@ def write_bin(g: Graph, path: str, dual: bool = False) -> None:
 
 
 def write_adj(g: Graph, path: str) -> None:
-    """Writes dense ids 0..n-1 as `.adj`, one token a line."""
-    with open(path, "w") as f:
-        f.write(f"AdjacencyGraph\n{g.vertices.count()}\n{g.edges.count()}\n")
-        for row in csr_offsets(g).orderBy("id").toLocalIterator():
-            f.write(f"{row['begin']}\n")
-        for row in g.edges.orderBy("src", "dst").toLocalIterator():
-            f.write(f"{row['dst']}\n")
+    """Writes dense ids 0..n-1 as a folder of `.adj` text, one token a line; each task writes a range of the tokens."""
+    spark, n, m = g.edges.sparkSession, g.vertices.count(), g.edges.count()
+    begin = csr_offsets(g)
+    head = spark.createDataFrame([(0, "AdjacencyGraph"), (1, str(n)), (2, str(m))], "i long, value string")
+    offsets = begin.select((F.col("id") + 3).alias("i"), F.col("begin").cast("string").alias("value"))
+    place = F.row_number().over(W.partitionBy("src").orderBy("dst")) - 1
+    targets = g.edges.withColumn("k", place).join(begin, F.col("src") == F.col("id")).select((F.col("begin") + F.col("k") + n + 3).alias("i"), F.col("dst").cast("string").alias("value"))
+    head.unionByName(offsets).unionByName(targets).repartitionByRange("i").sortWithinPartitions("i").select("value").write.text(path)

@@ -49,6 +49,15 @@ def tagged_keys(pairs: DataFrame) -> DataFrame:
     return densify_ids(pairs.select(tag("c", "c")).union(pairs.select(tag("s", "s"))), "key").select("key.kind", "key.num", "id")
 
 
+def dense_customer_suppliers(spark: SparkSession, sf_dir: str) -> Graph:
+    """customer_suppliers() from customers to suppliers, with the dense ids of tagged_keys()."""
+    pairs = customer_suppliers(spark, sf_dir)
+    ids = tagged_keys(pairs)
+    of = lambda kind, num, name: ids.where(F.col("kind") == kind).select(F.col("num").alias(num), F.col("id").alias(name))
+    edges = pairs.join(of("c", "nc", "src"), F.col("c") == F.col("nc")).join(of("s", "ns", "dst"), F.col("s") == F.col("ns")).select("src", "dst")
+    return Graph.of(edges, ids.select("id"))
+
+
 def knn(spark: SparkSession, sf_dir: str, k: int, block: int = 512) -> Graph:
     """Directed k-nearest neighbours of the embeddings, by squared distance of values rounded to thousandths; ties by vec_id.
 
