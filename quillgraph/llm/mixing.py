@@ -86,6 +86,12 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
     return s.select("source", "source_size", F.least(F.col("cap"), F.col("weight") * water).alias("target"))
 
 
+def source_targets(docs: DataFrame, **options) -> DataFrame:
+    """source, source_size, target of every source of docs(source, text)."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    return targets(docs.groupBy(F.col("source").cast("string").alias("source")).agg(F.sum(size).alias("source_size")), **options)
+
+
 def _fly(last: bool):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "size", "p", "row"], na_position="first", kind="mergesort").reset_index(drop=True)

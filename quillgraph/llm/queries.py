@@ -50,10 +50,33 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_paths(chat.linear(rows)))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_quality, op3_exact_dedup, op4_suffix_dedup, op5_decontaminate, op6_lm_scoring, op7_licenses, op8_mixing, op9_html_text, op10_chat)}
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op8_mixing aims at: the sizes and targets of the sources, to a millionth."""
+    return mixing.source_targets(table(spark, sf_dir, "documents")).selectExpr("source", "source_size", "round(target, 6) target")
 
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_quality, op3_exact_dedup, op4_suffix_dedup, op5_decontaminate, op6_lm_scoring, op7_licenses, op8_mixing, op9_html_text, op10_chat, mix_targets)}
+
+#: Hashes of all strings of 400 bytes, put together from those of 1, 2, 4 ... 256 bytes: a window frame each.
+_DOUBLED = "".join(f"h{2 * n} AS MATERIALIZED (SELECT k, i, c, hash(h, lead(h, {n}) OVER w) AS h, coalesce(lead(g, {n}) OVER w, true) OR g AS g FROM h{n} WINDOW w AS (PARTITION BY k ORDER BY i)),\n" for n in (1, 2, 4, 8, 16, 32, 64, 128))
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLES: dict[str, str] = {
+    "op4_suffix_dedup": f"""WITH t AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS k, hex(encode(coalesce(text, ''))) AS x FROM documents),
+h1 AS MATERIALIZED (SELECT k, unnest(range(len(l))) AS i, unnest(l) AS c, hash(unnest(l)) AS h, false AS g FROM (SELECT k, regexp_extract_all(x, '..') AS l FROM t)),
+{_DOUBLED}s AS MATERIALIZED (SELECT k, i, c, hash(h, lead(h, 144) OVER w) AS h, coalesce(lead(g, 144) OVER w, true) OR g AS g FROM h256 WINDOW w AS (PARTITION BY k ORDER BY i)),
+r AS (SELECT h FROM s WHERE NOT g GROUP BY h HAVING count(*) > 1),
+f AS (SELECT k, i, c, NOT g AND r.h IS NOT NULL AS again FROM s LEFT JOIN r ON s.h = r.h),
+c AS (SELECT k, i, c, bool_or(again) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN 399 PRECEDING AND CURRENT ROW) AS gone FROM f),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY k ORDER BY i), false) AS starts FROM c),
+a AS (SELECT k, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE starts) AS n_spans, string_agg(c, '' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM e GROUP BY k)
+SELECT doc_id, len(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256, coalesce(n_removed, 0) > 0 AS repeats FROM t LEFT JOIN a USING (k)""",
+    "mix_targets": r"""WITH d AS (SELECT source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, 2.0 * source_size AS cap, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS k FROM w),
+l AS (SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level FROM o WINDOW b AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+m AS (SELECT coalesce(arg_min(level, k), 'infinity'::DOUBLE) AS level FROM l WHERE level <= cap / weight)
+SELECT source, source_size, round(least(cap, weight * m.level), 6) AS target FROM o, m""",
     "op3_exact_dedup": f"""WITH t AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256 FROM t WINDOW w AS (PARTITION BY text_sha256)""",
     "op1_minhash_dedup": f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
