@@ -12,17 +12,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Graph
-from ..plans.loop import cut
+from ..plans.loop import Phases, cut
 from .construct import crossing, restrict, subgraph, trim
 from .traverse import least_label, reach
 
 
-def scc(g: Graph) -> DataFrame:
-    """id, comp: the least id of each vertex's strongly connected component."""
+def scc(g: Graph, phases: Phases | None = None) -> DataFrame:
+    """id, comp: the least id of each vertex's strongly connected component. phases gets a row for each phase."""
+    note = lambda phase, df: phases and phases.note(phase, df.count())
     own = lambda df: df.select("id", F.col("id").alias("comp"))
     g = Graph(cut(g.vertices.distinct()), cut(g.edges.where("src <> dst").distinct()))
     gone, rest = trim(g, iterate=True)
     done = [cut(own(gone))]
+    note("trim", done[0])
     by_src, by_dst = rest.edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("o")), rest.edges.groupBy(F.col("dst").alias("d")).agg(F.count("*").alias("i"))
     pivot = by_src.join(by_dst, F.col("id") == F.col("d")).orderBy(F.desc(F.col("o") * F.col("i")), "id").limit(1).select("id")
     pivot = cut(pivot)
@@ -30,6 +32,7 @@ def scc(g: Graph) -> DataFrame:
         return done[0]
     ahead, behind = reach(rest.edges, pivot), reach(rest.edges, pivot, "in")
     giant = cut(ahead.join(behind.withColumnRenamed("id", "b"), F.col("id") == F.col("b"), "left_semi"))
+    note("first component", giant)
     done.append(giant.join(giant.agg(F.min("id").alias("comp")), F.lit(True)).select("id", "comp"))
     left = rest.vertices.join(giant.withColumnRenamed("id", "b"), F.col("id") == F.col("b"), "left_anti")
     # ahead of the pivot, behind it, or neither: no component crosses these parts
@@ -42,7 +45,9 @@ def scc(g: Graph) -> DataFrame:
         colour = cut(least_label(rest.edges, own(rest.vertices).withColumnRenamed("comp", "label")))
         inside = cut(restrict(rest.edges, colour.select("id", F.col("label").alias("part"))).select("src", "dst"))
         member = reach(inside, colour.where("id = label").select("id"), "in")
+        note("trim", done[-1])
         found = cut(colour.join(member.withColumnRenamed("id", "m"), F.col("id") == F.col("m"), "left_semi"))
+        note("colours", found)
         done.append(found.select("id", F.col("label").alias("comp")))
         part = cut(colour.join(found.select(F.col("id").alias("m")), F.col("id") == F.col("m"), "left_anti").select("id", F.col("label").alias("part")))
     out = done[0]

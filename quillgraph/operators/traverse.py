@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.loop import BROADCAST_ROWS, HOPS, by_source, cut, drop, small, together
+from ..plans.loop import BROADCAST_ROWS, HOPS, Phases, by_source, cut, drop, small, together
 from .construct import transpose
 
 
@@ -18,8 +18,8 @@ def _oriented(edges: DataFrame, direction: str) -> DataFrame:
     return {"out": edges, "in": transpose(edges)}[direction].select("src", "dst")
 
 
-def bfs(edges: DataFrame, sources: DataFrame, direction: str = "out", hops: int = HOPS) -> DataFrame:
-    """id, dist: least number of edges from any of sources(id)."""
+def bfs(edges: DataFrame, sources: DataFrame, direction: str = "out", hops: int = HOPS, phases: Phases | None = None) -> DataFrame:
+    """id, dist: least number of edges from any of sources(id). phases gets a row for each job."""
     with by_source(_oriented(edges, direction)) as kept:
         done = [cut(sources.select("id").distinct().withColumn("dist", F.lit(0)))]
         front, n, base = done[0], done[0].count(), 0
@@ -35,6 +35,8 @@ def bfs(edges: DataFrame, sources: DataFrame, direction: str = "out", hops: int
             if some:
                 done.append(new)
             front = new.where(F.col("dist") == base)
+            if phases:
+                phases.note("search", n)
         return together(done)
 
 

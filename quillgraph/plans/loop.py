@@ -6,6 +6,7 @@ Lineage ends at every round, so plans stay small, and a lost executor loses noth
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -53,6 +54,24 @@ def together(frames: list[DataFrame]) -> DataFrame:
     return frames[0].sparkSession.read.schema(frames[0].schema).parquet(*[f._quill_path for f in frames])
 
 
+class Phases:
+    """What a run reports of itself: a row for each round or phase, with the seconds since the row before."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[str, int, float]] = []
+        self._since = time.perf_counter()
+
+    def note(self, phase: str, n: int) -> None:
+        """n: the vertices that the phase settled, or the frontier that the round left."""
+        now = time.perf_counter()
+        self.rows.append((phase, n, now - self._since))
+        self._since = now
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """round, phase, n, seconds."""
+        return spark.createDataFrame([(k, *r) for k, r in enumerate(self.rows)], "round long, phase string, n long, seconds double")
+
+
 @contextmanager
 def by_source(edges: DataFrame) -> Iterator[DataFrame]:
     """edges(src, dst), dealt by src once and kept like that while a loop runs: a hop then shuffles its frontier only, never the edges. What a lost executor held is read again."""

@@ -4,9 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def read_measurements(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """file and value: the last token, as a number, of each line that the pattern finds."""
     lines = spark.read.text(path).where(F.col("value").rlike(pattern))
     return lines.select(F.input_file_name().alias("file"), F.element_at(F.split(F.trim("value"), r"\s+"), -1).cast("double").alias("value"))
+
+
+def read_frames(spark: SparkSession, path: str, marker: str = "graph") -> DataFrame:
+    """frame, line, values of a file of several CSV tables: a line `marker name` begins a table, and the lines after it are its rows. Lines are numbered by split and place, so a file of any size is read in pieces."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), F.trim("value").alias("v")).where("v <> ''")
+    head = F.regexp_extract("v", rf"^{marker}\s+(.+)$", 1)
+    # a table is what lies between its marker and the next one: an interval join on few markers
+    marks = rows.where(head != "").select(F.col("file").alias("f"), F.col("line").alias("begin"), head.alias("frame"))
+    marks = marks.withColumn("end", F.lead("begin").over(W.partitionBy("f").orderBy("begin")))
+    body = rows.where(head == "").join(F.broadcast(marks), (F.col("file") == F.col("f")) & (F.col("line") > F.col("begin")) & (F.col("end").isNull() | (F.col("line") < F.col("end"))))
+    return body.select("frame", "line", F.split("v", r"\s*,\s*").alias("values"))
+
+
+def write_table(df: DataFrame, path: str, by: str | None = None) -> None:
+    """A result as CSV with a header; with by, a folder for each of its values, in place of one file of several tables."""
+    out = df.write.mode("overwrite").option("header", True)
+    (out.partitionBy(by) if by else out).csv(path)

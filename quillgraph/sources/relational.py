@@ -92,3 +92,15 @@ def torus(spark: SparkSession, side: int = 40) -> Graph:
     right = to((F.col("r") * side + (F.col("c") + 1) % side).cast("long"), F.col("id"))
     down = to(((F.col("r") + 1) % side * side + F.col("c")).cast("long"), F.col("id") + 5000)
     return Graph.of(cell.select(F.explode(F.array(right, down)).alias("e")).select("e.*"), cell.select("id"))
+
+
+#: Graphs of the tables by name: each takes (spark, sf_dir).
+CATALOG = {
+    "copart8": lambda spark, sf_dir: copart(spark, sf_dir, 8),
+    "copart12": lambda spark, sf_dir: copart(spark, sf_dir, 12),
+    "returns15": lambda spark, sf_dir: copart(spark, sf_dir, 15, returned=True),
+    "purchasers": purchasers,
+    "customer_suppliers": dense_customer_suppliers,
+    "knn2": lambda spark, sf_dir: knn(spark, sf_dir, 2),
+    "torus": lambda spark, sf_dir: torus(spark),
+}

@@ -1,5 +1,6 @@
 """Graph operators against plain Python on small graphs, and round trips of the file formats."""
 
+import collections
 import random
 
 import pytest
@@ -158,3 +159,31 @@ def test_stats(spark):
 def test_torus(spark):
     g = relational.torus(spark, 6)
     assert g.vertices.count() == 36 and g.edges.count() == 72 and g.edges.where("src < 0 or dst > 35").count() == 0
+
+
+def test_phases_and_facade(spark):
+    from quillgraph.plans.loop import Phases
+
+    n, edges = CASES["random"]
+    g, phases = graph(spark, n, edges), Phases()
+    assert dict(rows(scc.scc(g, phases), "id", "comp")) == sccs(n, edges)
+    table = phases.table(spark).collect()
+    assert sum(r["n"] for r in table) == n and {r["phase"] for r in table} <= {"trim", "first component", "colours"}
+    assert rows(g.bfs(spark.range(1)), "id", "dist") == sorted(reached(n, edges, 0).items())
+    dist = spark.createDataFrame(list(reached(n, edges, 0).items()), "id long, dist int")
+    far = {v for v in range(n) if reached(n, edges, 0).get(v, 10**9) > 1}
+    assert dict(rows(traverse.effective_degree(g.edges, dist, 1), "id", "degree")) == {u: k for u in range(n) if (k := sum(a == u and b in far for a, b in edges))}
+    assert decompose.differing(g.edges, g.edges).count() == 0 and decompose.differing(g.edges, g.edges.limit(1)).count() == len(edges) - 1
+    assert len(decompose.centres(50)) == 1024 and decompose.centres(0) == []
+
+
+def test_frames(spark, tmp_path):
+    from quillgraph.sources import logs
+
+    (tmp_path / "x.csv").write_text("graph A\nx,y\n1, 2\n\ngraph B\nx,y\n3,4\n5,6\n")
+    got = collections.defaultdict(list)
+    for r in logs.read_frames(spark, str(tmp_path / "x.csv")).orderBy("line").collect():
+        got[r["frame"]].append(r["values"])
+    assert got == {"A": [["x", "y"], ["1", "2"]], "B": [["x", "y"], ["3", "4"], ["5", "6"]]}
+    logs.write_table(spark.range(3).selectExpr("id", "id % 2 k"), str(tmp_path / "out"), by="k")
+    assert rows(spark.read.option("header", True).option("inferSchema", True).csv(str(tmp_path / "out")), "id", "k") == [(0, 0), (1, 1), (2, 0)]
