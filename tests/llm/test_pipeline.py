@@ -68,3 +68,20 @@ def test_repeated_rows_leave_one(spark):
     assert sorted(map(tuple, left.collect()), key=str) == sorted([(2, x), (1, y), (None, z), (0, near(z))], key=str)
     both = spark.createDataFrame([*rows, (3, near(y))], docs.schema)
     assert sorted(map(tuple, p.apart(spark, both, "").collect())) == [(0, near(z)), (1, x), (1, y)]
+
+
+def test_odd_documents(spark, tables, tmp_path):
+    """Nulls, empty and long texts, rows without ids, clashing columns, and an empty table, through every stage."""
+    import corpus_pipeline as p
+
+    good = lambda i: " ".join(f"w{i}x{k}" for k in range(60)) + "."
+    rows = [(None, good(1), "s", 1, 2, 3), (None, None, None, 1, 2, 3), (7, "", "s", 1, 2, 3), (7, good(2), "s", None, 2, 3), (8, " \n\t", "s", 1, 2, 3), (9, "long " * 300_000, "s", 1, 2, 3)]
+    rows += [(20 + i, good(20 + i), f"s{i % 2}", i, i, i) for i in range(20)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, source string, row_id long, mix_row long, kept long")
+    for docs in (odd, odd.limit(0)):
+        for _, stage in p.STAGES:
+            docs = spark.createDataFrame(stage(spark, docs, tables).collect(), odd.schema)
+            assert docs.columns == odd.columns
+        if docs.count():
+            assert {r["text"] for r in docs.collect()} <= {r[1] for r in rows}
+            assert sum(r["doc_id"] is None for r in docs.collect()) > 0
