@@ -204,8 +204,8 @@ def train(words: DataFrame, pieces: list[bytes], logp: np.ndarray, rounds: int)
     return logp
 
 
-def score(docs: DataFrame, path: str | None = None, m: int = 7, r: int = 2, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs(doc_id, text)."""
+def score(docs: DataFrame, path: str | None = None, m: int = 7, r: int = 2, rounds: int = ROUNDS, arcs: bool = True) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs(doc_id, text). Without arcs, words have the lattice of pieces alone."""
     post = C.cut(postings(docs, m, r), "lm-postings")
     by_word = W.partitionBy("word")
     met = post.where("word is not null").select("word", "block", "number", F.sum("n_train").over(by_word).alias("c"), (F.col("block") == F.min("block").over(by_word)).alias("first"))
@@ -246,7 +246,9 @@ def score(docs: DataFrame, path: str | None = None, m: int = 7, r: int = 2, roun
             lp = np.zeros(len(one))
             for some, text in lattice.groups(chars, chars_at):
                 lp[some] = lattice.forward(text, lattice.edges(text))[:, -1]
-            if n:
+            if n and not arcs:
+                lp += math.log1p(-ends / n)
+            elif n:
                 with np.errstate(divide="ignore"):
                     lp = np.logaddexp(np.log(np.maximum(c[one] - discount, 0) / n), math.log(discount * v / n) + lp)
             waiting.append((batch.column(1).to_numpy(), batch.column(2).to_numpy(), c, np.repeat(lp / math.log(10), np.diff(np.r_[one, len(c)]))))
