@@ -11,10 +11,12 @@
    standard deviations below 0.8), then full shingle sets decide exactly.
 4. Components of the confirmed links, by alternating large-star and small-star. A bucket that now lies in one component
    is done. Of the others, those of up to SMALL members propose their pairs across components. Larger ones are documents
-   that share much without being near copies of their leader: they are joined to clusters, dealt by windows of set size
-   into chunks of about CHUNK documents, and each pair of chunks takes the exact intersections of all its sets as one
-   product of sparse matrices, and gives at most one link for each pair of components that it joins. No bucket is capped,
-   and no task holds more than two chunks; what is left quadratic is that product, in the size of such a cluster.
+   that share much without being near copies of their leader. Two sets as similar as percent share one of their rarest
+   shingles, of which each set counts as many as it may lack (a prefix filter); sets that share none of those fall out, and
+   the others are joined to clusters by them, dealt by windows of set size into chunks of about CHUNK documents. Each pair
+   of chunks takes the exact intersections of all its sets as one product of sparse matrices, and gives at most one link
+   for each pair of components that it joins. No bucket is capped, and no task holds more than two chunks; what is left
+   quadratic is that product, in the number of documents that share rare shingles without being linked yet.
 
 Defined cases: words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z. A text of fewer than n words is its whole
 word sequence as one shingle; without words (empty, white space or null) the set is empty and linked with nothing.
@@ -31,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from . import common as C
 from .components import components
@@ -209,6 +212,25 @@ def _sets(n: int):
     return run
 
 
+def _each(batches):
+    """Rows (s_id, set) as rows (doc_id, size, h)."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 256):
+            part = batch.slice(i, 256)
+            sets = [np.frombuffer(x, np.int64) for x in part.column("set").to_pylist()]
+            size = np.array([len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([part.column("s_id").take(pa.array(np.repeat(np.arange(len(sets)), size))), pa.array(np.repeat(size, size)), pa.array(np.concatenate(sets))], names=["doc_id", "size", "h"])
+
+
+def rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """doc_id, h: of each of sets(s_id, set) its rarest hashes, so many that two sets as similar as percent have one in common; those that no other set has are left out."""
+    each = sets.mapInArrow(_each, "doc_id long, size long, h long")
+    often = each.groupBy(F.col("h").alias("g")).agg(F.count("*").alias("df")).where("df > 1")
+    by_doc = W.partitionBy("doc_id")
+    met = each.join(often, F.col("h") == F.col("g")).withColumn("place", F.col("size") - F.count("*").over(by_doc) + F.row_number().over(by_doc.orderBy("df", "h")))
+    return met.where(F.col("place") <= F.col("size") - F.floor((F.col("size") * percent + 99) / 100) + 1).select("doc_id", "h")
+
+
 def cross_links(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
     """For all (i, j), whether left[i] and right[j] (sorted distinct hashes) are as similar as percent."""
     n = len(left)
@@ -274,10 +296,14 @@ def _chunk_pairs(percent: int):
 
 
 def _cluster_links(large: DataFrame, docs: DataFrame, n: int, percent: int, chunk: int) -> DataFrame:
-    """Links across components between all members of large buckets that meet, directly or not."""
-    lead = large.groupBy(F.col("key").alias("k")).agg(F.min("doc_id").alias("u"))
-    cluster = components(large.join(lead, F.col("key") == F.col("k")).select("u", F.col("doc_id").alias("v")))
-    member = large.select("doc_id", "n", "comp").distinct().join(cluster, F.col("doc_id") == F.col("id"), "left").select("doc_id", "comp", F.coalesce("component", "doc_id").alias("cluster"), _class(F.col("n"), percent).alias("class"))
+    """Links across components between all members of large buckets that share one of their rarest shingles."""
+    ids = C.cut(large.select(F.col("doc_id").alias("d")).distinct(), "minhash-ids")
+    sets = C.cut(C.only(docs, "doc_id", ids, "d").mapInArrow(_sets(n), "s_id long, set binary").dropDuplicates(["s_id"]), "minhash-sets")
+    rare = C.cut(rarest(sets, percent), "minhash-rare")
+    lead = rare.groupBy(F.col("h").alias("k")).agg(F.min("doc_id").alias("u"))
+    cluster = components(rare.join(lead, F.col("h") == F.col("k")).select("u", F.col("doc_id").alias("v")))
+    some = large.select("doc_id", "n", "comp").distinct().join(rare.select(F.col("doc_id").alias("d")).distinct(), F.col("doc_id") == F.col("d"), "left_semi")
+    member = some.join(cluster, F.col("doc_id") == F.col("id"), "left").select("doc_id", "comp", F.coalesce("component", "doc_id").alias("cluster"), _class(F.col("n"), percent).alias("class"))
     member = C.cut(member, "minhash-cluster")
     size = member.groupBy(F.col("cluster").alias("x"), F.col("class").alias("y")).agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
     of = lambda shift, name: size.select(F.col("x").alias(f"x{name}"), (F.col("y") - shift).alias(f"y{name}"), F.col("chunks").alias(name))
@@ -294,8 +320,6 @@ def _cluster_links(large: DataFrame, docs: DataFrame, n: int, percent: int, chun
     dealt = member.select("doc_id", "comp", "cluster", "class", F.explode(pairs).alias("p"))
     low = F.when((F.col("p.k") == 1) & (F.col("p.side") == 1), F.col("class") - 1).otherwise(F.col("class"))
     dealt = dealt.select("doc_id", "comp", F.xxhash64("cluster", low, "p.k", "p.a", "p.b").alias("pair"), F.col("p.side").alias("side"))
-    ids = C.cut(member.select("doc_id").distinct().withColumnRenamed("doc_id", "d"), "minhash-ids")
-    sets = C.only(docs, "doc_id", ids, "d").mapInArrow(_sets(n), "s_id long, set binary")
     return dealt.join(sets, F.col("doc_id") == F.col("s_id")).select("pair", "side", "doc_id", "comp", "set").repartition("pair").sortWithinPartitions("pair", "doc_id").mapInArrow(_chunk_pairs(percent), "u long, v long")
 
 

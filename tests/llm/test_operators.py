@@ -157,6 +157,21 @@ def test_cluster_path_is_exact(spark):
     assert got == near_classes(rows, 4)
 
 
+def test_rarest_are_shared(spark):
+    """Every two sets of similarity 0.8 have one of their rarest in common, and texts that only share a passage have none."""
+    r = random.Random(12)
+    base = [r.getrandbits(60) for _ in range(100)]
+    sets = {i: {*r.sample(base, r.randint(80, 100)), *(r.getrandbits(60) for _ in range(r.randint(0, 20)))} for i in range(40)}
+    sets |= {100 + i: {*base[:60], *(r.getrandbits(60) for _ in range(40))} for i in range(20)}
+    rows = [(i, np.sort(np.array(list(x), np.int64)).tobytes()) for i, x in sets.items()]
+    rare = collections.defaultdict(set)
+    for x in minhash.rarest(spark.createDataFrame(rows, "s_id long, set binary"), 80).collect():
+        rare[x["doc_id"]].add(x["h"])
+    pairs = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert len(pairs) > 10 and all(rare[a] & rare[b] for a, b in pairs)
+    assert not any(rare[100 + i] for i in range(20))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (200, 100)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
