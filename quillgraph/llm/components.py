@@ -2,6 +2,9 @@
 
 Neighbour lists are never gathered: a star operation is the least neighbour of each node (an aggregation with partial
 sums in each task) joined back to its edges. So a node with a third of all edges is neither one task nor one row.
+
+Defined cases: links of a node with itself, repeated links and links with a null end change nothing; ties can't occur, as
+ids are distinct; no links give no rows. Extra columns of the links are ignored.
 """
 
 from __future__ import annotations
