@@ -70,6 +70,17 @@ c AS (SELECT k, i, c, bool_or(again) OVER (PARTITION BY k ORDER BY i ROWS BETWEE
 e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY k ORDER BY i), false) AS starts FROM c),
 a AS (SELECT k, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE starts) AS n_spans, string_agg(c, '' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM e GROUP BY k)
 SELECT doc_id, len(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256, coalesce(n_removed, 0) > 0 AS repeats FROM t LEFT JOIN a USING (k)""",
+    "op5_decontaminate": r"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT row_number() OVER () AS q, item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
+ds AS MATERIALIZED (SELECT k, doc_id, w, len(w) AS n, list_transform(range(1, len(w) - 3), lambda x: w[x:x + 4]) AS s FROM d),
+bs AS MATERIALIZED (SELECT q, item_id, w, len(w) AS n, list_distinct(list_transform(range(1, len(w) - 3), lambda x: w[x:x + 4])) AS s FROM i WHERE len(w) > 0),
+bw AS MATERIALIZED (SELECT *, list_sum(list_transform(s, lambda g: len(list_distinct(g)))) AS weight FROM bs),
+c AS MATERIALIZED (SELECT DISTINCT k, q FROM (SELECT k, unnest(s) AS g FROM ds) JOIN (SELECT q, unnest(s) AS g FROM bs) USING (g)),
+v AS (SELECT doc_id, item_id, weight, bw.s AS b, p, list_distinct(list_slice(ds.s, p + 1, p + bw.n - 4)) AS a FROM c JOIN ds USING (k) JOIN bw USING (q), unnest(range(ds.n)) AS r(p)),
+j AS (SELECT doc_id, item_id, p, weight, list_sum(list_transform(list_intersect(a, b), lambda g: len(list_distinct(g)))) AS shared, list_sum(list_transform(a, lambda g: len(list_distinct(g)))) AS own FROM v WHERE list_has_any(a, b)),
+f AS (SELECT doc_id, item_id, p, shared / (own + weight - shared) AS similarity FROM j WHERE shared * 100 >= (own + weight - shared) * 80
+UNION ALL SELECT doc_id, item_id, p, 1.0 FROM bs JOIN ds ON bs.n < 5 AND list_has_all(ds.w, bs.w), unnest(range(ds.n - bs.n + 1)) AS r(p) WHERE ds.w[p + 1:p + bs.n] = bs.w)
+SELECT doc_id, item_id, max(similarity) AS similarity, arg_max(p, (similarity, -p)) AS "at" FROM f GROUP BY doc_id, item_id""",
     "mix_targets": r"""WITH d AS (SELECT source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, 2.0 * source_size AS cap, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s),
