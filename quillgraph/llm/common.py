@@ -161,12 +161,12 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = B
             i = j
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words of a block, and len(at) bounds: document i has words bounds[i] to bounds[i+1]."""
+def words(data: np.ndarray, at: np.ndarray, apart: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a block, which the bytes of `apart` separate, and len(at) bounds: document i has words bounds[i] to bounds[i+1]."""
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(at), np.int64)
-    inside = ~WHITE[data]
+    inside = ~apart[data]
     before = np.empty_like(inside)
     before[0] = False
     before[1:] = inside[:-1]

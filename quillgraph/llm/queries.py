@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, exact_dedup, html_text, licenses, lm, minhash, mixing, quality, suffix_dedup
+from . import chat, collocations, decontaminate, exact_dedup, html_text, licenses, lm, minhash, mixing, quality, resample, secrets, suffix_dedup
 from .common import table
 
 
@@ -50,12 +50,24 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_paths(chat.linear(rows)))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op8_mixing aims at: the sizes and targets of the sources, to a millionth."""
     return mixing.source_targets(table(spark, sf_dir, "documents")).selectExpr("source", "source_size", "round(target, 6) target")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_quality, op3_exact_dedup, op4_suffix_dedup, op5_decontaminate, op6_lm_scoring, op7_licenses, op8_mixing, op9_html_text, op10_chat, mix_targets)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_quality, op3_exact_dedup, op4_suffix_dedup, op5_decontaminate, op6_lm_scoring, op7_licenses, op8_mixing, op9_html_text, op10_chat, op11_secrets, op12_resample, op13_collocations, mix_targets)}
 
 #: Hashes of all strings of 400 bytes, put together from those of 1, 2, 4 ... 256 bytes: a window frame each.
 _DOUBLED = "".join(f"h{2 * n} AS MATERIALIZED (SELECT k, i, c, hash(h, lead(h, {n}) OVER w) AS h, coalesce(lead(g, {n}) OVER w, true) OR g AS g FROM h{n} WINDOW w AS (PARTITION BY k ORDER BY i)),\n" for n in (1, 2, 4, 8, 16, 32, 64, 128))
@@ -81,6 +93,33 @@ j AS (SELECT doc_id, item_id, p, weight, list_sum(list_transform(list_intersect(
 f AS (SELECT doc_id, item_id, p, shared / (own + weight - shared) AS similarity FROM j WHERE shared * 100 >= (own + weight - shared) * 80
 UNION ALL SELECT doc_id, item_id, p, 1.0 FROM bs JOIN ds ON bs.n < 5 AND list_has_all(ds.w, bs.w), unnest(range(ds.n - bs.n + 1)) AS r(p) WHERE ds.w[p + 1:p + bs.n] = bs.w)
 SELECT doc_id, item_id, max(similarity) AS similarity, arg_max(p, (similarity, -p)) AS "at" FROM f GROUP BY doc_id, item_id""",
+    "op12_resample": rf"""WITH RECURSIVE bits(i, k, c) AS (SELECT i, 0, i FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+d AS (SELECT row_number() OVER () AS k, doc_id, text FROM documents),
+texts AS (SELECT k, text FROM d UNION ALL SELECT -1, text FROM benchmark),
+w AS (SELECT k, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+f AS MATERIALIZED (SELECT k, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS x FROM w),
+h AS MATERIALIZED (SELECT x, CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(x)), '..'), lambda b: CAST('0x' || b AS BIGINT))), lambda s, b: xor(t[(xor(s, b) & 255) + 1], s >> 8)), 4294967295) % 10000 AS BIGINT) AS b FROM (SELECT DISTINCT x FROM f), crc),
+c AS (SELECT b, count(*) FILTER (WHERE k >= 0) AS s, count(*) FILTER (WHERE k < 0) AS t FROM f JOIN h USING (x) GROUP BY b),
+n AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM c),
+g AS (SELECT b, CAST(floor(1000 * ln((t + 1)::DOUBLE * (s_all + 10000)::DOUBLE / ((s + 1)::DOUBLE * (t_all + 10000)::DOUBLE))) AS BIGINT) AS gain FROM c, n),
+m AS (SELECT k, count(*) AS n_features, CAST(floor(sum(gain)::DOUBLE / count(*)) AS BIGINT) AS weight FROM f JOIN h USING (x) JOIN g USING (b) WHERE k >= 0 GROUP BY k),
+z AS (SELECT k, doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8] AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score FROM d LEFT JOIN m USING (k)),
+r AS (SELECT k, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS rank, count(*) OVER () AS n FROM z WHERE n_features >= 39)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= n * 25 // 100 THEN rank END AS rank FROM z LEFT JOIN r USING (k)""",
+    "op13_collocations": rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS t FROM documents),
+w AS MATERIALIZED (SELECT lang, list_filter(regexp_split_to_array(t, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 6) r(k)),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1),
+gone AS (SELECT c.lang, c.phrase FROM c JOIN c b ON b.lang = c.lang AND b.k > c.k AND contains(' ' || b.phrase || ' ', ' ' || c.phrase || ' ') AND b.f >= c.f),
+alone AS (SELECT * FROM c ANTI JOIN gone USING (lang, phrase)),
+x AS (SELECT lang, k, phrase, f AS a, j, array_to_string(string_split(phrase, ' ')[1:j], ' ') AS p1, array_to_string(string_split(phrase, ' ')[j + 1:], ' ') AS p2 FROM alone, range(1, 5) r(j) WHERE j < k),
+y AS (SELECT x.lang, x.phrase, a, l.f AS l, r.f AS r, n, j, CAST(1000::HUGEINT * a * n // (l.f::HUGEINT * r.f) AS BIGINT) AS score FROM x JOIN f l ON l.lang = x.lang AND l.phrase = p1 JOIN f r ON r.lang = x.lang AND r.phrase = p2 JOIN n ON n.lang = x.lang),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS cut FROM y),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b WHERE cut = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000""",
     "mix_targets": r"""WITH d AS (SELECT source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, 2.0 * source_size AS cap, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s),
