@@ -72,7 +72,39 @@ QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_quality, op3_exact_ded
 #: Hashes of all strings of 400 bytes, put together from those of 1, 2, 4 ... 256 bytes: a window frame each.
 _DOUBLED = "".join(f"h{2 * n} AS MATERIALIZED (SELECT k, i, c, hash(h, lead(h, {n}) OVER w) AS h, coalesce(lead(g, {n}) OVER w, true) OR g AS g FROM h{n} WINDOW w AS (PARTITION BY k ORDER BY i)),\n" for n in (1, 2, 4, 8, 16, 32, 64, 128))
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _places(kind: int, pattern: str, group: int = 0) -> str:
+    """SQL for the matches of a pattern in texts d: their kind, number, and the pieces that they lie between."""
+    return f"SELECT k, {kind} AS kind, regexp_extract_all(text, '{pattern}') AS found, regexp_extract_all(text, '{pattern}', {group}) AS value, regexp_split_to_array(text, '{pattern}') AS pieces FROM d"
+
+
+def _each(values: list, of: str = "code") -> str:
+    return "[" + ", ".join(repr(float(v)) if isinstance(v, float) else repr(v) for v in values) + f"][{of}]"
+
+
+_MOMENTS = [secrets._change_moments(sizes) for _, sizes in secrets.ENCODINGS]
+_QUOTED = secrets.ASSIGN.replace("'", "''")
+_SECRETS = rf"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({_places(0, _QUOTED, 2)} UNION ALL {_places(1, secrets.ACCESS)} UNION ALL {_places(2, secrets.HEX)} UNION ALL {_places(3, secrets.TOKEN)}),
+i AS (SELECT k, kind, found, value, pieces, unnest(range(1, len(found) + 1)) AS i FROM m),
+s AS MATERIALIZED (SELECT k, kind, found[i] AS t, len(value[i]) AS n_value, CAST(list_sum(list_transform(pieces[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: len(x))), 0) AS BIGINT) AS first FROM i),
+e AS (SELECT *, CASE WHEN regexp_full_match(t, '[0-9]+') THEN 0 WHEN regexp_full_match(t, '[0-9a-f]+|[0-9A-F]+') THEN 1 WHEN regexp_full_match(t, '[A-Z2-7]+') THEN 2 WHEN regexp_full_match(t, '[0-9a-z]+|[0-9A-Z]+') THEN 3 ELSE 4 END AS code FROM s WHERE kind = 3),
+a AS (SELECT k, first, t, code, {_each([x for x, _ in secrets.ENCODINGS])} AS abc, CASE WHEN code IN (1, 3) THEN lower(t) WHEN code = 4 THEN translate(t, '-_', '+/') ELSE t END AS u, translate(CASE WHEN code IN (1, 3) THEN lower(t) WHEN code = 4 THEN translate(t, '-_', '+/') ELSE t END, '{secrets._CAPITAL + secrets._SMALL + secrets._DIGITS}/', '{"A" * 26 + "a" * 26 + "0" * 10}+') AS classes FROM e WHERE code > 0),
+v AS (SELECT *, list_transform(string_split(u, ''), lambda c: 2 * instr(abc, c) - len(abc) - 1) AS v, list_transform(string_split(abc, ''), lambda c: len(u) - len(replace(u, c, ''))) AS times FROM a),
+c AS (SELECT k, first, t, code, len(u)::DOUBLE AS n, len(abc)::DOUBLE AS size, list_sum(list_transform(times, lambda x: x * (x - 1))) / 2.0 AS pairs, (len(regexp_extract_all(classes, 'A+|a+|0+|\++')) - 1)::DOUBLE AS changes, list_sum(list_transform(range(1, len(v)), lambda i: v[i] * v[i + 1]))::DOUBLE AS product, {_each([m[0] for m in _MOMENTS])}::DOUBLE AS q, {_each([m[1] for m in _MOMENTS])}::DOUBLE AS cov, least(len(abc)::DOUBLE, 26.0::DOUBLE) AS letters FROM v),
+o AS (SELECT *, n * (n - 1) / 2 AS of_two, {secrets.PAIRS}::DOUBLE / letters AS two, {secrets.TRIPLES}::DOUBLE / (letters * letters) AS three FROM c),
+z AS (SELECT *, pow((pairs - of_two / size) / sqrt(of_two / size * (1 - 1 / size)), 2) + pow((changes - (n - 1) * q) / sqrt((n - 1) * q * (1 - q) + 2 * (n - 2) * cov), 2) + pow(product / ((size * size - 1) / 3 * sqrt(n - 1)), 2) < {secrets.RANDOM} AS random,
+((of_two * two - pairs) / sqrt(of_two * two * (1 - two) + n * (n - 1) * (n - 2) * (three - two * two)) + (changes - (n - 1) * {secrets.CHANGES}::DOUBLE) / sqrt((n - 1) * ({secrets.CHANGES}::DOUBLE * (1 - {secrets.CHANGES}::DOUBLE)))) / sqrt(2.0::DOUBLE) AS z FROM o),
+p AS MATERIALIZED (SELECT k, first, t, random, code * {secrets.BANDS} + least({secrets.BANDS - 1}, CAST(floor(2 * log2(n / 20)) AS INT)) AS key, CASE WHEN z > 0 THEN least({secrets.MOST}, CAST(floor((z * z / 2 + ln(0.656::DOUBLE * z + 0.344::DOUBLE * sqrt(z * z + 5.334::DOUBLE)) + 0.918938533204673::DOUBLE) / 2.302585092994046::DOUBLE * {secrets.STEPS}) AS INT)) ELSE 0 END AS step FROM z),
+h AS (SELECT key, step, sum(count(*)) OVER (PARTITION BY key ORDER BY step DESC) AS deeper, sum(count(*)) OVER (PARTITION BY key) AS every FROM p GROUP BY key, step),
+l AS (SELECT key, min(step) AS least FROM h WHERE pow(10.0::DOUBLE, -step / {float(secrets.STEPS)}::DOUBLE) * every <= deeper * {secrets.ALPHA}::DOUBLE GROUP BY key),
+w AS (SELECT k, kind, first, first + len(t) AS past FROM s WHERE kind IN (1, 2) OR kind = 0 AND n_value >= {secrets.LEAST_VALUE} UNION ALL SELECT k, 3, first, first + len(t) FROM p JOIN l USING (key) WHERE random AND step >= least),
+x AS (SELECT k, kind, first, {_each(list(secrets.KINDS), "kind + 1")} || ':' || first || ':' || past AS x FROM w),
+g AS (SELECT k, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex, string_agg(x, ',' ORDER BY first, kind) FILTER (WHERE kind < 3) AS base, string_agg(x, ',' ORDER BY first, kind) AS spans FROM x GROUP BY k)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (k)"""
 ORACLES: dict[str, str] = {
+    "op11_secrets": _SECRETS,
     "op4_suffix_dedup": f"""WITH t AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS k, hex(encode(coalesce(text, ''))) AS x FROM documents),
 h1 AS MATERIALIZED (SELECT k, unnest(range(len(l))) AS i, unnest(l) AS c, hash(unnest(l)) AS h, false AS g FROM (SELECT k, regexp_extract_all(x, '..') AS l FROM t)),
 {_DOUBLED}s AS MATERIALIZED (SELECT k, i, c, hash(h, lead(h, 144) OVER w) AS h, coalesce(lead(g, 144) OVER w, true) OR g AS g FROM h256 WINDOW w AS (PARTITION BY k ORDER BY i)),
