@@ -3,12 +3,12 @@
 Every line has features of its characters, words and repetition, and those of the lines before and after it. The chain
 labels each line good or bad; forward-backward marginals, weighted by the lines' lengths, aggregate into the quality
 of the document, which two numbers then calibrate. The field is trained here: lines take the label of their document,
-on a bounded sample of labelled documents (SAMPLE and LINES, parameters), whose features alone come to the driver.
+on a bounded sample of labelled documents (SAMPLE, LINES and LONGEST, parameters), whose features alone come to the driver.
 Scoring reads every whole text, however long, and is one pass without a shuffle.
 
 Defined cases: null text is empty, and an empty text is one empty line. Labels that are null or conflict count by their
 largest value, null not at all. Without labelled rows every score is 0.5. Rows that repeat a doc_id are scored one by
-one. A null doc_id is not held out. An empty table gives an empty result. Extra columns are ignored by score(), and kept
+one, and of an id the text of fewest lines is learnt from. A null doc_id is not held out. An empty table gives an empty result. Extra columns are ignored by score(), and kept
 by keep_good().
 """
 
@@ -24,8 +24,8 @@ from pyspark.sql import Window as W
 
 from . import common as C
 
-#: Labelled documents that the field is fitted on, at most, and their lines in all: documents that would pass that bound are left out of the sample.
-SAMPLE, LINES = 6000, 300_000
+#: Labelled documents that the field is fitted on, at most, their lines in all, and the lines of each: a longer one isn't learnt from, whatever its place, and is scored like the others.
+SAMPLE, LINES, LONGEST = 6000, 300_000, 10_000
 _CLASS = np.zeros(256, np.uint8)  # 0 other, 1 lower, 2 upper, 3 digit, 4 sentence punctuation, 5 symbol, 6 white space, 7 beyond ASCII
 _CLASS[33:127] = 5
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 1, 2, 3, 7
@@ -172,8 +172,8 @@ def document_quality(e: np.ndarray, size: np.ndarray, bounds: np.ndarray, t: np.
     return np.add.reduceat(p * size, bounds[:-1]) / np.add.reduceat(size, bounds[:-1]) if len(bounds) > 1 else np.zeros(0)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, m: int = 3, r: int = 1, lines: int = LINES):
-    """The field fitted on `sample` labelled documents of `lines` lines in all at most, of those whose crc32 of the id isn't r modulo m; None without any."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, m: int = 3, r: int = 1, lines: int = LINES, longest: int = LONGEST):
+    """The field fitted on `sample` labelled documents of `longest` lines each and `lines` lines in all at most, of those whose crc32 of the id isn't r modulo m; None without any."""
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("quality").alias("y")).where(C.crc_mod("id", m) != r)
     chosen = C.cut(C.bounded_sample(known, "id", sample), "quality-sample")
 
@@ -184,9 +184,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, m: int = 3,
             sizes = [size[a:b].astype(np.float32).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(rows, pa.binary()), pa.array(sizes, pa.binary())], names=["doc_id", "y", "x", "size"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).groupBy("doc_id", F.col("y").cast("int").alias("y")).agg(F.min("text").alias("text"))  # one row for each id
-    upto = F.sum(F.regexp_count("text", F.lit("\n")) + 1).over(W.orderBy(F.xxhash64("doc_id"), "doc_id"))  # of `sample` rows at most
-    texts = texts.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("upto", upto).where(F.col("upto") <= lines).drop("upto")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+    texts = texts.select("doc_id", F.col("y").cast("int").alias("y"), "text", F.struct((F.regexp_count("text", F.lit("\n")) + 1).alias("lines"), F.xxhash64("text").alias("tag")).alias("size"))
+    # of an id the shortest text; sizes alone meet in one task, `sample` of them at most
+    sizes = texts.groupBy(F.col("doc_id").alias("d")).agg(F.min("size").alias("least")).where(F.col("least.lines") <= longest)
+    upto = F.sum("least.lines").over(W.orderBy(F.xxhash64("d"), "d"))
+    fits = C.cut(sizes.withColumn("upto", upto).where(F.col("upto") <= lines).select("d", "least"), "quality-fits")
+    texts = texts.join(F.broadcast(fits), (F.col("doc_id") == F.col("d")) & (F.col("size") == F.col("least"))).groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # one row for each id
     got = texts.mapInArrow(run, "doc_id long, y int, x binary, size binary").toPandas().sort_values(["doc_id", "y", "x"], kind="stable")
     if not len(got):
         return None

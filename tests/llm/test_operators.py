@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillgraph.llm import chat, decontaminate, exact_dedup, html_text, licenses, lm, minhash, mixing, quality, suffix_dedup
 from quillgraph.llm.components import components
@@ -371,6 +372,22 @@ def test_quality(spark, none):
     assert quality.keep_good(odd(spark), labels.limit(0)).columns == ["doc_id", "text", "key", "kept_id"]
 
 
+def test_quality_long_documents(spark):
+    """A labelled document past the bound on lines is not learnt from, wherever its hash puts it, and changes no other score."""
+    r = random.Random(6)
+    rows = [(i, "\n".join(" ".join(r.choice(["the", "of", "house", "River."]) + ("" if i % 3 else "%%% BUY!!") for _ in range(6)) for _ in range(4))) for i in range(60)]
+    labels = [(i, int(i % 3 > 0)) for i in range(60)]
+    first = spark.range(1000, 1400).where("pmod(crc32(cast(id as string)), 3) <> 1").orderBy(F.xxhash64("id")).first()["id"]
+    assert spark.range(60).select(F.min(F.xxhash64("id"))).first()[0] > spark.range(first, first + 1).select(F.xxhash64("id")).first()[0]
+    schema = "doc_id long, text string"
+    score = lambda rows, labels, **o: {x["doc_id"]: x["score"] for x in quality.score(spark.createDataFrame(rows, schema), spark.createDataFrame(labels, "doc_id long, quality int"), **o).collect()}
+    plain = score(rows, labels)
+    long = score(rows + [(first, "x\n" * 1_000_000)], labels + [(first, 1)])
+    assert len(set(plain.values())) > 10 and {k: long[k] for k in plain} == plain and 0 <= long[first] <= 1
+    # of an id with several texts the shortest is learnt from, once, however often it comes
+    assert {k: v for k, v in score(rows + [(0, "y\n" * 50)] + [rows[0]] * 3, labels).items() if k} == {k: v for k, v in plain.items() if k}
+
+
 def test_chain():
     """Marginals and expected transitions against all labellings."""
     import itertools
