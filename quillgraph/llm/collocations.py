@@ -22,6 +22,8 @@ says. An empty table gives an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,9 +34,11 @@ from . import common as C
 
 LONGEST, LEAST, PERCENT, TOP = 5, 100, 100, 2000
 #: Bytes of text of a shard; a longer document is one of its own.
-SHARD_BYTES = 1 << 22
+SHARD_BYTES = 1 << 21
 #: Bits of the filter of frequent pairs: 8 MB, whatever the corpus.
 FILTER_BITS = 1 << 26
+#: Strings that a task spells out at once.
+BATCH = 1 << 15
 #: Parts into which a language's phrases are dealt before the best of each meet.
 PARTS = 64
 _BREAK = np.zeros(256, bool)
@@ -75,7 +79,7 @@ class Automaton:
 
     def __init__(self, data: np.ndarray, at: np.ndarray, langs: list[str], depth: int, frequent: np.ndarray | None = None) -> None:
         data = C.LOWER[data]
-        self.data = data
+        self.spaced = np.append(data, np.uint8(32))
         self.starts, self.ends, bounds = C.words(data, at, _APART)
         n = len(self.starts)
         names, of_text = np.unique(np.array(langs, object), return_inverse=True)
@@ -109,7 +113,7 @@ class Automaton:
             at_place[alive] = node
             self.levels.append((at_place, place, ends))
 
-    def states(self, shortest: int) -> pa.RecordBatch:
+    def states(self, shortest: int) -> Iterator[pa.RecordBatch]:
         """lang, phrase, low, high, n: the longest string of each state, the numbers of words of its strings of `shortest` words or more, and of their ends."""
         lang, at, low, high, count = [], [], [], [], []
         below = None  # by node: the least number of words of its state, and whether a longer string has taken it in
@@ -130,13 +134,16 @@ class Automaton:
             count.append(ends)
         keep = np.concatenate([x if d >= shortest else np.zeros(len(x), bool) for d, x in enumerate(chain, 1)])
         lang, at, low, high, count = (np.concatenate(x)[keep] for x in (lang, at, low, high, count))
-        return pa.RecordBatch.from_arrays([pa.array(np.array(self.names, object)[lang], pa.string()) if len(lang) else pa.array([], pa.string()), self._phrases(at, high), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.array(count.astype(np.int64))], names=["lang", "phrase", "low", "high", "n"])
+        names = np.array(self.names, object)
+        for i in range(0, len(lang), BATCH):  # spelling the strings takes many times their room
+            j = slice(i, i + BATCH)
+            yield pa.RecordBatch.from_arrays([pa.array(names[lang[j]], pa.string()), self._phrases(at[j], high[j]), pa.array(low[j].astype(np.int32)), pa.array(high[j].astype(np.int32)), pa.array(count[j].astype(np.int64))], names=["lang", "phrase", "low", "high", "n"])
 
     def _phrases(self, at: np.ndarray, size: np.ndarray) -> pa.Array:
         """The text of `size` words from each of the places on, with one space between words."""
         upto = np.concatenate([[0], np.cumsum(size)])
         word = np.repeat(at - upto[:-1], size) + np.arange(upto[-1])
-        text, bounds = C.gather(np.append(self.data, np.uint8(32)), self.starts[word], self.ends[word] + 1)  # each with the byte after it
+        text, bounds = C.gather(self.spaced, self.starts[word], self.ends[word] + 1)  # each with the byte after it
         text[bounds[1:] - 1] = 32
         first, last = bounds[upto[:-1]], bounds[upto[1:]] - 1
         whole, offsets = C.gather(text, first, last)
@@ -165,7 +172,7 @@ def counts(texts: DataFrame, depth: int, shortest: int = 1, frequent=None, shard
             data = np.concatenate([x[1] for x in some])
             at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x[2]) for x in some]))]).astype(np.int64)
             a = Automaton(data, at, [y for x in some for y in x[0]], depth, None if frequent is None else frequent.value)
-            yield a.states(shortest)
+            yield from a.states(shortest)
             if shortest == 1:
                 total = np.bincount(a.lang, minlength=len(a.names))
                 zero = pa.array(np.zeros(len(total), np.int32))

@@ -217,7 +217,7 @@ def test_states_spell_every_string():
     at = np.cumsum([0] + [len(t) for t in texts])
     a = collocations.Automaton(data, at, ["x", "x", "y"], 4)
     got = collections.Counter()
-    for s in a.states(1).to_pylist():
+    for s in (x for batch in a.states(1) for x in batch.to_pylist()):
         for k in range(s["low"], s["high"] + 1):
             got[" ".join(s["phrase"].split(" ")[-k:])] += s["n"]
     want = collections.Counter(" ".join(w[i : i + k]) for t in texts for p in t.split(".") for w in [p.split()] for k in range(1, 5) for i in range(len(w) - k + 1))
