@@ -7,13 +7,15 @@ if one of its windows of as many words as the item has has a weighted Jaccard si
 1. Shingles of documents that occur in the benchmark (a join that moves no text) give the windows to look at: every
    window that holds so many places of the item's shingles that they could weigh `percent` of the item, in whatever
    order they come. An item of fewer than n words is one shingle, and is looked for at its own length.
-2. Each window and each item gets a 64-bit SimHash of its weighted shingles: 64 sums in sixteen longs of four counters.
+2. Each of these windows gets a 64-bit SimHash of its weighted shingles: 64 sums, which slide. Where a shingle comes into
+   the windows or leaves them its weight is added or taken off, so a document's windows cost as much as its words do, and
+   no row holds more than a number of them.
 3. Multi-index Hamming: 8 blocks of 8 bits. Two fingerprints within RADIUS = 8 * 3 - 1 = 23 bits have a block that
    differs in 2 bits at most, so an index of the items' blocks with all such differences finds each of them.
-4. Exact weighted similarity decides.
+4. Exact weighted similarity decides, by sums that slide in the same way.
 
-The benchmark's tables are broadcast only after their rows are counted. Everything of a document stays in rows by
-(document, item), and no pair of documents is ever made.
+The benchmark's tables of fixed width are broadcast only after their rows are counted. Windows are worked on in groups of
+as many starts as the item has shingles, so a document of any length is many groups, and no pair of documents is ever made.
 
 Defined cases: null or empty texts leak nothing; an item without words is leaked by nothing. Rows that repeat a doc_id
 are judged one by one, and its leaks united. Rows that repeat an item_id are items of their own, united in the result.
@@ -26,6 +28,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import cut, fresh, only
 
@@ -55,12 +58,12 @@ def shingle_array(words: Column, n: int) -> Column:
     return _bound(words, each)
 
 
-def weighted_array(words: Column, n: int) -> Column:
-    """The distinct shingles of a short array of words: hashes whose lowest three bits are the weight."""
+def weighted_places(words: Column, n: int) -> Column:
+    """The shingles of an array of words, in order: hashes whose lowest three bits are the weight."""
 
     def each(ws: Column) -> Column:
         h = F.transform(ws, lambda w, i: F.xxhash64(w, *[F.get(ws, i + k) for k in range(1, n)]).bitwiseAND(F.lit(-8)) + F.size(F.array_distinct(F.slice(ws, i + 1, F.lit(n)))))
-        return F.array_distinct(F.slice(h, 1, F.greatest(F.size(ws) - (n - 1), F.lit(1))))
+        return F.slice(h, 1, F.greatest(F.size(ws) - (n - 1), F.lit(1)))
 
     return _bound(words, each)
 
@@ -86,18 +89,50 @@ def weight_of(shingles: Column) -> Column:
     return F.aggregate(shingles, F.lit(0), lambda a, x: a + x.bitwiseAND(F.lit(7)).cast("int"))
 
 
-def simhash(df: DataFrame, keys: list[str], shingles: str) -> DataFrame:
-    """keys and fp, the 64-bit SimHash of each row's weighted shingles."""
-    one = df.select(*keys, F.explode(shingles).alias("_x"))
-    weight = F.col("_x").bitwiseAND(F.lit(7))
-    bit = lambda b: F.shiftrightunsigned(F.xxhash64("_x"), b).bitwiseAND(F.lit(1))
-    sums = [F.sum(sum((F.shiftleft(bit(4 * k + j) * weight, 16 * j) for j in range(1, 4)), bit(4 * k) * weight)).alias(f"_s{k}") for k in range(16)]
-    got = one.groupBy(*keys).agg(F.sum(weight).alias("_w"), *sums)
-    on = lambda k, j: F.when(F.shiftrightunsigned(f"_s{k}", 16 * j).bitwiseAND(F.lit(0xFFFF)) * 2 > F.col("_w"), F.shiftleft(F.lit(1).cast("long"), 4 * k + j)).otherwise(F.lit(0).cast("long"))
-    parts = [on(k, j) for k in range(16) for j in range(4)]
+#: A fingerprint's 64 sums, as two counters of 32 bits in each of 32 longs.
+_PACKS = 32
+
+
+def _packs(shingle: Column, weight: Column) -> list[Column]:
+    """The weight in the counter of each bit of the shingle's hash; sums of these, negative weights among them, are sums by counter."""
+    bit = lambda b: F.shiftrightunsigned(F.xxhash64(shingle), b).bitwiseAND(F.lit(1))
+    return [(bit(2 * k) + F.shiftleft(bit(2 * k + 1), 32)) * weight for k in range(_PACKS)]
+
+
+def _print(own: Column) -> Column:
+    """The 64-bit SimHash of what the packs c0, c1 ... sum up, of the weight `own` in all."""
+    on = lambda k, j: F.when(F.shiftrightunsigned(f"c{k}", 32 * j).bitwiseAND(F.lit(0xFFFFFFFF)) * 2 > own, F.shiftleft(F.lit(1).cast("long"), 2 * k + j)).otherwise(F.lit(0).cast("long"))
+    parts = [on(k, j) for k in range(_PACKS) for j in range(2)]
     while len(parts) > 1:
         parts = [a.bitwiseOR(b) for a, b in zip(parts[::2], parts[1::2], strict=True)]
-    return got.select(*keys, parts[0].alias("fp"))
+    return parts[0]
+
+
+def simhash(df: DataFrame, keys: list[str], shingles: str) -> DataFrame:
+    """keys, fp (the 64-bit SimHash) and own (the weight) of each row's distinct weighted shingles."""
+    one = df.select(*keys, F.explode(shingles).alias("_x")).distinct()
+    weight = F.col("_x").bitwiseAND(F.lit(7))
+    sums = one.groupBy(*keys).agg(F.sum(weight).alias("own"), *[F.sum(c).alias(f"c{k}") for k, c in enumerate(_packs(F.col("_x"), weight))])
+    return sums.select(*keys, _print(F.col("own")).alias("fp"), "own")
+
+
+def slide(places: DataFrame, starts: DataFrame, keys: list[str], values) -> DataFrame:
+    """Sums over the distinct shingles of windows, for the wanted starts(keys, s): keys, s and the columns of values(x, weight).
+
+    places(keys, n_places, g, p, x) has the shingles of group g: those that its starts g * n_places to (g + 1) * n_places - 1
+    can hold. A shingle is in the windows that begin after its last place before, and not n_places before its own: it is
+    added where these begin and taken off behind them, and running sums give every window, in a time that grows with the
+    places alone. A group has as many rows as an item has words, times four at most."""
+    n, g, p = F.col("n_places"), F.col("g"), F.col("p")
+    before = F.lag("p").over(W.partitionBy(*keys, "x").orderBy("p"))
+    ends = places.select(*keys, "x", (F.greatest(p - n, g * n - 1, before) + 1).alias("low"), (F.least(p, (g + 1) * n - 1) + 1).alias("past")).where("low < past")
+    events = ends.select(*keys, "x", F.explode(F.array(*[F.struct(F.col(c).alias("s"), F.lit(sign).alias("sign")) for c, sign in (("low", 1), ("past", -1))])).alias("e"))
+    weight = F.col("x").bitwiseAND(F.lit(7)) * F.col("sign")
+    named = values(F.col("x"), weight)
+    sums = events.select(*keys, "x", "e.s", "e.sign").groupBy(*keys, "s").agg(F.lit(False).alias("wanted"), *[F.sum(c).alias(k) for k, c in named.items()])
+    probes = starts.select(*keys, "s", F.lit(True).alias("wanted"), *[F.lit(0).cast("long").alias(k) for k in named])
+    upto = W.partitionBy(*keys).orderBy("s", "wanted").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return sums.unionByName(probes).select(*keys, "s", "wanted", *[F.sum(k).over(upto).alias(k) for k in named]).where("wanted").drop("wanted")
 
 
 def _block(fp: Column, k: int) -> Column:
@@ -116,43 +151,46 @@ def _small(df: DataFrame) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, item_id, similarity, at: the items that each document leaks, and the first word of the most similar window."""
     items = benchmark.select(F.xxhash64("item_id", "text").alias("item"), F.col("item_id").cast("long").alias("item_id"), word_array(F.col("text")).alias("words")).where("words[0] <> ''")
-    items = cut(items.dropDuplicates(["item"]).select("item", "item_id", F.size("words").alias("n_words"), shingle_array(F.col("words"), n).alias("places"), weighted_array(F.col("words"), n).alias("b")), "leak-items")
-    items = items.withColumn("w_item", weight_of(F.col("b")))
-    long = items.where(F.col("n_words") >= n)
-    index = _small(long.select("item", "n_words", "w_item", F.size("places").alias("n_places"), F.explode(F.array_distinct("places")).alias("h")))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("key"))
-    shingles = keyed.select("doc_id", "key", shingle_array(word_array(F.col("text")), n).alias("hs"))
-    hits = shingles.select("doc_id", "key", F.posexplode("hs").alias("p", "h2")).join(index, F.col("h2") == F.col("h"))
-    by = ["doc_id", "key", "item", "n_words", "n_places", "w_item"]
+    items = cut(items.dropDuplicates(["item"]).select("item", "item_id", F.size("words").alias("n_words"), shingle_array(F.col("words"), n).alias("places"), F.array_distinct(weighted_places(F.col("words"), n)).alias("b")), "leak-items")
+    long = items.where(F.col("n_words") >= n).withColumn("w_item", weight_of(F.col("b"))).withColumn("n_places", F.size("places"))
+    index = _small(long.select("item", "n_words", "w_item", "n_places", F.explode(F.array_distinct("places")).alias("h")))
+    keyed = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key")).alias("doc"), "text")
+    words = word_array(F.col("text"))
+    hits = keyed.select("doc", F.posexplode(shingle_array(words, n)).alias("p", "h2")).join(index, F.col("h2") == F.col("h"))
+    by = ["doc", "item", "n_words", "n_places", "w_item"]
     # a group of n_places starts, with the places of the item's shingles that their windows can hold
     need = F.greatest(F.lit(1), F.ceil(F.col("w_item") * percent / (100 * n))).cast("int")
     own = F.floor(F.col("p") / F.col("n_places")).cast("int")
     near = hits.select(*by, "p", F.explode(F.array(own, own - 1)).alias("g")).where("g >= 0").groupBy(*by, "g").agg(F.array_sort(F.collect_set("p")).alias("ps"))
     near = cut(near.withColumn("need", need).where(F.size("ps") >= F.col("need")), "leak-hits")
-    found = near.select("doc_id", "key", "n_words", F.explode(_starts()).alias("s"))
-    for m in sorted(r[0] for r in items.where(F.col("n_words") < n).select("n_words").distinct().collect()):
-        # fewer words than n are one shingle, which a window equals or doesn't: the first place will do
-        few = keyed.select("doc_id", "key", F.posexplode(_spans(word_array(F.col("text")), m)).alias("p", "h2"))
-        short = _small(items.where(F.col("n_words") == m).select("n_words", F.col("places")[0].alias("h")).distinct())
-        found = found.unionByName(few.join(short, F.col("h2") == F.col("h")).groupBy("doc_id", "key", "n_words", "h").agg(F.min("p").alias("s")).drop("h"))
-    windows = cut(found.distinct().groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.collect_list(F.struct("n_words", "s")).alias("windows")), "leak-windows")
-    texts = only(keyed, "key", windows.select(F.col("k").alias("kk")).distinct(), "kk").dropDuplicates(["doc_id", "key"])
-    texts = texts.join(windows, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")))
-    sliced = _bound(word_array(F.col("text")), lambda ws: F.transform("windows", lambda x: F.struct(x["n_words"].alias("n_words"), x["s"].alias("s"), F.slice(ws, x["s"] + 1, x["n_words"]).alias("words"))))
-    rows = texts.select("doc_id", "key", F.explode(sliced).alias("x"))
-    rows = cut(rows.select("doc_id", "key", "x.n_words", "x.s", weighted_array(F.col("x.words"), n).alias("a")), "leak-rows")
-    prints = cut(simhash(rows, ["doc_id", "key", "n_words", "s"], "a"), "leak-prints")
-    item_prints = simhash(items.select("item", "item_id", "n_words", "b"), ["item", "item_id", "n_words"], "b")
+    window = ["doc", "n_words", "g"]
+    starts = near.select(*window, F.explode(_starts()).alias("s")).distinct()
+    # the shingles of the documents in question, by place, and of these what the groups' windows can hold
+    keys = near.select(F.col("doc.key").alias("of")).distinct()
+    texts = only(keyed.withColumn("key", F.col("doc.key")), "key", keys, "of").dropDuplicates(["doc"])
+    places = cut(texts.select("doc", F.posexplode(weighted_places(words, n)).alias("p", "x")), "leak-places")
+    lengths = near.select("doc", "n_words", "n_places").distinct()
+    held = places.join(lengths, "doc").select("doc", "n_words", "n_places", "p", "x", F.explode(F.array(own, own - 1)).alias("g")).join(near.select(*window).distinct(), window, "left_semi")
+    sums = slide(held, starts, window, lambda x, w: {"own": w} | {f"c{k}": c for k, c in enumerate(_packs(x, w))})
+    prints = cut(sums.select(*window, "s", "own", _print(F.col("own")).alias("fp")), "leak-prints")
+    # Hamming neighbours: the items' blocks with all small differences, against the windows' blocks
     blocks = F.explode(F.array(*[F.struct(F.lit(k).alias("block"), _block(F.col("fp"), k).alias("value")) for k in range(BLOCKS)])).alias("x")
-    variants = item_prints.select("item", "item_id", F.col("n_words").alias("m"), F.col("fp").alias("item_fp"), blocks).select("item", "item_id", "m", "item_fp", F.col("x.block").alias("item_block"), F.explode(F.transform(F.array(*map(F.lit, _masks())), lambda mask: F.col("x.value").bitwiseXOR(mask))).alias("item_value"))
-    met = prints.select("doc_id", "key", "n_words", "s", "fp", blocks).join(_small(cut(variants, "leak-index")), (F.col("n_words") == F.col("m")) & (F.col("x.block") == F.col("item_block")) & (F.col("x.value") == F.col("item_value")))
-    pairs = met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("doc_id", "key", "n_words", "s", "item", "item_id").distinct()
-    sets = rows.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), F.col("n_words").alias("m"), F.col("s").alias("t"), "a")
-    both = pairs.join(sets, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")) & (F.col("n_words") == F.col("m")) & (F.col("s") == F.col("t"))).join(_small(items.select(F.col("item").alias("i"), "b", "w_item")), F.col("item") == F.col("i"))
-    shared, own = weight_of(F.array_intersect("a", "b")), weight_of(F.col("a"))
-    judged = both.select("doc_id", "item_id", "s", shared.alias("shared"), own.alias("own"), "w_item")
+    item_prints = simhash(long, ["item", "item_id", "n_words"], "b").select("item", "item_id", "n_words", F.col("fp").alias("item_fp"), F.col("own").alias("w_item"), blocks)
+    variants = item_prints.select("item", "item_id", "n_words", "item_fp", "w_item", F.col("x.block").alias("block"), F.explode(F.transform(F.array(*map(F.lit, _masks())), lambda mask: F.col("x.value").bitwiseXOR(mask))).alias("value"))
+    met = prints.select(*window, "s", "own", "fp", blocks).select(*window, "s", "own", "fp", "x.*").join(_small(cut(variants, "leak-index")), ["n_words", "block", "value"])
+    pairs = cut(met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("doc", "item", "item_id", "g", "s", "own", "w_item").distinct(), "leak-pairs")
+    # exact: the weight that window and item share, from the places of the item's shingles
+    both = ["doc", "item", "g"]
+    shared = near.select(*both, "n_places", F.explode("ps").alias("p")).join(pairs.select(*both).distinct(), both, "left_semi").join(places, ["doc", "p"])
+    judged = slide(shared, pairs.select(*both, "s").distinct(), both, lambda x, w: {"shared": w}).join(pairs, [*both, "s"])
     union = F.col("own") + F.col("w_item") - F.col("shared")
-    found = judged.where(F.col("shared") * 100 >= union * percent).withColumn("similarity", F.col("shared") / union)
+    found = judged.where(F.col("shared") * 100 >= union * percent).select("doc.doc_id", "item_id", "s", (F.col("shared") / union).alias("similarity"))
+    for m in sorted(r[0] for r in items.where(F.col("n_words") < n).select("n_words").distinct().collect()):
+        # fewer words than n are one shingle, whose fingerprint is that of a window or isn't
+        few = keyed.select("doc", F.posexplode(_spans(words, m)).alias("s", "h2"))
+        short = _small(items.where(F.col("n_words") == m).select("item_id", F.col("places")[0].alias("h")))
+        equal = few.join(short, F.col("h2") == F.col("h")).groupBy("doc.doc_id", "item_id").agg(F.min("s").alias("s"))
+        found = found.unionByName(equal.withColumn("similarity", F.lit(1.0)))
     return found.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.max_by(F.col("s"), F.struct("similarity", -F.col("s"))).cast("long").alias("at"))
 
 

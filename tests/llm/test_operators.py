@@ -289,6 +289,19 @@ def test_decontaminate_any_order(spark):
     assert {(1, 1), (2, 1), (5, 3), (6, 3), (7, 4), (9, 5), (11, 3)} <= set(best)
 
 
+def test_decontaminate_long(spark):
+    """A document of nothing but copies of an item, and an item of more words than a 16-bit counter holds."""
+    r = random.Random(1)
+    vocab = [f"w{i}" for i in range(5000)]
+    some = lambda n: [r.choice(vocab) for _ in range(n)]
+    item, big = some(200), some(50_000)
+    edited = some(3000) + big[:20_000] + ["edit"] + big[20_001:] + some(500)
+    docs = [(1, " ".join(item * 1500)), (2, " ".join(edited)), (3, " ".join(edited[:30_000])), (4, " ".join(some(20_000)))]
+    items = [(5, " ".join(item)), (6, " ".join(big))]
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(g["doc_id"], g["item_id"]): g["at"] for g in got.collect()} == {(1, 5): 0, (2, 6): 3000}
+
+
 def test_lm(spark, docs, none):
     rows = corpus()
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
