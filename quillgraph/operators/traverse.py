@@ -1,17 +1,17 @@
 """Traversals: hop distances, reachability, labels from many sources.
 
-Edges are dealt by their source once; a hop shuffles its frontier alone. A job takes several hops from a small frontier,
-or one from a wide one, so that little is expanded twice; it keeps the best value by vertex and drops what is settled.
-Each job writes what is new, and what was written before is never written again.
+Edges are a table dealt by their source; a hop shuffles its frontier alone. A job takes several hops from a small frontier,
+or one from a wide one, so that little is expanded twice; it keeps the best value by vertex, drops what is settled, and
+counts what it leaves while it writes. Each job writes what is new, and what was written before is never written again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.loop import BROADCAST_ROWS, HOPS, Phases, by_source, cut, drop, small, together
-from .construct import transpose
+from ..plans.loop import BROADCAST_ROWS, HOPS, Phases, by_source, counted, cut, drop, small, together
+from .construct import restrict, transpose
 
 
 def _oriented(edges: DataFrame, direction: str) -> DataFrame:
@@ -19,24 +19,27 @@ def _oriented(edges: DataFrame, direction: str) -> DataFrame:
 
 
 def bfs(edges: DataFrame, sources: DataFrame, direction: str = "out", hops: int = HOPS, phases: Phases | None = None) -> DataFrame:
-    """id, dist: least number of edges from any of sources(id). phases gets a row for each job."""
+    """id, dist: least number of edges from any of sources(id). phases gets a row for each job: what it found, the frontier that it left, its hops."""
     with by_source(_oriented(edges, direction)) as kept:
-        done = [cut(sources.select("id").distinct().withColumn("dist", F.lit(0)))]
-        front, n, base = done[0], done[0].count(), 0
+        first, seen = counted(sources.select("id").distinct().withColumn("dist", F.lit(0)), n=F.count("*"))
+        done, front, n, base = [first], first, seen["n"], 0
         while n:
             step, found, ahead = small(front.select("id"), n), None, hops if n <= BROADCAST_ROWS else 1
             for k in range(1, ahead + 1):
                 step = kept.join(step, F.col("src") == F.col("id")).select(F.col("dst").alias("id")).distinct()
                 at = step.withColumn("dist", F.lit(base + k))
                 found = at if found is None else found.unionByName(at)
-            new = cut(found.groupBy("id").agg(F.min("dist").alias("dist")).join(together(done).select(F.col("id").alias("s")), F.col("id") == F.col("s"), "left_anti"))
             base += ahead
-            some, n = new.agg(F.count("*"), F.count(F.when(F.col("dist") == base, 1))).first()
-            if some:
+            least = found.groupBy("id").agg(F.min("dist").alias("dist"))
+            new, seen = counted(least.join(together(done).select(F.col("id").alias("s")), F.col("id") == F.col("s"), "left_anti"), n=F.count("*"), frontier=F.count_if(F.col("dist") == base))
+            n = seen["frontier"]
+            if seen["n"]:
                 done.append(new)
+            else:
+                drop(new)
             front = new.where(F.col("dist") == base)
             if phases:
-                phases.note("search", n)
+                phases.note("search", seen["n"], n, ahead)
         return together(done)
 
 
@@ -45,46 +48,88 @@ def reach(edges: DataFrame, sources: DataFrame, direction: str = "out") -> DataF
     return bfs(edges, sources, direction).select("id")
 
 
-def multi_reach(edges: DataFrame, sources: DataFrame, part: DataFrame | None = None, direction: str = "out") -> DataFrame:
-    """id, label: the pairs of a vertex and each of sources(id) that reaches it; with part(id, part), along edges within a part only."""
-    from .construct import restrict
+def spread(edges: DataFrame, start: DataFrame, at: list[str], value: str, combine, better, along=lambda v: v, hops: int = HOPS, phases: Phases | None = None) -> list[DataFrame]:
+    """What vertices learn from those behind them until nothing changes, as the parts of a table that start and every job have written.
 
-    edges = _oriented(edges, direction)
-    if part is not None:
-        edges = restrict(edges, part)
+    start(*at, value): at begins with id. Values meet by combine, an aggregation, go along an edge as along(value), and are
+    news where better(value, known) isn't null: then that is what is written and sent on. Combining all parts by `at` gives the result."""
     with by_source(edges) as kept:
-        done = [cut(sources.select("id", F.col("id").alias("label")).distinct())]
-        delta, n = done[0], done[0].count()
+        first, seen = counted(start.select(*at, value), n=F.count("*"))
+        parts, delta, n = [first], first, seen["n"]
+        keys = at[1:]
         while n:
-            step, found = small(delta, n), None
-            for _ in range(2 if n <= BROADCAST_ROWS else 1):
-                step = kept.join(step, F.col("src") == F.col("id")).select(F.col("dst").alias("id"), "label").distinct()
+            step, found, ahead = small(delta, n), None, hops if n <= BROADCAST_ROWS else 1
+            for _ in range(ahead):
+                moved = kept.join(step, F.col("src") == F.col("id")).select(F.col("dst").alias("id"), *keys, along(F.col(value)).alias(value))
+                step = moved.groupBy(*at).agg(combine(F.col(value)).alias(value))
                 found = step if found is None else found.unionByName(step)
-            delta = cut(found.distinct().join(together(done), ["id", "label"], "left_anti"))
-            n = delta.count()
+            both = found.withColumn("old", F.lit(False)).unionByName(together(parts).select(*at, value, F.lit(True).alias("old")))
+            fresh, known = F.when(~F.col("old"), F.col(value)), F.when(F.col("old"), F.col(value))
+            met = both.groupBy(*at).agg(combine(fresh).alias("fresh"), combine(known).alias("known")).where("fresh is not null")
+            new, seen = counted(met.select(*at, better(F.col("fresh"), F.col("known")).alias(value)).where(F.col(value).isNotNull()), n=F.count("*"))
+            delta, n = new, seen["n"]
             if n:
-                done.append(delta)
-        return together(done)
+                parts.append(new)
+            else:
+                drop(new)
+            if phases:
+                phases.note("spread", n, n, ahead)
+        return parts
+
+
+def _if_less(fresh: Column, known: Column) -> Column:
+    return F.when(known.isNull() | (fresh < known), fresh)
+
+
+def least(edges: DataFrame, start: DataFrame, value: str, along=lambda v: v, hops: int = HOPS) -> DataFrame:
+    """id, value: the least value of start(id, value) that reaches a vertex, its own included, changed by along() on every edge."""
+    return together(spread(edges, start, ["id"], value, F.min, _if_less, along, hops)).groupBy("id").agg(F.min(value).alias(value))
 
 
 def least_label(edges: DataFrame, start: DataFrame, hops: int = HOPS) -> DataFrame:
     """id, label: the least label of start(id, label) that reaches a vertex, its own included."""
-    with by_source(edges) as kept:
-        now = cut(start)
-        both, delta, n = now, now, now.count()
-        while n:
-            step, found = small(delta, n), now
-            for _ in range(hops if n <= BROADCAST_ROWS else 1):
-                step = kept.join(step, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("label"))
-                found = found.unionByName(step)
-            best = found.groupBy("id").agg(F.min("label").alias("label"))
-            old = now.select(F.col("id").alias("i"), F.col("label").alias("was"))
-            before, both = both, cut(best.join(old, F.col("id") == F.col("i")))
-            drop(before)
-            delta = both.where("label < was").select("id", "label")
-            n = delta.count()
-            now = both.select("id", "label")
-        return now
+    return cut(least(edges, start, "label", hops=hops))
+
+
+def greatest_reaching(edges: DataFrame, start: DataFrame, hops: int = HOPS) -> DataFrame:
+    """id, label: the greatest label of start(id, label) that reaches a vertex: one row for each vertex all along, never the pairs."""
+    turned = start.select("id", (-F.col("label")).alias("label"))
+    return least(edges, turned, "label", hops=hops).select("id", (-F.col("label")).alias("label"))
+
+
+def numbered(sources: DataFrame) -> DataFrame:
+    """source, block, bit: sources(id) in the order of their ids, 64 to a block."""
+    from ..model import densify_ids
+
+    n = densify_ids(sources.select(F.col("id").alias("source")), "source")
+    return n.select("source", F.shiftright("id", 6).alias("block"), F.col("id").bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+
+
+def packed_reach(edges: DataFrame, sources: DataFrame, part: DataFrame | None = None, direction: str = "out", hops: int = HOPS, phases: Phases | None = None) -> DataFrame:
+    """id, block, bits: which of 64 sources of a block reach a vertex. sources is what numbered() gives.
+
+    A vertex sends on the bits that it didn't have; where they meet they are or-ed, so 64 searches cost the rows of one."""
+    edges = _oriented(edges, direction)
+    if part is not None:
+        edges = restrict(edges, part).select("src", "dst")
+    start = sources.select(F.col("source").alias("id"), "block", F.expr("shiftleft(1L, bit)").alias("bits"))
+    news = lambda fresh, known: F.nullif(fresh.bitwiseAND(F.bitwise_not(F.coalesce(known, F.lit(0).cast("long")))), F.lit(0).cast("long"))
+    parts = spread(edges, start, ["id", "block"], "bits", F.bit_or, news, hops=hops, phases=phases)
+    return together(parts).groupBy("id", "block").agg(F.bit_or("bits").alias("bits"))
+
+
+def unpacked(packed: DataFrame, sources: DataFrame) -> DataFrame:
+    """id, label: the pairs of a vertex and a source that packed_reach()'s bits hold."""
+    bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.call_function("getbit", F.col("bits"), b) == 1)
+    each = packed.select("id", "block", F.explode(bits).alias("bit"))
+    named = sources.select(F.col("source").alias("label"), F.col("block").alias("of"), F.col("bit").alias("place"))
+    return each.join(named, (F.col("block") == F.col("of")) & (F.col("bit") == F.col("place"))).select("id", "label")
+
+
+def multi_reach(edges: DataFrame, sources: DataFrame, part: DataFrame | None = None, direction: str = "out", hops: int = 2) -> DataFrame:
+    """id, label: the pairs of a vertex and each of sources(id) that reaches it; with part(id, part), along edges within a part only. Pairs are spelled out at the end."""
+    named = cut(numbered(sources))
+    return unpacked(packed_reach(edges, named, part, direction, hops), named)
 
 
 def effective_degree(edges: DataFrame, dist: DataFrame, beyond: int) -> DataFrame:

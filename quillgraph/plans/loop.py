@@ -11,8 +11,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which the side of a join is broadcast, after it was counted; beyond, the join shuffles.
@@ -34,11 +33,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """df, written and read back."""
+    return counted(df)[0]
+
+
+def counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """df, written and read back, and aggregations over it that the same job observes, so that no second one counts."""
     path = f"{shared_dir(df.sparkSession)}/quillgraph/graph-{uuid.uuid4().hex}"
+    seen = Observation() if counts else None
+    schema = df.schema
+    if seen:
+        df = df.observe(seen, *[c.alias(name) for name, c in counts.items()])
     df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(schema).parquet(path)
     out._quill_path = path
-    return out
+    return out, seen.get if seen else {}
 
 
 def drop(*frames: DataFrame) -> None:
@@ -55,33 +63,50 @@ def together(frames: list[DataFrame]) -> DataFrame:
 
 
 class Phases:
-    """What a run reports of itself: a row for each round or phase, with the seconds since the row before."""
+    """What a run reports of itself: a row for each phase or job, with what was counted in it and the seconds since the row before."""
 
     def __init__(self) -> None:
-        self.rows: list[tuple[str, int, float]] = []
+        self.rows: list[tuple[str, int, int | None, int | None, float]] = []
         self._since = time.perf_counter()
 
-    def note(self, phase: str, n: int) -> None:
-        """n: the vertices that the phase settled, or the frontier that the round left."""
+    def note(self, phase: str, n: int, frontier: int | None = None, hops: int | None = None) -> None:
+        """n: the vertices that the phase settled or the rows that the job found; frontier: what it left to go on from; hops: how far it went."""
         now = time.perf_counter()
-        self.rows.append((phase, n, now - self._since))
+        self.rows.append((phase, n, frontier, hops, now - self._since))
         self._since = now
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """round, phase, n, seconds."""
-        return spark.createDataFrame([(k, *r) for k, r in enumerate(self.rows)], "round long, phase string, n long, seconds double")
+        """round, phase, n, frontier, hops, seconds."""
+        return spark.createDataFrame([(k, *r) for k, r in enumerate(self.rows)], "round long, phase string, n long, frontier long, hops int, seconds double")
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df as a table in the shared folder, bucketed and sorted by a column: joins on it don't shuffle it, and what a lost executor was reading is read again, not made again. free() removes it."""
+    spark = df.sparkSession
+    name, n = f"quillgraph_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{shared_dir(spark)}/quillgraph/{name}"
+    # one file for each bucket: rows are dealt before they are written
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._quill_path, out._quill_table = path, name
+    return out
+
+
+def free(df: DataFrame) -> None:
+    """Removes what dealt() wrote."""
+    if name := getattr(df, "_quill_table", None):
+        df.sparkSession.sql(f"drop table if exists {name}")
+    drop(df)
 
 
 @contextmanager
-def by_source(edges: DataFrame) -> Iterator[DataFrame]:
-    """edges(src, dst), dealt by src once and kept like that while a loop runs: a hop then shuffles its frontier only, never the edges. What a lost executor held is read again."""
-    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kept = edges.select("src", "dst").repartition(n, "src").persist(StorageLevel.MEMORY_AND_DISK)
-    kept.count()
+def by_source(edges: DataFrame, *more: str) -> Iterator[DataFrame]:
+    """edges(src, dst, more), dealt by src while a loop runs: a hop then shuffles its frontier only, never the edges."""
+    kept = dealt(edges.select("src", "dst", *more), "src")
     try:
         yield kept
     finally:
-        kept.unpersist()
+        free(kept)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
