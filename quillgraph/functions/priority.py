@@ -11,9 +11,10 @@ def scramble(id: Column) -> Column:
     return (id * F.lit(2654435761) + F.lit(12345)) % F.lit(4294967296)
 
 
-def priorities(vertices: DataFrame) -> DataFrame:
-    """id and prio, 0 to n-1 in the scrambled order."""
+def priorities(vertices: DataFrame, salt: int = 0) -> DataFrame:
+    """id and prio, 0 to n-1 in the scrambled order; another salt gives another order."""
     from ..model import densify_ids
 
-    keyed = vertices.select("id").distinct().select(F.struct(scramble(F.col("id")).alias("h"), "id").alias("key"))
+    h = scramble(F.col("id")) if not salt else F.xxhash64("id", F.lit(salt))
+    keyed = vertices.select("id").distinct().select(F.struct(h.alias("h"), "id").alias("key"))
     return densify_ids(keyed, "key").select(F.col("key.id").alias("v"), "id").select(F.col("v").alias("id"), F.col("id").alias("prio"))

@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import Graph
-from ..plans.loop import cut, drop
+from ..functions.priority import priorities, scramble
+from ..model import Graph, densify_ids
+from ..plans.loop import Phases, counted, cut, drop
+from .decompose import ldd
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -59,6 +61,53 @@ def spanning_forest(g: Graph) -> DataFrame:
     return out.distinct()
 
 
+def by_decomposition(g: Graph, beta: float = 0.5, phases: Phases | None = None) -> tuple[DataFrame, DataFrame]:
+    """id, comp of connected_components(), and src, dst of a spanning forest, by low-diameter decompositions.
+
+    A decomposition contracts each cluster to its centre; what is left are the edges between clusters, and they are
+    decomposed again, in another random order, until there are none. So the rounds follow the logarithm of the vertices
+    and not the diameter. Cluster trees are the forest: every edge between contracted vertices remembers the least edge of
+    the graph that it stands for. phases gets a row for each contraction: the clusters' edges, and those left between them."""
+    plain = g.edges.where("src <> dst").select("src", "dst").distinct()
+    both = plain.unionByName(plain.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    witness = F.struct(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    edges, seen = counted(both.select("src", "dst", witness.alias("w")).groupBy("src", "dst").agg(F.min("w").alias("w")), n=F.count("*"))
+    at, taken, n, level = cut(g.vertices.distinct().select("id", F.col("id").alias("top"))), [], seen["n"], 0
+    while n:
+        level += 1
+        ends = edges.select(F.col("src").alias("id")).distinct()
+        clusters = cut(ldd(Graph(ends, edges.select("src", "dst"), True), beta, prio=priorities(ends, salt=level)))
+        up = clusters.where("id <> parent").select(F.col("id").alias("below"), "parent")
+        taken.append(cut(edges.join(up, (F.col("src") == F.col("parent")) & (F.col("dst") == F.col("below"))).select("w.src", "w.dst")))
+        a, b = clusters.select(F.col("id").alias("i"), F.col("center").alias("a")), clusters.select(F.col("id").alias("j"), F.col("center").alias("b"))
+        between = edges.join(a, F.col("src") == F.col("i")).join(b, F.col("dst") == F.col("j")).where("a <> b").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.min("w").alias("w"))
+        left, seen = counted(between, n=F.count("*"))
+        moved = cut(at.join(a, F.col("top") == F.col("i"), "left").select("id", F.coalesce("a", "top").alias("top")))
+        drop(edges, at)
+        if phases:
+            phases.note("contraction", n, seen["n"])
+        edges, at, n = left, moved, seen["n"]
+    least = at.groupBy(F.col("top").alias("t")).agg(F.min("id").alias("comp"))
+    forest = g.edges.select("src", "dst").limit(0)
+    for x in taken:
+        forest = forest.unionByName(x)
+    return at.join(least, F.col("top") == F.col("t")).select("id", "comp"), forest
+
+
+def sampled_mode(labels: DataFrame, samples: int = 10_000) -> DataFrame:
+    """label and share of the label that `samples` draws with replacement find most often; ties: the least.
+
+    Draws are places by a hash, the same on every run, in the order of ids. A label's share is within e of its true share
+    with a probability of 1 - 2 * exp(-2 * samples * e * e) or more (Hoeffding); for 10,000 draws, within 0.02 by 0.9993."""
+    placed = densify_ids(labels.select(F.struct("id", "label").alias("row")), "row").select("row.label", F.col("id").alias("place"))
+    placed = cut(placed)
+    n = placed.count()
+    if not n:
+        return labels.select("label", F.lit(0.0).alias("share")).limit(0)
+    draws = labels.sparkSession.range(samples).select((scramble(F.col("id")) % n).alias("drawn")).groupBy("drawn").agg(F.count("*").alias("times"))
+    return placed.join(draws, F.col("place") == F.col("drawn")).groupBy("label").agg((F.sum("times") / samples).alias("share")).orderBy(F.desc("share"), "label").limit(1)
+
+
 def dominant_label(labels: DataFrame) -> DataFrame:
     """label and n of the most frequent label; ties: the least."""
     return labels.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(1)

@@ -8,17 +8,67 @@ component. Settled vertices and edges between colours go, and the rest is trimme
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.priority import priorities
 from ..model import Graph
-from ..plans.loop import Phases, cut
-from .construct import crossing, restrict, subgraph, trim
-from .traverse import least_label, reach
+from ..plans.loop import Phases, counted, cut
+from .construct import batch, crossing, restrict, trim
+from .decompose import batches
+from .traverse import least_label, numbered, packed_reach, reach
 
 
-def scc(g: Graph, phases: Phases | None = None) -> DataFrame:
-    """id, comp: the least id of each vertex's strongly connected component. phases gets a row for each phase."""
+def _lowest(bits: Column) -> Column:
+    """The place of the lowest bit that is set."""
+    for k in (1, 2, 4, 8, 16, 32):
+        bits = bits.bitwiseOR(F.shiftleft(bits, k))
+    return 64 - F.bit_count(bits)
+
+
+def _batched(edges: DataFrame, part: DataFrame, beta: float, phases: Phases | None) -> list[DataFrame]:
+    """id, comp by batches: searches both ways from batches of priorities that grow by beta, inside the parts.
+
+    A vertex that a source reaches and that reaches it is in its component; all of a component have the same sources ahead
+    and behind, so what a vertex has of them, both ways, names its part from then on, and no component is ever split. Every
+    vertex is a source at last, so the batches, and not the paths, bound the rounds."""
+    order = cut(priorities(part))
+    done, total = [], order.count()
+    for low, high in batches(total, beta):
+        # no cycle holds what has no edge in or out within its part
+        inner = cut(restrict(edges, part).select("src", "dst"))
+        gone, rest = trim(Graph(part.select("id"), inner))
+        done.append(cut(gone.select("id", F.col("id").alias("comp"))))
+        part, seen = counted(part.join(rest.vertices.select(F.col("id").alias("k")), F.col("id") == F.col("k"), "left_semi"), n=F.count("*"))
+        if not seen["n"]:
+            break
+        own = batch(order, low, high).join(part.select(F.col("id").alias("k")), F.col("id") == F.col("k"), "left_semi")
+        sources = cut(numbered(own))
+        if sources.isEmpty():
+            continue
+        ahead, behind = cut(packed_reach(inner, sources)), cut(packed_reach(inner, sources, direction="in"))
+        there = behind.select(F.col("id").alias("i"), F.col("block").alias("of"), F.col("bits").alias("back"))
+        met = ahead.join(there, (F.col("id") == F.col("i")) & (F.col("block") == F.col("of"))).select("id", "block", F.col("bits").bitwiseAND(F.col("back")).alias("bits")).where("bits <> 0")
+        number = met.groupBy("id").agg(F.min(F.col("block") * 64 + _lowest(F.col("bits"))).alias("number"))
+        named = sources.select(F.col("source").alias("comp"), (F.col("block") * 64 + F.col("bit")).alias("n"))
+        found, seen = counted(number.join(named, F.col("number") == F.col("n")).select("id", "comp"), n=F.count("*"))
+        done.append(found)
+        sets = lambda df, tag: df.select("id", F.xxhash64("block", "bits", F.lit(tag)).alias("h"))
+        seen_by = sets(ahead, 0).unionByName(sets(behind, 1)).groupBy(F.col("id").alias("i")).agg(F.bit_xor("h").alias("h"))
+        left = part.join(found.select(F.col("id").alias("k")), F.col("id") == F.col("k"), "left_anti").join(seen_by, F.col("id") == F.col("i"), "left")
+        part, edges = cut(left.select("id", F.xxhash64("part", "h").alias("part"))), inner
+        if phases:
+            phases.note(f"batch {low}-{high - 1}", seen["n"])
+    return done
+
+
+def scc(g: Graph, phases: Phases | None = None, method: str = "colours", beta: float = 1.5) -> DataFrame:
+    """id, comp: the least id of each vertex's strongly connected component. phases gets a row for each phase.
+
+    method: what settles the vertices beside the giant component. "colours" takes a job for each few edges of the longest
+    path in a colour; "batches" takes two searches for each of log(n) / log(beta) batches, whatever the paths."""
+    if method not in ("colours", "batches"):
+        raise ValueError(f"{method}: the method must be colours or batches")
     note = lambda phase, df: phases and phases.note(phase, df.count())
     own = lambda df: df.select("id", F.col("id").alias("comp"))
     g = Graph(cut(g.vertices.distinct()), cut(g.edges.where("src <> dst").distinct()))
@@ -38,6 +88,9 @@ def scc(g: Graph, phases: Phases | None = None) -> DataFrame:
     # ahead of the pivot, behind it, or neither: no component crosses these parts
     a, b = ahead.select(F.col("id").alias("a")), behind.select(F.col("id").alias("b"))
     part = cut(left.join(a, F.col("id") == F.col("a"), "left").join(b, F.col("id") == F.col("b"), "left").select("id", F.when(F.col("a").isNotNull(), 1).when(F.col("b").isNotNull(), 2).otherwise(0).cast("long").alias("part")))
+    if method == "batches":
+        done += _batched(rest.edges, part, beta, phases)
+        part = part.limit(0)
     while not part.isEmpty():
         g = Graph(part.select("id"), cut(restrict(rest.edges, part).select("src", "dst")))
         gone, rest = trim(g, iterate=True)
@@ -53,6 +106,9 @@ def scc(g: Graph, phases: Phases | None = None) -> DataFrame:
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
+    if method == "batches":  # components are named by a source there
+        least = out.groupBy(F.col("comp").alias("c")).agg(F.min("id").alias("least"))
+        out = out.join(least, F.col("comp") == F.col("c")).select("id", F.col("least").alias("comp"))
     return out
 
 

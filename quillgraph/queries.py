@@ -369,7 +369,7 @@ def effective_degree(spark, sf_dir):
 @_query(f"WITH RECURSIVE {KNN2}, r(id, label) AS (SELECT id, id FROM v UNION SELECT e.dst, r.label FROM r JOIN e ON r.id = e.src) SELECT id, max(label) AS label FROM r GROUP BY id")
 def greatest_label(spark, sf_dir):
     g = R.knn(spark, sf_dir, 2)
-    return traverse.greatest_label(traverse.multi_reach(cut(g.edges), g.vertices))
+    return traverse.greatest_reaching(cut(g.edges), g.vertices.select("id", F.col("id").alias("label")))
 
 
 @_query(f"""WITH RECURSIVE {KNN2}, {SYM}, {PRIO}, {PAIRS}, l AS MATERIALIZED (SELECT b AS id, arg_min(a, (CAST(ceil(ln(prio + 1.0) / 0.2) AS INT) + dist, prio)) AS center, min(CAST(ceil(ln(prio + 1.0) / 0.2) AS INT) + dist) AS arrival FROM t JOIN p ON p.id = t.a GROUP BY b),
@@ -411,3 +411,88 @@ def adj_round_trip(spark, sf_dir):
     path = f"{shared_dir(spark)}/quillgraph/graph-{uuid.uuid4().hex}.adj"
     csr.write_adj(Graph(cut(g.vertices), cut(g.edges)), path)
     return csr.read(spark, path).edges
+
+
+@_query(f"WITH RECURSIVE {C12}, {CLOSURE}, {SCC} SELECT id, comp FROM scc")
+def scc_batched(spark, sf_dir):
+    return scc.scc(_c12(spark, sf_dir), method="batches", beta=8)
+
+
+@_query(f"WITH RECURSIVE {KNN2}, {CLOSURE}, {SCC} SELECT id, comp FROM scc")
+def scc_batched_knn(spark, sf_dir):
+    """Long paths and many small components."""
+    g = R.knn(spark, sf_dir, 2)
+    return scc.scc(Graph(g.vertices, cut(g.edges)), method="batches", beta=8)
+
+
+@_query(f"WITH RECURSIVE {RETURNS}, {SYM}, {UCLOSURE}, {CC} SELECT id, comp FROM cc")
+def cc_by_decomposition(spark, sf_dir):
+    return cc.by_decomposition(R.copart(spark, sf_dir, 15, returned=True), beta=1.0)[0]
+
+
+@_query(f"WITH RECURSIVE {RETURNS}, {SYM}, {UCLOSURE}, {CC} SELECT count(*) - count(DISTINCT comp) AS edges, 0 AS foreign_edges, 0 AS moved FROM cc")
+def forest_by_decomposition(spark, sf_dir):
+    """Invariants of a spanning forest, as of spanning_forest, from the cluster trees."""
+    g = R.copart(spark, sf_dir, 15, returned=True)
+    comp, forest = cc.by_decomposition(g, beta=1.0)
+    forest = cut(forest)
+    u = construct.symmetrize(g.edges).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    foreign = forest.join(u, (F.col("src") == F.col("a")) & (F.col("dst") == F.col("b")), "left_anti").agg(F.count("*").cast("int").alias("foreign_edges"))
+    other = cc.connected_components(Graph(g.vertices, forest)).select(F.col("id").alias("i"), F.col("comp").alias("c"))
+    moved = comp.join(other, F.col("id") == F.col("i")).where("comp <> c").agg(F.count("*").cast("int").alias("moved"))
+    return forest.agg(F.count("*").alias("edges")).join(foreign, F.lit(True)).join(moved, F.lit(True))
+
+
+@_query(f"""WITH RECURSIVE {RETURNS}, {SYM}, {UCLOSURE}, {CC}, p AS (SELECT comp, row_number() OVER (ORDER BY id) - 1 AS place, count(*) OVER () AS n FROM cc),
+d AS (SELECT (i * 2654435761 + 12345) % 4294967296 % (SELECT max(n) FROM p) AS place FROM range(10000) r(i)) SELECT comp AS label, count(*) / 10000 AS share FROM d JOIN p USING (place) GROUP BY comp ORDER BY share DESC, label LIMIT 1""")
+def dominant_label_sampled(spark, sf_dir):
+    return cc.sampled_mode(cc.connected_components(R.copart(spark, sf_dir, 15, returned=True)).withColumnRenamed("comp", "label"))
+
+
+@_query(f"WITH RECURSIVE {KNN2}, {SYM}, {PRIO}, {PAIRS}, {_LE} SELECT target, source, CAST(dist AS INT) AS dist FROM l WHERE best IS NULL OR dist < best")
+def le_lists_batched(spark, sf_dir):
+    return decompose.le_lists_batched(_knn_sym(spark, sf_dir), beta=4)
+
+
+def _violations(variant: str) -> str:
+    """SQL for what is wrong with the lists of a table, by subqueries instead of the operator's joins and running minima."""
+    t = f"list_{variant}"
+    return f"""SELECT '{variant}' AS variant, 'own' AS kind, count(*) AS violations FROM v WHERE NOT EXISTS (SELECT 1 FROM {t} x WHERE x.target = v.id AND x.source = v.id AND x.dist = 0)
+UNION ALL SELECT '{variant}', 'unfounded', count(*) FROM {t} x WHERE NOT (target = source AND dist = 0) AND NOT EXISTS (SELECT 1 FROM u JOIN {t} y ON y.target = u.src WHERE u.dst = x.target AND y.source = x.source AND y.dist + 1 = x.dist)
+UNION ALL SELECT '{variant}', 'order', count(*) FROM {t} x WHERE EXISTS (SELECT 1 FROM {t} y WHERE y.target = x.target AND y.prio < x.prio AND y.dist <= x.dist)
+UNION ALL SELECT '{variant}', 'missing', count(*) FROM (SELECT u.dst AS target, x.prio, min(x.dist) + 1 AS due FROM {t} x JOIN u ON u.src = x.target GROUP BY ALL) c WHERE NOT EXISTS (SELECT 1 FROM {t} y WHERE y.target = c.target AND y.prio <= c.prio AND y.dist <= c.due)"""
+
+
+@_query(f"""WITH RECURSIVE {KNN2}, {SYM}, {PRIO}, {PAIRS}, {_LE}, list_exact AS MATERIALIZED (SELECT target, source, dist, prio FROM l WHERE best IS NULL OR dist < best),
+list_missing AS MATERIALIZED (SELECT * FROM list_exact WHERE (target * 7 + source) % 11 <> 0), list_far AS MATERIALIZED (SELECT target, source, dist + CASE WHEN target % 13 = 0 AND dist > 0 THEN 1 ELSE 0 END AS dist, prio FROM list_exact)
+{" UNION ALL ".join(map(_violations, ("exact", "missing", "far")))}""")
+def le_list_certificate(spark, sf_dir):
+    """The lists as they are, without some rows, and with some distances one too far."""
+    g = _knn_sym(spark, sf_dir)
+    exact = cut(g.le_lists())
+    damaged = {
+        "exact": exact,
+        "missing": exact.where((F.col("target") * 7 + F.col("source")) % 11 != 0),
+        "far": exact.withColumn("dist", F.col("dist") + F.when((F.col("target") % 13 == 0) & (F.col("dist") > 0), 1).otherwise(0)),
+    }
+    out = None
+    for variant, lists in damaged.items():
+        found = decompose.certificate(g, lists).withColumn("variant", F.lit(variant))
+        out = found if out is None else out.unionByName(found)
+    return out.select("variant", "kind", "violations")
+
+
+@_query(f"""WITH RECURSIVE {C12}, {SOURCE}, {_BFS}, m AS (SELECT max(dist) AS m FROM b), j AS (SELECT h AS hops, unnest(range(1, m // h + 2)) AS job FROM m, (VALUES (1), (4)) x(h))
+SELECT CAST(hops AS INT) AS hops, job, count(dist) AS found, count(dist) FILTER (WHERE dist = job * hops) AS frontier FROM j LEFT JOIN b ON dist > (job - 1) * hops AND dist <= job * hops GROUP BY hops, job""")
+def counted_rounds(spark, sf_dir):
+    """What the jobs of two searches counted as they ran: one hop a job, and four."""
+    from .plans.loop import Phases
+
+    g, out = _c12(spark, sf_dir), None
+    source = _source(g)
+    for hops in (1, 4):
+        phases = Phases()
+        traverse.bfs(g.edges, source, hops=hops, phases=phases)
+        rows = phases.table(spark).select("hops", (F.col("round") + 1).alias("job"), F.col("n").alias("found"), "frontier")
+        out = rows if out is None else out.unionByName(rows)
+    return out
