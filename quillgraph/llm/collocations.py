@@ -39,6 +39,8 @@ SHARD_BYTES = 1 << 21
 FILTER_BITS = 1 << 26
 #: Strings that a task spells out at once.
 BATCH = 1 << 15
+#: Languages up to which their numbers of words are broadcast, after counting them; beyond, the join shuffles.
+FEW_LANGS = 100_000
 #: Parts into which a language's phrases are dealt before the best of each meet.
 PARTS = 64
 _BREAK = np.zeros(256, bool)
@@ -219,6 +221,8 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, pe
         frequent = spark.sparkContext.broadcast(pair_filter(known.where("k = 2"), bits))  # of a fixed size
         known = known.unionByName(C.cut(counts(docs, longest, 3, frequent, shard).where(F.col("n") >= least), "phrase-long"))
     words = known.where("k = 0").select(F.col("lang").alias("of"), F.col("n").alias("words"))
+    if words.limit(FEW_LANGS + 1).count() <= FEW_LANGS:
+        words = F.broadcast(words)
     found = known.where("k > 1")
     head, tail = _words("k - 1"), _words("1 - k")
     inner = found.where("k > 2").select("lang", F.explode(F.array(head, tail)).alias("phrase"), "n").groupBy("lang", "phrase").agg(F.max("n").alias("m"))
