@@ -1,6 +1,6 @@
 """Phrase collocations: phrases of two to five words that come together more often than any cut of them explains, by language.
 
-Each shard, some megabytes of a task's texts, gets a generalised suffix automaton over words, bounded in depth and built
+Each shard, a megabyte of a task's texts, gets a generalised suffix automaton over words, bounded in depth and built
 level by level with numpy: the strings of d words are those of d - 1 words with the word after them, so sorting pairs of
 numbers gives each its node and the number of its ends. A node's suffix link leads to its string without the first word;
 where both have equally many ends they end at the same places and are one state. A task writes its states, as the longest
@@ -34,7 +34,7 @@ from . import common as C
 
 LONGEST, LEAST, PERCENT, TOP = 5, 100, 100, 2000
 #: Bytes of text of a shard; a longer document is one of its own.
-SHARD_BYTES = 1 << 21
+SHARD_BYTES = 1 << 20
 #: Bits of the filter of frequent pairs: 8 MB, whatever the corpus.
 FILTER_BITS = 1 << 26
 #: Strings that a task spells out at once.
