@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from .functions import stats
 from .functions.priority import priorities
 from .model import Graph
-from .operators import cc, construct, decompose, scc, traverse
+from .operators import cc, construct, decompose, pull, scc, traverse
 from .plans.loop import HOPS, cut, shared_dir
 from .sources import csr
 from .sources import relational as R
@@ -496,3 +496,38 @@ def counted_rounds(spark, sf_dir):
         rows = phases.table(spark).select("hops", (F.col("round") + 1).alias("job"), F.col("n").alias("found"), "frontier")
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+_DENSE = """WITH k AS (SELECT DISTINCT o_custkey AS c, l_suppkey AS s FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity < 2),
+x AS (SELECT DISTINCT 'c' AS kind, c AS num FROM k UNION SELECT DISTINCT 's', s FROM k), d AS (SELECT kind, num, row_number() OVER (ORDER BY kind, num) - 1 AS id FROM x),
+e AS (SELECT a.id AS src, b.id AS dst FROM k JOIN d a ON a.kind = 'c' AND a.num = c JOIN d b ON b.kind = 's' AND b.num = s)"""
+
+
+def _written(spark, sf_dir, dual: bool) -> str:
+    g = R.dense_customer_suppliers(spark, sf_dir)
+    path = f"{shared_dir(spark)}/quillgraph/graph-{uuid.uuid4().hex}.bin"
+    csr.write_bin(Graph(cut(g.vertices), cut(g.edges)), path, dual)
+    return path
+
+
+@_query(f"{_DENSE} SELECT src, dst FROM e")
+def bin_round_trip(spark, sf_dir):
+    """The graph of customers and suppliers, written by tasks as one .bin file and read by byte ranges."""
+    return csr.read_bin(spark, _written(spark, sf_dir, False), piece=100).edges
+
+
+@_query(f"{_DENSE} SELECT 'out' AS block, src, dst FROM e UNION ALL SELECT 'in', dst, src FROM e WHERE dst >= (SELECT min(id) + 3 FROM d WHERE kind = 's')")
+def bin_dual_round_trip(spark, sf_dir):
+    """Both blocks of a dual file; of the second one, the vertices from the fourth supplier on: the reader skips the others' bytes."""
+    path = _written(spark, sf_dir, True)
+    out = csr.read_bin(spark, path, dual=True).edges
+    first = out.agg(F.min("dst")).first()[0]
+    back = csr.read_bin_transpose(spark, path, piece=64).where(F.col("src") >= F.lit(first + 3))
+    return out.select(F.lit("out").alias("block"), "src", "dst").unionByName(back.select(F.lit("in").alias("block"), "src", "dst"))
+
+
+@_query(f"WITH RECURSIVE {C12}, {SOURCE}, {_BFS} SELECT id, CAST(dist AS INT) AS dist FROM b")
+def bfs_by_pull(spark, sf_dir):
+    """The unvisited look for a neighbour in the frontier, instead of the frontier for its neighbours."""
+    g = _c12(spark, sf_dir)
+    return pull.bfs(g, _source(g))

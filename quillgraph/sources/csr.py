@@ -8,21 +8,15 @@ file or a folder of them in the order of their names; it is read and written by
 
 from __future__ import annotations
 
-import struct
-from bisect import bisect_left, bisect_right
+import os
 
-import numpy as np
-import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..model import Graph
 from ..operators.construct import csr_offsets
-
-#: Edges that one task reads.
-PIECE = 1 << 22
+from .csr_source import PIECE, header, local_path, register
 
 
 def read(spark: SparkSession, path: str, symmetric: bool = False, dual: bool = False) -> Graph:
@@ -34,51 +28,18 @@ def read(spark: SparkSession, path: str, symmetric: bool = False, dual: bool = F
     raise ValueError(f"{path}: the ending must be .adj or .bin")
 
 
-def _open(path: str) -> pa.NativeFile:
-    system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-    return system.open_input_file(inner)
-
-
-class _Offsets:
-    """The n + 1 offsets of a file, each read where it is asked for."""
-
-    def __init__(self, f: pa.NativeFile, n: int) -> None:
-        self.f, self.n = f, n
-
-    def __len__(self) -> int:
-        return self.n + 1
-
-    def __getitem__(self, i: int) -> int:
-        return int(self.span(i, i + 1)[0])
-
-    def span(self, i: int, j: int) -> np.ndarray:
-        return np.frombuffer(self.f.read_at(8 * (j - i), 24 + 8 * i), "<u8").astype(np.int64)
+def read_bin(spark: SparkSession, path: str, symmetric: bool = False, dual: bool = False, piece: int = PIECE) -> Graph:
+    """The graph of a `.bin` file, by the data source `csr`; of a dual file, its first block."""
+    n, _ = header(path, dual)
+    register(spark)
+    options = {"path": path, "piece": str(piece), "dual": str(dual).lower()}
+    return Graph(spark.range(n), spark.read.format("csr").options(**options).load(), symmetric)
 
 
-def read_bin(spark: SparkSession, path: str, symmetric: bool = False, dual: bool = False, piece: int = PIECE) -> Graph:
-    with _open(path) as f:
-        n, m, size = struct.unpack("<QQQ", f.read_at(24, 0))
-        expected = (n + 1) * 8 + m * 4 + 24
-        if size != expected:
-            raise ValueError(f"{path}: header says {size} bytes, n and m give {expected}")
-        if f.size() != expected * (2 if dual else 1):
-            raise ValueError(f"{path}: has {f.size()} bytes")
-        if dual and struct.unpack("<QQ", f.read_at(16, expected)) != (n, m):
-            raise ValueError(f"{path}: its two blocks differ in n or m")
-
-    def edges(batches):
-        for batch in batches:
-            for k in batch.column(0).to_pylist():
-                lo, hi = k * piece, min(m, (k + 1) * piece)
-                with _open(path) as f:
-                    offsets = _Offsets(f, n)
-                    first, last = bisect_right(offsets, lo) - 1, bisect_left(offsets, hi)
-                    own = np.clip(offsets.span(first, last + 1), lo, hi)
-                    target = np.frombuffer(f.read_at(4 * (hi - lo), 24 + 8 * (n + 1) + 4 * lo), "<u4").astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(first, last), np.diff(own))), pa.array(target)], names=["src", "dst"])
-
-    pieces = -(-m // piece)
-    return Graph(spark.range(n), spark.range(0, pieces, 1, max(1, pieces)).mapInArrow(edges, "src long, dst long"), symmetric)
+def read_bin_transpose(spark: SparkSession, path: str, piece: int = PIECE) -> DataFrame:
+    """src, dst of the second block of a dual `.bin` file: the edges turned round, as they are stored."""
+    register(spark)
+    return spark.read.format("csr").options(path=path, piece=str(piece), block="in").load()
 
 
 def read_adj(spark: SparkSession, path: str, symmetric: bool = False) -> Graph:
@@ -113,16 +74,27 @@ def read_adj(spark: SparkSession, path: str, symmetric: bool = False) -> Graph:
 
 
 def write_bin(g: Graph, path: str, dual: bool = False) -> None:
-    """Writes dense ids 0..n-1 as `.bin`, rows streamed to the driver in order: for files that one machine can hold."""
-    with open(path, "wb") as f:
-        for edges in [g.edges, g.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))][: 2 if dual else 1]:
-            n, m = g.vertices.count(), edges.count()
-            f.write(struct.pack("<QQQ", n, m, (n + 1) * 8 + m * 4 + 24))
-            for row in csr_offsets(Graph(g.vertices, edges)).orderBy("id").toLocalIterator():
-                f.write(struct.pack("<Q", row["begin"]))
-            f.write(struct.pack("<Q", m))
-            for row in edges.orderBy("src", "dst").toLocalIterator():
-                f.write(struct.pack("<I", row["dst"]))
+    """Writes dense ids 0..n-1 as one `.bin` file, in place and by tasks, to a path that all executors mount; with dual, a second block of the edges by their targets."""
+    target = local_path(path)
+    if os.path.exists(target):
+        os.remove(target)
+    blocks = [g.edges, g.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))][: 2 if dual else 1]
+    n, m = g.vertices.count(), g.edges.count()
+    if g.edges.where(F.least("src", "dst") < 0).union(g.edges.where(F.greatest("src", "dst") >= n)).count():
+        raise ValueError("ids must be 0 to n-1")
+    size, numbers, heads = (n + 1) * 8 + m * 4 + 24, None, []
+    for k, edges in enumerate(blocks):
+        base = k * size
+        begin = csr_offsets(Graph(g.vertices, edges))
+        last = g.edges.sparkSession.createDataFrame([(n, m)], "id long, begin long")
+        offsets = begin.unionByName(last).select((F.col("id") * 8 + (base + 24)).alias("at"), F.col("begin").alias("value"), F.lit(8).alias("width"))
+        place = F.row_number().over(W.partitionBy("src").orderBy("dst")) - 1
+        targets = edges.withColumn("k", place).join(begin, F.col("src") == F.col("id")).select(((F.col("begin") + F.col("k")) * 4 + (base + 24 + 8 * (n + 1))).alias("at"), F.col("dst").alias("value"), F.lit(4).alias("width"))
+        both = offsets.unionByName(targets)
+        numbers = both if numbers is None else numbers.unionByName(both)
+        heads.append(f"{base}:{n}:{m}")
+    register(g.edges.sparkSession)
+    numbers.repartitionByRange("at").sortWithinPartitions("at").write.format("csr").options(path=path, headers=",".join(heads), size=str(size * len(blocks))).mode("append").save()
 
 
 def write_adj(g: Graph, path: str) -> None:
