@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.priority import scramble
 from ..model import Graph
 from ..plans.loop import cut, drop
 
@@ -94,3 +95,19 @@ def degree_sum(g: Graph, ids: DataFrame) -> DataFrame:
 def batch(prio: DataFrame, low: int, high: int) -> DataFrame:
     """The vertices of prio(id, prio) with low <= prio < high: a batch of a fixed order, which no sort or offset has to find."""
     return prio.where((F.col("prio") >= low) & (F.col("prio") < high))
+
+
+def hash_sample(ids: DataFrame, keep: int, of: int) -> DataFrame:
+    """About `keep` of each `of` of ids(id), by their hash: the same ones on every run and of every table that has them."""
+    return ids.where(F.pmod(scramble(F.col("id")), F.lit(of)) < keep)
+
+
+def with_key(pairs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of pairs(k, v) whose key is among keys(k)."""
+    return pairs.join(keys.select(F.col("k").alias("_k")), F.col("k") == F.col("_k"), "left_semi")
+
+
+def with_pair(pairs: DataFrame, probes: DataFrame) -> DataFrame:
+    """The rows of pairs(k, v) that are among probes(k, v)."""
+    asked = probes.select(F.col("k").alias("_k"), F.col("v").alias("_v"))
+    return pairs.join(asked, (F.col("k") == F.col("_k")) & (F.col("v") == F.col("_v")), "left_semi")

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.priority import priorities
-from ..model import Graph
+from ..functions.priority import priorities, scramble
+from ..model import Graph, densify_ids
 from ..plans.loop import BROADCAST_ROWS, HOPS, Phases, by_source, counted, cut, dealt, drop, free, small, together
 from .construct import batch
 from .traverse import least
@@ -152,6 +152,22 @@ def centres(n: int, samples: int = 1024) -> list[int]:
     return [(k * 2654435761 + 12345) % 2**32 % n for k in range(1024, 1024 + samples)] if n else []
 
 
+def sampled_centres(vertices: DataFrame, samples: int = 1024) -> DataFrame:
+    """id: the vertices that `samples` draws with replacement hit, by their places in the order of ids; centres() on a table, for any number of draws."""
+    placed = cut(densify_ids(vertices.select(F.col("id").alias("v")), "v"))
+    n = placed.count()
+    if not n:
+        return vertices.select("id").limit(0)
+    draws = vertices.sparkSession.range(1024, 1024 + samples).select((scramble(F.col("id")) % n).alias("drawn")).distinct()
+    return placed.join(draws, F.col("id") == F.col("drawn"), "left_semi").select(F.col("v").alias("id"))
+
+
+def in_order(lists: DataFrame, prio: DataFrame) -> DataFrame:
+    """target, place, source, dist: each list by descending priority, that is, by falling distance."""
+    ranked = lists.join(prio.select(F.col("id").alias("s"), "prio"), F.col("source") == F.col("s"))
+    return ranked.select("target", F.row_number().over(W.partitionBy("target").orderBy("prio")).alias("place"), "source", "dist")
+
+
 def differing(a: DataFrame, b: DataFrame) -> DataFrame:
     """The rows that only one of two results has, repeats counted; none if they are equal."""
     return a.exceptAll(b).unionByName(b.exceptAll(a))

@@ -13,7 +13,7 @@ from .functions.priority import priorities
 from .model import Graph
 from .operators import cc, construct, decompose, pull, scc, traverse
 from .plans.loop import HOPS, cut, shared_dir
-from .sources import csr
+from .sources import csr, logs
 from .sources import relational as R
 
 QUERIES: dict = {}
@@ -531,3 +531,75 @@ def bfs_by_pull(spark, sf_dir):
     """The unvisited look for a neighbour in the frontier, instead of the frontier for its neighbours."""
     g = _c12(spark, sf_dir)
     return pull.bfs(g, _source(g))
+
+
+@_query(f"WITH RECURSIVE {KNN2}, {SYM}, {PRIO}, {PAIRS}, {_LE} SELECT target, CAST(row_number() OVER (PARTITION BY target ORDER BY prio) AS INT) AS place, source, CAST(dist AS INT) AS dist FROM l WHERE best IS NULL OR dist < best")
+def le_list_sorted(spark, sf_dir):
+    g = _knn_sym(spark, sf_dir)
+    prio = cut(priorities(g.vertices))
+    return decompose.in_order(decompose.le_lists(g, prio), prio)
+
+
+@_query(f"WITH {C12} SELECT id FROM v WHERE (id * 2654435761 + 12345) % 4294967296 % 100 < 7")
+def hash_mod_sample(spark, sf_dir):
+    return construct.hash_sample(R.copart(spark, sf_dir, 12).vertices, 7, 100)
+
+
+@_query(f"WITH {C12}, p AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS place, count(*) OVER () AS n FROM v) SELECT id FROM p WHERE place IN (SELECT (i * 2654435761 + 12345) % 4294967296 % (SELECT max(n) FROM p) FROM range(1024, 2048) r(i))")
+def ldd_centres(spark, sf_dir):
+    return decompose.sampled_centres(R.copart(spark, sf_dir, 12).vertices)
+
+
+@_query(f"""WITH {C8.replace('e AS MATERIALIZED (', 'x AS MATERIALIZED (').replace('v AS', 'vv AS')}, {C12}
+SELECT 'key' AS probe, src AS k, dst AS v FROM e WHERE src IN (SELECT dst FROM x) UNION ALL SELECT 'pair', src, dst FROM e SEMI JOIN x USING (src, dst)""")
+def multimap_probe(spark, sf_dir):
+    """Which pairs have a key that is asked for, and which pairs are."""
+    few, many = R.copart(spark, sf_dir, 8).edges, R.copart(spark, sf_dir, 12).edges.toDF("k", "v")
+    by_key = construct.with_key(many, few.select(F.col("dst").alias("k")).distinct())
+    by_pair = construct.with_pair(many, few.toDF("k", "v"))
+    return by_key.select(F.lit("key").alias("probe"), "k", "v").unionByName(by_pair.select(F.lit("pair").alias("probe"), "k", "v"))
+
+
+@_query("SELECT 'view' AS kind, count(*) AS n, sum(CAST(round(value * 1000) AS BIGINT))::DOUBLE AS total FROM events WHERE event_type = 'view' UNION ALL SELECT 'purchase', count(*), sum(CAST(round(value * 1000) AS BIGINT))::DOUBLE FROM events WHERE event_type = 'purchase'")
+def log_round_trip(spark, sf_dir):
+    """Events written as log lines, and the measurements of two patterns read out of them."""
+    path = f"{shared_dir(spark)}/quillgraph/log-{uuid.uuid4().hex}"
+    events = R.table(spark, sf_dir, "events")
+    events.select(F.concat(F.lit("event "), F.col("event_type"), F.lit(" by user took: "), F.round(F.col("value") * 1000).cast("long").cast("string")).alias("value")).write.text(path)
+    out = None
+    for kind in ("view", "purchase"):
+        found = logs.read_measurements(spark, path, f"^event {kind} ").agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), F.sum("value").alias("total"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@_query("SELECT CAST(l_suppkey AS VARCHAR) AS frame, CAST(l_orderkey AS VARCHAR) AS a, CAST(l_partkey AS VARCHAR) AS b FROM lineitem WHERE l_quantity < 3")
+def frames_round_trip(spark, sf_dir):
+    """Files of several CSV tables, one for each supplier, after a line `graph key` each."""
+    path = f"{shared_dir(spark)}/quillgraph/frames-{uuid.uuid4().hex}"
+    lines = R.table(spark, sf_dir, "lineitem").where("l_quantity < 3")
+    heads = lines.select("l_suppkey").distinct().select("l_suppkey", F.lit(0).alias("at"), F.concat(F.lit("graph "), F.col("l_suppkey").cast("string")).alias("value"))
+    body = lines.select("l_suppkey", F.lit(1).alias("at"), F.concat_ws(", ", "l_orderkey", "l_partkey").alias("value"))
+    heads.unionByName(body).repartition("l_suppkey").sortWithinPartitions("l_suppkey", "at").select("value").write.text(path)
+    read = logs.read_frames(spark, path)
+    return read.select("frame", F.col("values")[0].alias("a"), F.col("values")[1].alias("b"))
+
+
+@_query("SELECT o_orderstatus AS status, o_orderpriority AS priority, count(*) AS n FROM orders GROUP BY ALL")
+def csv_round_trip(spark, sf_dir):
+    """A result written as CSV, in a folder for each status, and read again."""
+    path = f"{shared_dir(spark)}/quillgraph/csv-{uuid.uuid4().hex}"
+    counts = R.table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n"))
+    logs.write_table(counts, path, by="status")
+    return spark.read.option("header", True).schema("priority string, n long, status string").csv(path).select("status", "priority", "n")
+
+
+@_query(f"""WITH {C8.replace('e AS MATERIALIZED (', 'e8 AS (').replace('v AS', 'v8 AS')}, {RETURNS.replace('e AS MATERIALIZED (', 'er AS (').replace('v AS', 'vr AS')}, {C12}
+SELECT 'copart12' AS name, (SELECT count(*) FROM v) AS n, (SELECT count(*) FROM e) AS m UNION ALL SELECT 'copart8', (SELECT count(*) FROM v8), (SELECT count(*) FROM e8) UNION ALL SELECT 'returns15', (SELECT count(*) FROM vr), (SELECT count(*) FROM er)""")
+def catalog_sizes(spark, sf_dir):
+    out = None
+    for name in ("copart12", "copart8", "returns15"):
+        g = R.CATALOG[name](spark, sf_dir)
+        size = g.vertices.agg(F.count("*").alias("n")).join(g.edges.agg(F.count("*").alias("m")), F.lit(True)).select(F.lit(name).alias("name"), "n", "m")
+        out = size if out is None else out.unionByName(size)
+    return out
