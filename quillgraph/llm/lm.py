@@ -41,7 +41,9 @@ BLOCK = 4 << 20
 #: Word rows that a task packs by block at once.
 PACK = 200_000
 _NULL = -1 << 63
-ROUNDS = 2
+ROUNDS = 4
+#: Gain in nats a word under which a round is the last.
+SETTLED = 0.02
 #: Expected count that every piece has before the corpus is seen.
 PRIOR = 0.1
 
@@ -109,8 +111,8 @@ class Lattice:
             alpha[:, j] = top + np.log(np.exp(terms - top).sum(axis=0))
         return alpha
 
-    def expected(self, chars: np.ndarray, counts: np.ndarray, out: np.ndarray) -> None:
-        """Adds to out how often each piece is expected in words that occur counts times."""
+    def expected(self, chars: np.ndarray, counts: np.ndarray, out: np.ndarray) -> float:
+        """Adds to out how often each piece is expected in words that occur counts times; the words' log-probability, with their counts."""
         m, n = chars.shape
         edges = self.edges(chars)
         alpha = self.forward(chars, edges)
@@ -125,6 +127,7 @@ class Lattice:
             has = e >= 0
             post = np.exp(alpha[:, : n - k + 1] + lp[k] + beta[:, k:] - alpha[:, n:]) * counts[:, None]
             out += np.bincount(e[has], weights=post[has], minlength=len(out))
+        return float((alpha[:, n] * counts).sum())
 
     def groups(self, data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Rows of words of one length, and their characters after a start mark."""
@@ -181,26 +184,34 @@ def postings(docs: DataFrame, m: int, r: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "block long, word string, number int, n_train long, ids binary, docs binary, numbers binary, tf binary")
 
 
-def train(words: DataFrame, pieces: list[bytes], logp: np.ndarray, rounds: int) -> np.ndarray:
-    """Log-probabilities of the pieces after some rounds of expectation maximisation over the distinct words of words(word, c) with c > 0."""
-    seen = words.where("c > 0").select("word")
+def train(words: DataFrame, pieces: list[bytes], logp: np.ndarray, rounds: int, settled: float = SETTLED) -> np.ndarray:
+    """Log-probabilities of the pieces after expectation maximisation over words(word, c) with c > 0, each as often as it occurs: until a round gains less than `settled` nats a word, and for `rounds` rounds at most."""
+    seen, before = words.where("c > 0").select("word", "c"), None
     for _ in range(rounds):
 
         def run(batches, logp=logp):
-            lattice, total = Lattice(pieces, logp), np.zeros(len(pieces))
+            lattice, total, fit, n = Lattice(pieces, logp), np.zeros(len(pieces)), 0.0, 0
             for batch in batches:
                 data, at = C.text_buffers(batch.column(0))
+                c = batch.column(1).to_numpy().astype(float)
                 for rows, chars in lattice.groups(data, at):
-                    lattice.expected(chars, np.ones(len(rows)), total)
+                    fit += lattice.expected(chars, c[rows], total)
+                n += int(c.sum())
             some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["piece", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[some, -1, -2]), pa.array(np.r_[total[some], fit, n])], names=["piece", "n"])
 
-        sums = seen.mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
-        if not len(sums):
+        sums = seen.mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()  # a row for each piece
+        found = sums[sums["piece"] >= 0]
+        if not len(found):
             break
         n = np.full(len(pieces), PRIOR)
-        n[sums["piece"].to_numpy()] += sums["n"].to_numpy()
+        n[found["piece"].to_numpy()] += found["n"].to_numpy()
         logp = np.log(n / n.sum())
+        other = dict(zip(sums["piece"], sums["n"], strict=True))
+        fit = other[-1] / other[-2]
+        if before is not None and fit - before < settled:
+            break
+        before = fit
     return logp
 
 
