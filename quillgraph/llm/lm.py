@@ -41,7 +41,7 @@ BLOCK = 4 << 20
 #: Word rows that a task packs by block at once.
 PACK = 200_000
 _NULL = -1 << 63
-ROUNDS = 4
+ROUNDS = 2
 #: Gain in nats a word under which a round is the last.
 SETTLED = 0.02
 #: Expected count that every piece has before the corpus is seen.
