@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from .functions import stats
 from .functions.priority import priorities
 from .model import Graph
-from .operators import cc, construct, decompose, pull, scc, traverse
+from .operators import cc, construct, decompose, peel, pull, scc, traverse
 from .plans.loop import HOPS, cut, shared_dir
 from .sources import csr, logs
 from .sources import relational as R
@@ -128,6 +128,29 @@ def trim_all(spark, sf_dir):
     return construct.trim(R.copart(spark, sf_dir, 15, returned=True), iterate=True)[0]
 
 
+#: ids that a cycle leads to, and ids that lead to one: an edge is on a cycle if its end leads back to its start.
+BETWEEN = """y AS (SELECT DISTINCT e.src AS id FROM e JOIN c ON c.a = e.dst AND c.b = e.src),
+behind AS (SELECT DISTINCT c.b AS id FROM c JOIN y ON c.a = y.id), ahead AS (SELECT DISTINCT c.a AS id FROM c JOIN y ON c.b = y.id)"""
+
+
+@_query(f"WITH RECURSIVE {C12}, {CLOSURE}, {BETWEEN} SELECT id FROM v WHERE NOT (id IN (FROM behind) AND id IN (FROM ahead))")
+def trim_contracted(spark, sf_dir):
+    return peel.trim(_c12(spark, sf_dir))[0]
+
+
+@_query(f"WITH RECURSIVE {C8}, {CLOSURE}, {BETWEEN} SELECT id FROM v WHERE id IN (FROM behind) AND id IN (FROM ahead)")
+def core_contracted(spark, sf_dir):
+    """Few lines make long paths here, beside some cycles."""
+    return peel.trim(R.copart(spark, sf_dir, 8))[1].vertices
+
+
+@_query(f"WITH RECURSIVE {KNN2}, {CLOSURE}, {BETWEEN} SELECT e.src, e.dst FROM e WHERE e.src IN (FROM behind) AND e.src IN (FROM ahead) AND e.dst IN (FROM behind) AND e.dst IN (FROM ahead)")
+def core_edges(spark, sf_dir):
+    """Every vector has neighbours, but some are nobody's."""
+    return peel.trim(R.knn(spark, sf_dir, 2))[1].edges
+
+
+
 @_query("""WITH k AS (SELECT DISTINCT o_custkey AS c, l_suppkey AS s FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity < 2),
 x AS (SELECT DISTINCT 'c' AS kind, c AS num FROM k UNION SELECT DISTINCT 's', s FROM k) SELECT kind, num, row_number() OVER (ORDER BY kind, num) - 1 AS id FROM x""")
 def densify_ids(spark, sf_dir):

@@ -8,7 +8,7 @@ from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 
 from quillgraph.model import Graph
-from quillgraph.operators import cc, construct, decompose, pull, scc, traverse
+from quillgraph.operators import cc, construct, decompose, peel, pull, scc, traverse
 from quillgraph.plans import loop
 from quillgraph.sources import csr, csr_source, relational
 
@@ -173,3 +173,49 @@ def test_sampled_mode(spark):
 def test_degrees_stay_of_construct(spark):
     g = graph(spark, 4, [(0, 1), (1, 2), (2, 3)])
     assert rows(construct.trim(g, iterate=True)[0], "id") == [(0,), (1,), (2,), (3,)]
+
+
+def between_cycles(n, edges):
+    left = {(a, b) for a, b in edges if a != b}
+    keep = set(range(n))
+    while True:
+        ok = {v for v in keep if any(b == v for _, b in left) and any(a == v for a, _ in left)}
+        if ok == keep:
+            return keep, left
+        keep, left = ok, {(a, b) for a, b in left if a in ok and b in ok}
+
+
+@pytest.mark.parametrize("seed", [0, 3])
+def test_trimming_by_contraction(spark, seed):
+    """Sparse random graphs: paths, trees, cycles that paths join, cycles alone."""
+    r = random.Random(seed)
+    n = 60
+    edges = [(r.randrange(n), r.randrange(n)) for _ in range(45 + 12 * seed)] + [(5, 5), (7, 8), (7, 8)]
+    keep, left = between_cycles(n, edges)
+    gone, rest = peel.trim(graph(spark, n, edges))
+    assert {v for (v,) in rows(gone, "id")} == set(range(n)) - keep and gone.count() == n - len(keep)
+    assert {v for (v,) in rows(rest.vertices, "id")} == keep and set(rows(rest.edges, "src", "dst")) == left
+
+
+def test_trimming_a_path_takes_few_rounds(spark):
+    """A path of 3,000 vertices between two cycles stays, as long a path beside it goes: in a few rounds of a few jobs."""
+    n = 3000
+    path = lambda at: [(i, i + 1) for i in range(at, at + n - 1)]
+    edges = path(0) + [(1, 0), (n - 1, n - 2)] + path(n)
+    phases = loop.Phases()
+    gone, rest = peel.trim(graph(spark, 2 * n, edges), phases)
+    assert gone.agg(F.min("id"), F.max("id"), F.count("*")).first() == (n, 2 * n - 1, n)
+    assert rest.vertices.count() == n and rest.edges.count() == n + 1 and len(phases.rows) <= 6
+
+
+def test_trimming_odd_graphs(spark):
+    empty = peel.trim(graph(spark, 0, []))
+    assert empty[0].count() == empty[1].vertices.count() == empty[1].edges.count() == 0
+    odd = Graph.of(spark.createDataFrame([(0, 1), (1, 0), (1, 9), (9, 1), (None, 2), (2, None)], "src long, dst long"), spark.createDataFrame([(0,), (1,), (1,), (2,)], "id long"))
+    gone, rest = peel.trim(odd)
+    assert rows(gone, "id") == [(2,)] and rows(rest.edges, "src", "dst") == [(0, 1), (1, 0)]
+
+
+def test_path_roots(spark):
+    ups = spark.createDataFrame([(1, 0), (2, 1), (3, 2), (4, 3), (5, 4), (10, 11), (11, 10), (12, 11), (20, 99)], "id long, up long")
+    assert dict((r["id"], r["root"]) for r in peel.path_roots(ups).collect()) == {1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 10: None, 11: None, 12: None, 20: 99}
