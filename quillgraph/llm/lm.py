@@ -10,11 +10,12 @@ n1 / (n1 + 2 n2) for n1 words seen once and n2 seen twice. Pieces and arcs don't
 log-probability is the sum over its words and one end token, which has its own count.
 
 As Spark jobs: a pass over the texts gives, for each block of documents, one row for each distinct word in it (its number
-in the block and its count in training documents) and one row that holds which document has which word how often. The
-word rows meet by word, where counts over the whole corpus are summed, and each distinct word gets its lattice
-probability; both go back to the blocks, packed, where they are summed by document. So a frequent word is one row for
-each block, not one for each document, and no vocabulary is broadcast or gathered: only sums by piece come to the
-driver, bounded by the vocabulary file.
+in the block and its count in training documents) and one row that holds which document has which word how often. Counts
+are summed by word, in each task first, and each distinct word gets its lattice probability once. Both are joined back to
+the words of the blocks, packed by block, and summed by document. So a frequent word is one row for each block, not one
+for each document; its rows are added up before they meet, and Spark may split them in the join back, as no task needs all
+rows of a word. No vocabulary is gathered, and none is broadcast but by Spark's own bound on bytes: only sums by piece
+come to the driver, bounded by the vocabulary file.
 
 Defined cases: null text is empty; an empty text is its end token. A null doc_id counts as not held out. Rows that
 repeat a doc_id are scored and counted each. An empty table gives an empty result; without training documents, N and V
@@ -32,7 +33,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from . import common as C
 
@@ -218,10 +218,8 @@ def train(words: DataFrame, pieces: list[bytes], logp: np.ndarray, rounds: int,
 def score(docs: DataFrame, path: str | None = None, m: int = 7, r: int = 2, rounds: int = ROUNDS, arcs: bool = True) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs(doc_id, text). Without arcs, words have the lattice of pieces alone."""
     post = C.cut(postings(docs, m, r), "lm-postings")
-    by_word = W.partitionBy("word")
-    met = post.where("word is not null").select("word", "block", "number", F.sum("n_train").over(by_word).alias("c"), (F.col("block") == F.min("block").over(by_word)).alias("first"))
-    met = C.cut(met, "lm-words")
-    words = met.where("first").select("word", "c")
+    held = post.where("word is not null")
+    words = C.cut(held.groupBy("word").agg(F.sum("n_train").alias("c")), "lm-words")
     count = lambda when, name: F.count(F.when(F.expr(when), 1)).alias(name)
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), count("c > 0", "v"), count("c = 1", "n1"), count("c = 2", "n2")).first()
     ends = post.where("word is null").agg(F.coalesce(F.sum("n_train"), F.lit(0))).first()[0]  # of the end token, a word of its own
@@ -231,8 +229,23 @@ def score(docs: DataFrame, path: str | None = None, m: int = 7, r: int = 2, roun
     logp = train(words, pieces, logp, rounds)
 
     def rate(batches):
-        """Rows sorted by word; gives packed (number, c, log10 probability) by block."""
+        """Each word's count and log10 probability."""
         lattice = Lattice(pieces, logp)
+        for batch in batches:
+            data, at = C.text_buffers(batch.column(0))
+            c = batch.column(1).to_numpy()
+            lp = np.zeros(batch.num_rows)
+            for some, text in lattice.groups(data, at):
+                lp[some] = lattice.forward(text, lattice.edges(text))[:, -1]
+            if n and not arcs:
+                lp += math.log1p(-ends / n)
+            elif n:
+                with np.errstate(divide="ignore"):
+                    lp = np.logaddexp(np.log(np.maximum(c - discount, 0) / n), math.log(discount * v / n) + lp)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((lp / math.log(10)).astype(np.float32))], names=["rated", "c", "lp"])
+
+    def pack(batches):
+        """Rows (block, number, c, lp) of many blocks as a row for each block among PACK of them."""
         waiting: list[tuple[np.ndarray, ...]] = []
         rows = 0
 
@@ -244,33 +257,22 @@ def score(docs: DataFrame, path: str | None = None, m: int = 7, r: int = 2, roun
             end = np.r_[begin[1:], len(block)]
             waiting.clear()
             col = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(begin, end, strict=True)], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(block[begin]), col(number.astype(np.uint32)), col(c.astype(np.int64)), col(lp.astype(np.float32))], names=["block", "ids", "numbers", "tf"])
+            return pa.RecordBatch.from_arrays([pa.array(block[begin]), col(number.astype(np.uint32)), col(c.astype(np.int64)), col(lp)], names=["block", "ids", "numbers", "tf"])
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            data, at = C.text_buffers(batch.column(0))
-            c = batch.column(3).to_numpy()
-            h = C.span_hash(C.prefix_hash(data[at[0] : at[-1]]), at[:-1] - at[0], at[1:] - at[0])
-            one = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])  # the words, each once
-            chars, chars_at = C.gather(data, at[one], at[one + 1])
-            lp = np.zeros(len(one))
-            for some, text in lattice.groups(chars, chars_at):
-                lp[some] = lattice.forward(text, lattice.edges(text))[:, -1]
-            if n and not arcs:
-                lp += math.log1p(-ends / n)
-            elif n:
-                with np.errstate(divide="ignore"):
-                    lp = np.logaddexp(np.log(np.maximum(c[one] - discount, 0) / n), math.log(discount * v / n) + lp)
-            waiting.append((batch.column(1).to_numpy(), batch.column(2).to_numpy(), c, np.repeat(lp / math.log(10), np.diff(np.r_[one, len(c)]))))
-            rows += batch.num_rows
-            if rows >= PACK:
-                yield packed()
-                rows = 0
+            if batch.num_rows:
+                waiting.append(tuple(batch.column(k).to_numpy() for k in range(4)))
+                rows += batch.num_rows
+                if rows >= PACK:
+                    yield packed()
+                    rows = 0
         if waiting:
             yield packed()
 
-    rated = met.select("word", "block", "number", "c").mapInArrow(rate, "block long, ids binary, numbers binary, tf binary").select("block", "ids", F.lit(None).cast("binary").alias("docs"), "numbers", "tf")
+    known = C.cut(words.mapInArrow(rate, "rated string, c long, lp float"), "lm-rated")
+    C.drop_cut(words)
+    met = held.join(known, F.col("word") == F.col("rated")).select("block", "number", "c", "lp")
+    rated = met.mapInArrow(pack, "block long, ids binary, numbers binary, tf binary").select("block", "ids", F.lit(None).cast("binary").alias("docs"), "numbers", "tf")
     heads = post.where("word is null").select("block", "ids", "docs", "numbers", "tf")
     denominator = n + v + 1
     # the end token is none of the lattice's words, so it has its count, or a tenth as long as nothing was learnt
