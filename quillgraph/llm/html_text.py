@@ -12,8 +12,11 @@ descriptions and annotations. A closed `details` counts as open, since it is the
 over the rows, without a shuffle.
 
 A page takes time in proportion to its length: open elements are found by name, tags by index, and no text is scanned
-twice for an end that isn't there. For that, indents stop growing at DEEPEST levels, tables nested deeper than TABLES are
-set as plain blocks, and cells keep their places below spanning rows in the first SPANNED columns; no text is lost.
+twice for an end that isn't there. Lists and tables of any depth, cells of any width and spans as far as HTML lets them go
+(1,000 columns, 65,534 rows) are laid out. But spaces that align can be as many as the square of a page, so a page has
+room for `growth` times its length (and ROOM characters) of indents and laid-out tables. A table that doesn't fit stops
+aligning its widest columns, at half the width as often as it takes; one that doesn't fit without any padding has its
+cells set as blocks. What is within the room is laid out in whole, however deep or wide, and no text is lost past it.
 
 Defined cases: null or empty html gives ''. Markup that doesn't parse counts as text or is closed at the end. Rows that
 repeat a page_id are rendered one by one. An empty table gives an empty result. Extra columns are ignored.
@@ -52,18 +55,29 @@ _IMPLIED = {
     "a": ({"a"}, {"table", "td", "th"}), "select": ({"select"}, set()), "body": ({"head"}, set()),
 }
 _SCOPE = frozenset("table td th caption html template".split())
-#: Widest column that is padded; a longer cell shifts its row instead of widening the table.
-WIDEST = 60
-#: Levels of indents, of tables within tables, and columns in which cells of spanning rows are followed.
-DEEPEST, TABLES, SPANNED = 32, 8, 40
+#: Characters that indents and laid-out tables may take: so many for each of the page's, and so many besides.
+GROWTH, ROOM = 8, 1 << 16
+
+
+class _Room:
+    """What is left of a page's room."""
+
+    def __init__(self, left: int) -> None:
+        self.left = left
+
+    def take(self, n: int) -> bool:
+        if n > self.left:
+            return False
+        self.left -= n
+        return True
 
 
 class _Page:
     """Text with pending line breaks and collapsed white space."""
 
-    def __init__(self) -> None:
-        self.out: list[str] = []
-        self.breaks, self.gap, self.indent, self.mark = 0, False, 0, ""
+    def __init__(self, room: _Room) -> None:
+        self.out: list = []  # text, and lists of what other pages gave
+        self.breaks, self.gap, self.indent, self.mark, self.room, self.size = 0, False, 0, "", room, 0
 
     def block(self, n: int) -> None:
         self.breaks, self.gap = max(self.breaks, n), False
@@ -82,54 +96,106 @@ class _Page:
             if not t:
                 return
         if self.breaks or not self.out:
-            if self.out:
-                self.out.append("\n" * self.breaks)
-            deep = min(self.indent, DEEPEST)
-            self.out.append("  " * (deep - 1) + self.mark if self.mark else "  " * deep)
-            self.breaks, self.mark = 0, ""
+            self.begin()
         elif self.gap:
-            self.out.append(" ")
-        self.out.append(t.replace("\n", "\n" + "  " * min(self.indent, DEEPEST)) if pre and self.indent else t)
+            self.add(" ")
+        more = t.count("\n") if pre and self.indent else 0
+        self.add(t.replace("\n", "\n" + "  " * self.indent) if more and self.room.take(2 * self.indent * more) else t)
         self.gap = trail
 
+    def add(self, s: str) -> None:
+        self.out.append(s)
+        self.size += len(s)
+
+    def begin(self) -> None:
+        """Pending line breaks, indent and mark."""
+        if self.out:
+            self.add("\n" * self.breaks)
+        deep = self.indent - bool(self.mark)
+        self.add(("  " * deep if self.room.take(2 * deep) else "") + self.mark)
+        self.breaks, self.mark = 0, ""
+
+    def take(self, other: _Page) -> None:
+        """All of another page's text as lines of their own, without copying it."""
+        if other.out:
+            self.block(1)
+            self.begin()
+            self.out.append(other.out)
+            self.size += other.size
+            self.block(1)
+
     def get(self) -> str:
-        return "".join(self.out)
+        flat, open_ = [], [iter(self.out)]
+        while open_:
+            for x in open_[-1]:
+                if isinstance(x, list):
+                    open_.append(iter(x))
+                    break
+                flat.append(x)
+            else:
+                open_.pop()
+        return "".join(flat)
 
 
-def _table(rows: list[list[tuple[str, int, int]]]) -> str:
-    """Rows of (text, columns spanned, rows spanned), aligned."""
+def _table(rows: list[list[tuple[_Page, int, int]]], room: _Room) -> str | None:
+    """Rows of (content, columns spanned, rows spanned), aligned; None if there is no room for that."""
+    plain = sum(page.size + 3 for row in rows for page, _, _ in row)
+    if not room.take(plain):
+        return None
+    left = room.left  # for places that spans take and for padding
     taken: dict[int, int] = {}  # the row up to which a column is taken by a cell above
     placed = []
     for r, row in enumerate(rows):
         column, own = 0, []
-        for text, wide, high in row:
+        for page, wide, high in row:
             while taken.get(column, 0) > r:
                 own.append((column, column + 1, [""]))
                 column += 1
-            own.append((column, column + wide, text.split("\n")))
+                left -= 3
+                if left < 0:
+                    return None
+            left -= wide if high > 1 else 0
+            if left < 0:
+                return None
+            own.append((column, column + wide, page.get().split("\n")))
             if high > 1:
-                for k in range(column, min(column + wide, SPANNED)):
+                for k in range(column, column + wide):
                     taken[k] = r + high
             column += wide
         placed.append(own)
     starts = sorted({c[0] for row in placed for c in row})
-    width = [0] * len(starts)
     cells = [[(bisect.bisect_left(starts, a), bisect.bisect_left(starts, b), lines, max(map(len, lines))) for a, b, lines in row] for row in placed]
+    most = max((long for row in cells for _, _, _, long in row), default=0)
+    while True:
+        before = _columns(cells, len(starts), most)
+        # what comes before the last cell of a line is padded to that cell's column, or to its own length if it is longer
+        padded = sum(max((len(c[2]) for c in row), default=0) * (before[row[-1][0]] + sum(max(0, c[3] + 3 - before[c[1]] + before[c[0]]) for c in row[:-1])) for row in cells if row)
+        if padded <= left:
+            break
+        if not most:
+            return None
+        most //= 2
+    room.left = left - padded
+    out = []
+    for row in cells:
+        for i in range(max((len(c[2]) for c in row), default=0)):
+            out.append(" | ".join((lines[i] if i < len(lines) else "").ljust(before[b] - before[a] - 3) for a, b, lines, _ in row).rstrip())
+    return "\n".join(out)
+
+
+def _columns(cells: list[list[tuple[int, int, list[str], int]]], n: int, most: int) -> list[int]:
+    """Where each of n columns begins, when cells longer than most don't widen theirs."""
+    width = [0] * n
     for row in cells:
         for a, b, _, long in row:
-            if b == a + 1 and long <= WIDEST:
+            if b == a + 1 and long <= most:
                 width[a] = max(width[a], long)
     before = [0, *accumulate(w + 3 for w in width)]
     for row in cells:  # a spanning cell that needs more widens its last column
         for a, b, _, long in row:
-            if b > a + 1 and long <= WIDEST:
+            if b > a + 1 and long <= most:
                 width[b - 1] = max(width[b - 1], width[b - 1] + long + 3 - (before[b] - before[a]))
-    before = [0, *accumulate(w + 3 for w in width)]
-    out = []
-    for row in cells:
-        for i in range(max((len(c[2]) for c in row), default=0)):
-            out.append(" | ".join((lines[i] if i < len(lines) else "").ljust(before[b] - before[a] - 3) for a, b, lines, _ in row).rstrip())
-    return "\n".join(out)
+    return [0, *accumulate(w + 3 for w in width)]
 
 
 def _span(value: str | None, most: int) -> int:
@@ -142,14 +208,15 @@ def _laid_out(stack: list[tuple], where: dict[str, list[int]]) -> bool:
     return bool(at) and bool(stack[at[-1]][4])
 
 
-def render(page: str | None) -> str:
+def render(page: str | None, growth: int = GROWTH) -> str:
     """The visible text of a page."""
     if not page:
         return ""
+    room = _Room(growth * len(page) + ROOM)
     # open elements: name, whether it hides what is in it, whether it was laid out, whether text around it is visible, what it needs when it closes
     stack: list[tuple] = []
     where: dict[str, list[int]] = {}  # places in the stack by name
-    outs, tables, lists, choices = [_Page()], [], [], []
+    outs, tables, lists, choices = [_Page(room)], [], [], []
     hidden = pre = 0
     visible = True
 
@@ -163,7 +230,7 @@ def render(page: str | None) -> str:
             return
         if name in ("td", "th"):
             if more:
-                tables[-1][-1].append((outs.pop().get(), *more))
+                tables[-1][-1].append((outs.pop(), *more))
             else:
                 outs[-1].block(1)
         elif name == "table":
@@ -171,7 +238,11 @@ def render(page: str | None) -> str:
                 rows = [r for r in tables.pop() if r]
                 if rows:
                     outs[-1].block(2)
-                    outs[-1].text(_table(rows), True)
+                    if (text := _table(rows, room)) is not None:
+                        outs[-1].text(text, True)
+                    else:
+                        for cell in (c[0] for row in rows for c in row):
+                            outs[-1].take(cell)
         elif name in ("ul", "ol", "menu"):
             lists.pop()
             outs[-1].indent = max(0, outs[-1].indent - 1)
@@ -331,9 +402,8 @@ def render(page: str | None) -> str:
             elif name == "pre":
                 pre += 1
             elif name == "table":
-                more = len(tables) < TABLES
-                if more:
-                    tables.append([])
+                more = True
+                tables.append([])
             elif name == "tr" and tables and _laid_out(stack, where):
                 tables[-1].append([])
             elif name in ("td", "th"):
@@ -341,7 +411,7 @@ def render(page: str | None) -> str:
                     if not tables[-1]:
                         tables[-1].append([])
                     more = (_span(attrs.get("colspan"), 1000), _span(attrs.get("rowspan"), 65534))
-                    outs.append(_Page())
+                    outs.append(_Page(room))
                 else:
                     out.block(1)
             elif name == "q":
@@ -349,10 +419,10 @@ def render(page: str | None) -> str:
             elif name == "select":
                 more = "multiple" in attrs
                 choices.append([])
-                outs.append(_Page())
+                outs.append(_Page(room))
             elif name == "option" and choices:
                 more = "selected" in attrs
-                outs.append(_Page())
+                outs.append(_Page(room))
             elif name == "option":
                 out.block(1)
         where.setdefault(name, []).append(len(stack))
@@ -362,14 +432,14 @@ def render(page: str | None) -> str:
     return outs[0].get().strip("\n")
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id and the visible text of every row of pages(page_id, html)."""
+def extract(pages: DataFrame, growth: int = GROWTH) -> DataFrame:
+    """page_id and the visible text of every row of pages(page_id, html); growth bounds what layout adds to a page."""
 
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                text = [render(x) for x in part.column("html").to_pylist()]
+                text = [render(x, growth) for x in part.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), pa.array(text, pa.string())], names=["page_id", "text"])
 
     return pages.selectExpr("cast(page_id as long) page_id", "html").mapInArrow(run, "page_id long, text string")

@@ -600,6 +600,56 @@ def test_html_takes_time_in_proportion(piece):
     assert took[1] < 10 * took[0] + 0.5
 
 
+def test_html_tables_are_aligned():
+    """Random tables with spans: what begins in a column of the grid begins at one place of its line, whatever its width."""
+    r = random.Random(10)
+    for _ in range(150):
+        page, grid, where, n, lines_of = "", set(), {}, 0, []
+        rows, columns = r.randint(1, 6), r.randint(1, 6)
+        for y in range(rows):
+            page, high = page + "<tr>", 1
+            for x in range(columns):
+                if (x, y) in grid:
+                    continue
+                wide = 1 + (x + 1 < columns and (x + 1, y) not in grid and r.random() < 0.2)
+                tall = r.choice((1, 1, 1, 2, 3))
+                cell = [f"w{n + k:05d}" + "x" * r.choice((0, 3, 9, 120)) for k in range(r.randint(1, 3))]
+                n += len(cell)
+                grid |= {(x + i, y + j) for i in range(wide) for j in range(tall)}
+                where |= {w: (x, y, k) for k, w in enumerate(cell)}
+                high = max(high, len(cell))
+                page += f"<td colspan={wide} rowspan={tall}>" + "<br>".join(cell)
+            lines_of += [(y, k) for k in range(high)]
+        page = re.sub(r"<tr>(?=<tr>|$)", "<tr><td>", page)  # a row without cells of its own would be none
+        got = html_text.render(f"<table>{page}</table>").split("\n")
+        at = {w: (i, m.start()) for i, text in enumerate(got) for m in re.finditer(r"w\d+x*", text) for w in [m.group()]}
+        assert at.keys() == where.keys()
+        place = {}
+        for w, (x, y, k) in where.items():
+            i, offset = at[w]
+            assert place.setdefault(x, offset) == offset, (page, got)
+            assert offset == 0 or got[i][offset - 3 : offset] == " | "
+        assert sorted(place.values()) == [place[x] for x in sorted(place)]
+
+
+def test_html_layout_has_room():
+    """Depth and width are laid out whole; past a page's room words stay, in order."""
+    deep = html_text.render("".join(f"<ul><li>v{i}" for i in range(90))).split("\n")
+    assert deep == [f"{'  ' * i}- v{i}" for i in range(90)]
+    nested = html_text.render("<table><tr><td>a<td>b<tr><td>" * 20 + "c")
+    assert nested.count("a | b") >= 1 and len(re.findall("a +\\| b", nested)) == 20
+    tall = "<table>" + "".join(f"<tr><td rowspan=3>h{i}" + "".join(f"<td>c{i}x{j}" for j in range(60)) + f"<tr><td>d{i}<tr><td>e{i}" for i in range(4)) + "</table>"
+    lines = html_text.render(tall).split("\n")
+    assert all(lines[3 * i + 1].index(f"d{i}") == lines[3 * i].index(f"c{i}x0") for i in range(4))
+    wide = "<table>" + "".join(f"<tr><td>{'y' * (5000 if i == 7 else 4 + i % 5)}<td>z{i}" for i in range(2000)) + "</table>"
+    lines = html_text.render(wide).split("\n")
+    assert {x.index("z") for i, x in enumerate(lines) if i != 7} == {11} and re.findall(r"z\d+", " ".join(lines)) == [f"z{i}" for i in range(2000)]
+    for page in ("<table><tr><td>q<td>" * 9000, "<ul><li>q" * 9000, "<table>" + "<tr><td colspan=900 rowspan=900>q" * 9000, "<table>" + "<tr><td rowspan=60000>q" * 9000):
+        words_ = [f"w{i}" for i in range(page.count("q"))]
+        it = iter(words_)
+        assert re.findall(r"w\d+", html_text.render(re.sub("q", lambda m: next(it), page))) == words_
+
+
 def test_html_table(spark):
     got = html_text.extract(spark.createDataFrame([(1, "<p>x", "u"), (1, "<p>x", "u"), (None, None, None)], "page_id long, html string, url string"))
     assert sorted((str(r["page_id"]), r["text"]) for r in got.collect()) == [("1", "x"), ("1", "x"), ("None", "")]
