@@ -12,8 +12,10 @@ and nothing is dropped or capped.
 
 Defined cases: null text has size 0; a null source is a source of its own and comes last. Documents of size 0 take
 part in balancing the document count and never take words. An empty table, or one without words, gives no words to
-any source. Rows that repeat a doc_id are units of their own (they share chunk and decision order by size), and so are
-rows without one; repeat() takes each row by a number of its own, and keeps as many rows of size 0 as are decided.
+any source. Rows that repeat a doc_id are units of their own, and so are rows without one. Up to a quarter of a chunk they
+share a chunk and are decided by size; ids (or, without ids, texts) of more rows are dealt over chunks by the rows'
+places in the table, so that no task gets all of them; which of them are taken then depends on how the table is split.
+repeat() takes each row by a number of its own, and keeps as many rows of size 0 as are decided.
 """
 
 from __future__ import annotations
@@ -103,7 +105,7 @@ def _fly(last: bool):
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, chunk: int = CHUNK) -> DataFrame:
     """doc_id, size, source, source_size, target, taken for every document."""
-    plan = _plan(docs, F.lit(0).cast("long"), weights, share, most, chunk)
+    plan = _plan(docs, F.monotonically_increasing_id(), weights, share, most, chunk)
     return plan.select("doc_id", "size", "source", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
@@ -115,11 +117,9 @@ def _plan(docs: DataFrame, row: Column, weights: tuple[float, ...] = WEIGHTS, sh
     goal = cut(targets(per.select("source", "source_size"), weights, share, most).join(per.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "mix-targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(ratio + 1e-12)
-    # every source has its own number of chunks; a document's chunk depends on its id alone, or on its text if it has none
     n_chunks = F.greatest(F.lit(1), F.ceil(F.col("n") / chunk))
     to = F.broadcast(goal.withColumnRenamed("source", "s")) if _few(goal) else goal.withColumnRenamed("source", "s")
-    units = sized.join(to, F.col("source").eqNullSafe(F.col("s"))).select("row", "doc_id", "source", "size", "source_size", "target", whole.alias("whole"), F.greatest(F.lit(0.0), ratio - whole).alias("p"), F.pmod(F.xxhash64("spread"), n_chunks).alias("chunk"), n_chunks.alias("chunks"))
-    schema = units.schema.simpleString()[len("struct<") : -1]
+    units = _dealt(sized, chunk).join(to, F.col("source").eqNullSafe(F.col("s"))).select("row", "doc_id", "source", "size", "source_size", "target", whole.alias("whole"), F.greatest(F.lit(0.0), ratio - whole).alias("p"), F.pmod("spread", n_chunks).alias("chunk"), n_chunks.alias("chunks"))
     done, most_chunks, last = [], goal.agg(F.max(F.greatest(F.lit(1), F.ceil(F.col("n") / chunk)))).first()[0] or 1, False
     while True:
         last = most_chunks <= 1
@@ -139,6 +139,13 @@ def _plan(docs: DataFrame, row: Column, weights: tuple[float, ...] = WEIGHTS, sh
     return out.select("row", "doc_id", "size", "source", "source_size", "target", (F.col("whole") + F.round("p")).cast("int").alias("copies"))
 
 
+def _dealt(sized: DataFrame, chunk: int) -> DataFrame:
+    """sized with the hash that deals its rows over the chunks of their source: that of the id alone, or of the id and the row's number if over a quarter of a chunk shares the id."""
+    many = cut(sized.groupBy(F.col("spread").alias("shared")).count().where(F.col("count") > max(1, chunk // 4)).select("shared"), "mix-shared")
+    rows = sized.join(F.broadcast(many) if _few(many) else many, F.col("spread") == F.col("shared"), "left")
+    return rows.withColumn("spread", F.when(F.col("shared").isNull(), F.xxhash64("spread")).otherwise(F.xxhash64("spread", "row"))).drop("shared")
+
+
 def _few(goal: DataFrame, most: int = 100_000) -> bool:
     """Whether the table of sources is small enough to broadcast: its rows are counted first."""
     return goal.limit(most + 1).count() <= most

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -507,6 +508,52 @@ def test_mixing(docs, chunk):
     assert sorted((r["doc_id"], r["taken"]) for r in got) == sorted((r["doc_id"], r["taken"]) for r in again)
 
 
+def test_mixing_by_row(docs):
+    """Every row's decision, recomputed in exact fractions: sources of one chunk, units by id, three at a time."""
+    from fractions import Fraction
+
+    got = mixing.mix(docs).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r["source"]].append(r)
+    for own in by.values():
+        own.sort(key=lambda r: (r["doc_id"], r["size"]))
+        ratio = own[0]["target"] / own[0]["source_size"] if own[0]["source_size"] else 0.0
+        whole = math.floor(ratio + 1e-12)
+        p = [Fraction(max(0.0, ratio - whole))] * len(own)
+        size = [r["size"] for r in own]
+        while len(live := [i for i, x in enumerate(p) if 0 < x < 1][:3]) == 3:
+            i, j, k = live
+            u = dict(zip(live, (size[j] - size[k], size[k] - size[i], size[i] - size[j]), strict=True))
+            if not any(u.values()):
+                u = {i: 1, j: -1}
+            step = min((1 - p[m]) / x if x > 0 else p[m] / -x for m, x in u.items() if x)
+            for m, x in u.items():
+                p[m] += step * x
+        rest = [i for i, x in enumerate(p) if 0 < x < 1]
+        goal = sum(p[i] * size[i] for i in rest)
+        near = {c: abs(goal - sum(size[i] for i, y in zip(rest, c, strict=True) if y)) for c in itertools.product((0, 1), repeat=len(rest))}
+        best = [c for c, d in near.items() if d - min(near.values()) < 1e-6]
+        fixed = [(whole + int(p[i])) * size[i] for i in range(len(own)) if i not in rest]
+        assert [r["taken"] for i, r in enumerate(own) if i not in rest] == fixed
+        assert tuple(own[i]["taken"] for i in rest) in [tuple((whole + y) * size[i] for i, y in zip(rest, c, strict=True)) for c in best]
+
+
+def test_mixing_shared_ids(spark):
+    """An id of a third of all rows, a text of another third without ids: chunks stay small and totals near the target."""
+    rows = [(7 if k % 3 == 0 else None if k % 3 == 1 else k, "same text here" if k % 3 == 1 else " ".join(["w"] * (1 + k % 5)), "s") for k in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    from quillgraph.llm.common import cut
+
+    sized = cut(df.select("doc_id", "source", F.length("text").alias("size"), F.monotonically_increasing_id().alias("row"), F.coalesce("doc_id", F.xxhash64("text")).alias("spread")))
+    largest = mixing._dealt(sized, 64).groupBy(F.pmod("spread", F.lit(-(-6000 // 64)))).count().agg({"count": "max"}).first()[0]
+    assert largest < 128
+    got = mixing.mix(df, chunk=64).collect()
+    assert len(got) == 6000 and abs(sum(r["taken"] for r in got) - got[0]["target"]) <= 5
+    assert collections.Counter((r["doc_id"], r["size"]) for r in got) == collections.Counter((i, len(words(t))) for i, t, _ in rows)
+    assert abs(mixing.repeat(df, chunk=64).select(F.size(F.split("text", " "))).agg({"size(split(text,  , -1))": "sum"}).first()[0] - got[0]["target"]) <= 5
+
+
 def test_mixing_cases(spark, none, docs):
     assert mixing.mix(none).count() == 0
     assert mixing.mix(spark.createDataFrame([(1, None, "en", None, 0), (2, " ", "en", "a", 0)], DOCS)).agg({"taken": "sum"}).first()[0] == 0
