@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a numpy pass works on at once; a longer document makes a block of its own.
 BLOCK_BYTES = 1 << 20
+#: The same for passes that make many numbers of each byte, so that a Python worker stays small.
+NARROW_BYTES = 1 << 18
+#: Bytes of a batch that goes to Python at once; Spark's own bound is 10,000 rows, of texts of any length.
+BATCH_BYTES = 4 << 20
 #: White space of the word pattern [^\x20\x09-\x0D]+.
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -38,6 +42,14 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of batches that go to Python, unless the session has a tighter bound."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if have <= 0 or have > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends there, and a lost executor loses nothing of it."""
     path = f"{shared_dir(df.sparkSession)}/quillgraph/{name}-{uuid.uuid4().hex}"
@@ -211,12 +223,14 @@ def _power_row(base: int, m: int) -> np.ndarray:
 
 
 def powers(n: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
-    """Two rows of powers of bases taken from base, and two of their inverses, for exponents i < n at least."""
+    """Two rows of powers of bases taken from base, and two of their inverses, for exponents i < n at least. They are kept for blocks of usual length only."""
     have = _POWERS.get(base)
     if have is None or have[0].shape[1] < n:
-        m, p = max(n, BLOCK_BYTES + 1), int(PRIME)
+        m, p = next((k + 1 for k in (NARROW_BYTES, BLOCK_BYTES, 4 * BLOCK_BYTES) if n <= k + 1), n), int(PRIME)
         pair = [(base >> 32) % p, base % (1 << 32) % p]
-        have = _POWERS[base] = (np.stack([_power_row(b, m) for b in pair]), np.stack([_power_row(pow(b, -1, p), m) for b in pair]))
+        have = tuple(np.stack([_power_row(b, m).astype(np.uint32) for b in bases]) for bases in (pair, [pow(b, -1, p) for b in pair]))
+        if m <= 4 * BLOCK_BYTES + 1:
+            _POWERS[base] = have
     return have
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, dedup_rows
+from .common import LOWER, blocks, dedup_rows, small_batches
 
 #: Bytes of text that a task's tries hold before they are emitted.
 TRIE_BYTES = 16 << 20
@@ -114,6 +114,7 @@ def _hash(text: bytes) -> int:
 def owners(docs: DataFrame, keep: str = "largest", trie_bytes: int = TRIE_BYTES) -> DataFrame:
     """sha, keep_id, group_size: one row for each distinct normalised text."""
     better = _better(keep)
+    small_batches(docs.sparkSession)
 
     def combine(batches):
         tries = Owners(better)

@@ -88,7 +88,7 @@ def sign(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _affine(bands * rows)
-        for part, data, at in C.blocks(batches):
+        for part, data, at in C.blocks(batches, limit=C.NARROW_BYTES):
             h, bounds = shingle_hashes(C.LOWER[data], at, n)
             k = part.num_rows
             size, s1, s2 = np.zeros(k, np.int64), np.zeros(k, np.int64), np.zeros(k, np.int64)
@@ -110,6 +110,7 @@ def sign(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             low = np.packbits(low, axis=1).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), pa.array(s1), pa.array(s2), pa.array(low[:, 0]), pa.array(low[:, 1]), sig, band], names=["doc_id", "n_shingles", "s1", "s2", "b1", "b2", "sig", "band"])
 
+    C.small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, b1 long, b2 long, sig binary, band array<long>")
 
 
@@ -204,7 +205,7 @@ def _class(n, percent: int):
 
 def _sets(n: int):
     def run(batches):
-        for part, data, at in C.blocks(batches):
+        for part, data, at in C.blocks(batches, limit=C.NARROW_BYTES):
             h, bounds = shingle_hashes(C.LOWER[data], at, n)
             sets = [np.unique(h[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], names=["s_id", "set"])

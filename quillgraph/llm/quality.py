@@ -174,11 +174,12 @@ def document_quality(e: np.ndarray, size: np.ndarray, bounds: np.ndarray, t: np.
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, m: int = 3, r: int = 1, lines: int = LINES, longest: int = LONGEST):
     """The field fitted on `sample` labelled documents of `longest` lines each and `lines` lines in all at most, of those whose crc32 of the id isn't r modulo m; None without any."""
+    C.small_batches(docs.sparkSession)
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("quality").alias("y")).where(C.crc_mod("id", m) != r)
     chosen = C.cut(C.bounded_sample(known, "id", sample), "quality-sample")
 
     def run(batches):
-        for part, data, at in C.blocks(batches):
+        for part, data, at in C.blocks(batches, limit=C.NARROW_BYTES):
             x, size, bounds = line_features(data, at)
             rows = [x[a:b].astype(np.float32).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             sizes = [size[a:b].astype(np.float32).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
@@ -206,7 +207,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, m: int = 3,
     model = train(docs, labels, sample, m, r)
 
     def run(batches):
-        for part, data, at in C.blocks(batches):
+        for part, data, at in C.blocks(batches, limit=C.NARROW_BYTES):
             ids = part.column("doc_id").to_pylist()
             if model is None:
                 p = np.full(len(ids), 0.5)
@@ -227,7 +228,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, **options)
     text = "text"
 
     def run(batches):
-        for part, data, at in C.blocks(batches, text):
+        for part, data, at in C.blocks(batches, text, C.NARROW_BYTES):
             if model is None:
                 yield part
                 continue
