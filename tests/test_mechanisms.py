@@ -2,7 +2,9 @@
 
 import math
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
@@ -219,3 +221,47 @@ def test_trimming_odd_graphs(spark):
 def test_path_roots(spark):
     ups = spark.createDataFrame([(1, 0), (2, 1), (3, 2), (4, 3), (5, 4), (10, 11), (11, 10), (12, 11), (20, 99)], "id long, up long")
     assert dict((r["id"], r["root"]) for r in peel.path_roots(ups).collect()) == {1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 10: None, 11: None, 12: None, 20: 99}
+
+
+def _brute(x, ids, k):
+    """The k nearest of each row in whole numbers of any size."""
+    rows = [[int(v) for v in r] for r in x]
+    out = set()
+    for a, s in zip(rows, ids, strict=True):
+        near = sorted((sum((u - v) ** 2 for u, v in zip(a, b, strict=True)), int(t)) for b, t in zip(rows, ids, strict=True) if t != s)[:k]
+        out |= {(int(s), t, d) for d, t in near}
+    return out
+
+
+@pytest.mark.parametrize("scale", [3, 1000, 10**8])
+def test_nearest_is_exact(scale):
+    """Many ties, the values of embeddings, and values whose squares are past the doubles that are whole."""
+    r = np.random.default_rng(scale)
+    x, ids = r.integers(-scale, scale, (90, 5)), r.permutation(90).astype(np.int64) * 7
+    a, b = slice(0, 50), slice(50, 90)
+    parts = [relational._nearest(x[p], ids[p], x[q], ids[q], 3, tile=16) for p in (a, b) for q in (a, b)]
+    best = {}
+    for s, t, d in zip(*(np.concatenate([p[c] for p in parts]).tolist() for c in range(3)), strict=True):
+        best.setdefault(s, []).append((d, t))
+    assert {(s, t, d) for s, of in best.items() for d, t in sorted(of)[:3]} == _brute(x, ids, 3)
+
+
+def test_nearest_holds_a_tile_of_distances_only():
+    """Two blocks of 8,192 in 256 MB: all their distances at once are 512 MB, and were sorted besides."""
+    x, ids = np.random.default_rng(1).integers(-1000, 1000, (8192, 8)), np.arange(8192)
+    tracemalloc.start()
+    src, dst, _ = relational._nearest(x, ids, x, ids, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(src) == 2 * 8192 and (src != dst).all() and peak < 256 << 20
+
+
+@pytest.mark.parametrize("block", [100, 8192])
+def test_knn_of_blocks(spark, tmp_path, block):
+    """700 vectors in seven blocks, or in two; each is sent as often as there are blocks, and once more."""
+    r = np.random.default_rng(5)
+    x, ids = np.round(r.uniform(-1, 1, (700, 4)), 1), r.permutation(2000)[:700].tolist()
+    rows = [(i, [float(v) for v in e]) for i, e in zip(ids, x, strict=True)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(e.src, e.dst) for e in relational.knn(spark, str(tmp_path), 2, block).edges.collect()}
+    assert got == {(s, t) for s, t, _ in _brute(np.round(x * 1000).astype(int), np.array(ids), 2)}
