@@ -92,7 +92,7 @@ def trim(g: Graph, phases: Phases | None = None) -> tuple[DataFrame, Graph]:
     def left(among: DataFrame, gone: DataFrame) -> DataFrame:
         return among.join(gone.select(F.col("id").alias("gone")), F.col("id") == F.col("gone"), "left_anti")
 
-    inner = subgraph(Graph(ids, edges), ids).edges
+    inner = cut(subgraph(Graph(ids, edges), ids).edges)
     first = without_cycle_behind(ids, inner, phases)
     behind = subgraph(Graph(ids, inner), cut(left(ids, first)))
     second = without_cycle_behind(behind.vertices, transpose(behind.edges), phases)
