@@ -123,6 +123,8 @@ def slide(places: DataFrame, starts: DataFrame, keys: list[str], values) -> Data
     can hold. A shingle is in the windows that begin after its last place before, and not n_places before its own: it is
     added where these begin and taken off behind them, and running sums give every window, in a time that grows with the
     places alone. A group has as many rows as an item has words, times four at most."""
+    # dealt by group once, while rows are narrow; sums of many columns are never shuffled
+    places, starts = places.repartition(*keys), starts.repartition(*keys)
     n, g, p = F.col("n_places"), F.col("g"), F.col("p")
     before = F.lag("p").over(W.partitionBy(*keys, "x").orderBy("p"))
     ends = places.select(*keys, "x", (F.greatest(p - n, g * n - 1, before) + 1).alias("low"), (F.least(p, (g + 1) * n - 1) + 1).alias("past")).where("low < past")
@@ -165,12 +167,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, percent: int = PERC
     near = cut(near.withColumn("need", need).where(F.size("ps") >= F.col("need")), "leak-hits")
     window = ["doc", "n_words", "g"]
     starts = near.select(*window, F.explode(_starts()).alias("s")).distinct()
-    # the shingles of the documents in question, by place, and of these what the groups' windows can hold
+    # the shingles of the documents in question, of these only what the groups' windows can hold; they stay where the texts are
     keys = near.select(F.col("doc.key").alias("of")).distinct()
     texts = only(keyed.withColumn("key", F.col("doc.key")), "key", keys, "of").dropDuplicates(["doc"])
-    places = cut(texts.select("doc", F.posexplode(weighted_places(words, n)).alias("p", "x")), "leak-places")
-    lengths = near.select("doc", "n_words", "n_places").distinct()
-    held = places.join(lengths, "doc").select("doc", "n_words", "n_places", "p", "x", F.explode(F.array(own, own - 1)).alias("g")).join(near.select(*window).distinct(), window, "left_semi")
+    groups = near.select(*window, "n_places").distinct()
+    begin = F.col("g") * F.col("n_places")
+    inside = texts.select("doc", weighted_places(words, n).alias("xs")).join(groups, "doc").select(*window, "n_places", begin.alias("begin"), F.posexplode(F.slice("xs", begin + 1, F.col("n_places") * 2)).alias("k", "x"))
+    held = cut(inside.select(*window, "n_places", (F.col("begin") + F.col("k")).alias("p"), "x"), "leak-places")
     sums = slide(held, starts, window, lambda x, w: {"own": w} | {f"c{k}": c for k, c in enumerate(_packs(x, w))})
     prints = cut(sums.select(*window, "s", "own", _print(F.col("own")).alias("fp")), "leak-prints")
     # Hamming neighbours: the items' blocks with all small differences, against the windows' blocks
@@ -181,7 +184,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, percent: int = PERC
     pairs = cut(met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("doc", "item", "item_id", "g", "s", "own", "w_item").distinct(), "leak-pairs")
     # exact: the weight that window and item share, from the places of the item's shingles
     both = ["doc", "item", "g"]
-    shared = near.select(*both, "n_places", F.explode("ps").alias("p")).join(pairs.select(*both).distinct(), both, "left_semi").join(places, ["doc", "p"])
+    asked = near.select(*both, "n_words", F.explode("ps").alias("p")).join(pairs.select(*both).distinct(), both, "left_semi")
+    shared = asked.join(held, [*window, "p"]).select(*both, "n_places", "p", "x")
     judged = slide(shared, pairs.select(*both, "s").distinct(), both, lambda x, w: {"shared": w}).join(pairs, [*both, "s"])
     union = F.col("own") + F.col("w_item") - F.col("shared")
     found = judged.where(F.col("shared") * 100 >= union * percent).select("doc.doc_id", "item_id", "s", (F.col("shared") / union).alias("similarity"))

@@ -726,3 +726,21 @@ def test_chat_branches(spark):
     got = chat.format_paths(tree, top=2).orderBy("rank").collect()
     assert [r["text"] for r in got] == ["<s>[INST] q</s><s>[OUT] good</s><s>[INST] more</s>", "<s>[INST] q</s><s>[OUT] bad</s>"]
     assert [[tuple(s) for s in r["loss_spans"]] for r in got] == [[(24, 28)], [(24, 27)]]
+
+
+def test_decontamination_writes_the_places_near_an_item_only(spark, monkeypatch):
+    """Of a document of 5,000 words, what windows around its leak can hold; all of its places were written and joined before."""
+    words = [f"w{i}" for i in range(5000)]
+    item = [f"i{i}" for i in range(20)]
+    written, real = {}, decontaminate.cut
+
+    def counting(df, name):
+        out = real(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(decontaminate, "cut", counting)
+    docs = spark.createDataFrame([(1, " ".join(words[:3000] + item + words[3000:])), (2, " ".join(words))], "doc_id long, text string")
+    got = decontaminate.leaks(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert [tuple(r) for r in got] == [(1, 7, 1.0, 3000)]
+    assert 0 < written["leak-places"] <= 4 * 20
