@@ -256,6 +256,26 @@ def test_nearest_holds_a_tile_of_distances_only():
     assert len(src) == 2 * 8192 and (src != dst).all() and peak < 256 << 20
 
 
+@pytest.mark.parametrize("top", [2**22 - 1, 2**22 + 1])
+def test_nearest_in_singles_at_their_limit(top):
+    """Squares of vectors just under the limit of singles, and just over it, where doubles follow; most distances are odd."""
+    side = math.isqrt(top // 2)
+    r = np.random.default_rng(top)
+    x = np.stack([side - r.integers(0, 3, 60), -side + r.integers(0, 3, 60)], 1) * r.choice([-1, 1], (60, 1))
+    ids = np.arange(60, dtype=np.int64)
+    assert set(zip(*(c.tolist() for c in relational._nearest(x, ids, x, ids, 3, tile=16)), strict=True)) == _brute(x, ids, 3)
+
+
+def test_nearest_takes_singles():
+    """A tile of distances in singles is 16 MB; in doubles it was 32, twice."""
+    x, ids = np.random.default_rng(1).integers(-700, 700, (8192, 8)), np.arange(8192)
+    tracemalloc.start()
+    relational._nearest(x, ids, x, ids, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20
+
+
 @pytest.mark.parametrize("block", [100, 8192])
 def test_knn_of_blocks(spark, tmp_path, block):
     """700 vectors in seven blocks, or in two; each is sent as often as there are blocks, and once more."""
