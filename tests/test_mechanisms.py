@@ -135,6 +135,32 @@ def test_a_hop_does_not_shuffle_edges(spark):
     assert not spark.catalog.tableExists(name)
 
 
+def test_jobs_grow_over_few_edges(spark):
+    """A path of 60: jobs of 4, 8 and 16 hops, where 15 of 4 would do; beyond the rows that are broadcast, jobs stay at 4."""
+    g = graph(spark, 60, [(k, k + 1) for k in range(59)])
+    phases = loop.Phases()
+    assert dict(rows(traverse.bfs(g.edges, spark.range(1), phases=phases), "id", "dist")) == {k: k for k in range(60)}
+    assert [r[4 - 1] for r in phases.rows] == [4, 8, 16, 16, 16]
+    kept = g.edges
+    kept._quill_rows = loop.BROADCAST_ROWS + 1
+    assert [loop.hops_ahead(kept, n, None, 8) for n in (10, loop.BROADCAST_ROWS + 1)] == [4, 1]
+
+
+@pytest.mark.parametrize("name", ["two_cycles", "self_loop", "depth1_dag", "random"])
+def test_both_ways_by_one_search(spark, name):
+    n, edges = CASES[name]
+    g = graph(spark, n, edges)
+    for hops in (None, 1):
+        ahead, behind = traverse.reach_both(g.edges, spark.range(1), hops)
+        assert sorted(r.id for r in ahead.collect()) == sorted(reached(n, edges, 0))
+        assert sorted(r.id for r in behind.collect()) == sorted(reached(n, [(b, a) for a, b in edges], 0))
+    named = loop.cut(traverse.numbered(spark.range(0, n, 3)))
+    both = loop.cut(traverse.packed_both(g.edges, named))
+    for back, direction in ((False, "out"), (True, "in")):
+        got = both.where(both.back == back).select("id", "block", "bits")
+        assert decompose.differing(got, traverse.packed_reach(g.edges, named, direction=direction)).isEmpty()
+
+
 def test_pull(spark):
     n, edges = 60, [(random.Random(i).randrange(60), random.Random(i + 99).randrange(60)) for i in range(90)] + [(0, i) for i in range(30)]
     g = graph(spark, n, edges)
