@@ -66,7 +66,8 @@ def by_decomposition(g: Graph, beta: float = 0.5, phases: Phases | None = None)
 
     A decomposition contracts each cluster to its centre; what is left are the edges between clusters, and they are
     decomposed again, in another random order, until there are none. So the rounds follow the logarithm of the vertices
-    and not the diameter. Cluster trees are the forest: every edge between contracted vertices remembers the least edge of
+    and not the diameter. beta is that of the first decomposition; the k-th takes beta / k, as fewer edges are left for its
+    longer searches: each then cuts a smaller share of them, where one beta cuts the same share every time. Cluster trees are the forest: every edge between contracted vertices remembers the least edge of
     the graph that it stands for. phases gets a row for each contraction: the clusters' edges, and those left between them."""
     plain = g.edges.where("src <> dst").select("src", "dst").distinct()
     both = plain.unionByName(plain.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -76,7 +77,7 @@ def by_decomposition(g: Graph, beta: float = 0.5, phases: Phases | None = None)
     while n:
         level += 1
         ends = edges.select(F.col("src").alias("id")).distinct()
-        clusters = cut(ldd(Graph(ends, edges.select("src", "dst"), True), beta, prio=priorities(ends, salt=level)))
+        clusters = cut(ldd(Graph(ends, edges.select("src", "dst"), True), beta / level, prio=priorities(ends, salt=level), simple=True))
         up = clusters.where("id <> parent").select(F.col("id").alias("below"), "parent")
         taken.append(cut(edges.join(up, (F.col("src") == F.col("parent")) & (F.col("dst") == F.col("below"))).select("w.src", "w.dst")))
         a, b = clusters.select(F.col("id").alias("i"), F.col("center").alias("a")), clusters.select(F.col("id").alias("j"), F.col("center").alias("b"))

@@ -132,13 +132,14 @@ def certificate(g: Graph, lists: DataFrame, prio: DataFrame | None = None) -> Da
     return count("own", own).unionByName(count("unfounded", unfounded)).unionByName(count("order", order)).unionByName(count("missing", missing))
 
 
-def ldd(g: Graph, beta: float = 0.2, hops: int = HOPS, prio: DataFrame | None = None) -> DataFrame:
+def ldd(g: Graph, beta: float = 0.2, hops: int = HOPS, prio: DataFrame | None = None, simple: bool = False) -> DataFrame:
     """id, center, parent: each vertex joins the centre whose start plus distance is least (ties: priority), and hangs below a neighbour that is one hop nearer to it.
 
-    Vertices start in the order of their priority, exponentially many a round: the one of priority p at ceil(ln(p + 1) / beta)."""
+    Vertices start in the order of their priority, exponentially many a round: the one of priority p at ceil(ln(p + 1) / beta).
+    simple: g's edges are a written table without self-loops or parallel edges, which isn't written again."""
     prio = cut(prio if prio is not None else priorities(g.vertices))
     start = prio.select("id", F.struct(F.ceil(F.log(F.col("prio") + 1.0) / beta).cast("int").alias("arrival"), "prio").alias("key"))
-    plain = cut(g.edges.where("src <> dst").select("src", "dst").distinct())
+    plain = g.edges if simple else cut(g.edges.where("src <> dst").select("src", "dst").distinct())
     later = lambda key: F.struct((key["arrival"] + 1).alias("arrival"), key["prio"].alias("prio"))
     now = cut(least(plain, start, "key", later, hops))
     at = now.select(F.col("id").alias("i"), F.col("key").alias("k"))

@@ -84,6 +84,14 @@ def test_decomposition_of_a_path_takes_few_contractions(spark):
     assert len(phases.rows) <= 2 * math.log2(n) and phases.rows[-1][2] == 0
 
 
+def test_many_small_components_take_few_contractions(spark):
+    n, phases = 3000, loop.Phases()
+    edges = [(i, i + 1) for i in range(0, n, 2)]
+    comp, forest = cc.by_decomposition(graph(spark, n, edges), beta=1.0, phases=phases)
+    assert dict(rows(comp, "id", "comp")) == {i: i - i % 2 for i in range(n)} and sorted(rows(forest, "src", "dst")) == edges
+    assert len(phases.rows) <= 6
+
+
 def both(edges):
     return sorted({(a, b) for x, y in edges for a, b in ((x, y), (y, x)) if a != b})
 
