@@ -17,19 +17,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Graph
-from ..plans.loop import Phases, counted, cut, drop
+from ..plans.loop import Phases, apart, counted, cut, drop
 from .construct import subgraph, transpose
 
 
-def path_roots(ups: DataFrame) -> DataFrame:
+def path_roots(ups: DataFrame, rows: int | None = None) -> DataFrame:
     """id, root of ups(id, up), where each id has one up: the first up that is no id itself; null on a cycle of ups, and behind one.
 
     Each job doubles how far pointers go. One that brings none of them to a root says that the others never get to one: of
-    those that would, the nearest would have got there."""
+    those that would, the nearest would have got there. rows: how many ups there are, if that is known."""
     now, before = cut(ups.select("id", "up", F.lit(True).alias("open"))), None
     while True:
         ahead = now.select(F.col("id").alias("at"), F.col("up").alias("next"))
-        moved = now.join(ahead, F.col("up") == F.col("at"), "left").select("id", F.coalesce("next", "up").alias("up"), F.col("at").isNotNull().alias("open"))
+        moved = now.join(apart(ahead, rows), F.col("up") == F.col("at"), "left").select("id", F.coalesce("next", "up").alias("up"), F.col("at").isNotNull().alias("open"))
         after, seen = counted(moved, n=F.count_if("open"))
         drop(now)
         now = after
@@ -40,14 +40,14 @@ def path_roots(ups: DataFrame) -> DataFrame:
 
 def without_cycle_behind(vertices: DataFrame, edges: DataFrame, phases: Phases | None = None) -> DataFrame:
     """id: the vertices that no cycle leads to. phases gets a row for each round: what it settled, and what it left."""
-    todo = cut(vertices.select("id").distinct())
+    todo, left = cut(vertices.select("id").distinct()), None
     # an edge without a source comes from a vertex that stays
     now = cut(edges.where("src <> dst").select("src", "dst").distinct())
-    rounds: list[DataFrame] = []
+    rounds: list[tuple[DataFrame, int]] = []
     while True:
         ways = now.groupBy("dst").agg(F.count("*").alias("n"), F.min("src").alias("up"), F.bool_or(F.col("src").isNull()).alias("fed"))
         kind = F.when(F.col("fed"), "stays").when(F.col("n").isNull(), "goes").when(F.col("n") == 1, "one").otherwise("many")
-        state, seen = counted(todo.join(ways, F.col("id") == F.col("dst"), "left").select("id", "up", kind.alias("kind")), n=F.count("*"), many=F.count_if(F.col("kind") == "many"), one=F.count_if(F.col("kind") == "one"))
+        state, seen = counted(todo.join(apart(ways, left), F.col("id") == F.col("dst"), "left").select("id", "up", kind.alias("kind")), n=F.count("*"), many=F.count_if(F.col("kind") == "many"), one=F.count_if(F.col("kind") == "one"))
         drop(todo)
         if phases:
             phases.note("peel", seen["n"] - seen["many"], seen["many"])
@@ -56,28 +56,28 @@ def without_cycle_behind(vertices: DataFrame, edges: DataFrame, phases: Phases |
             break
         fates = state.where("kind <> 'one'").select("id", "kind", F.when(F.col("kind") == "many", F.col("id")).alias("to"))
         if seen["one"]:
-            roots = path_roots(state.where("kind = 'one'").select("id", "up"))
+            roots = path_roots(state.where("kind = 'one'").select("id", "up"), seen["one"])
             ends = state.select(F.col("id").alias("r"), F.col("kind").alias("end"))
             settled = F.when(F.col("root").isNull(), "stays").otherwise(F.col("end"))
-            linked = roots.join(ends, F.col("root") == F.col("r"), "left").select("id", settled.alias("kind"), F.when(F.col("end") == "many", F.col("root")).alias("to"))
+            linked = roots.join(apart(ends, seen["n"]), F.col("root") == F.col("r"), "left").select("id", settled.alias("kind"), F.when(F.col("end") == "many", F.col("root")).alias("to"))
             fates = fates.unionByName(linked)
         fates = cut(fates)
-        rounds.append(fates)
-        todo = cut(state.where("kind = 'many'").select("id"))
+        rounds.append((fates, seen["n"]))
+        todo, left = cut(state.where("kind = 'many'").select("id")), seen["many"]
         drop(state)
         if not seen["many"]:
             drop(now)
             break
-        into = now.join(todo.select(F.col("id").alias("t")), F.col("dst") == F.col("t"), "left_semi")
+        into = now.join(apart(todo.select(F.col("id").alias("t")), left), F.col("dst") == F.col("t"), "left_semi")
         source = F.when((F.col("kind") == "many") & (F.col("to") != F.col("dst")), F.col("to"))  # a path that ends where it began is a cycle
-        after = cut(into.join(fates.where("kind <> 'goes'"), F.col("src") == F.col("id")).select(source.alias("src"), "dst").distinct())
+        after = cut(into.join(apart(fates.where("kind <> 'goes'"), seen["n"]), F.col("src") == F.col("id")).select(source.alias("src"), "dst").distinct())
         drop(now)
         now = after
     gone = None
-    for fates in reversed(rounds):
+    for fates, n in reversed(rounds):
         own = fates.where("kind = 'goes'").select("id")
         if gone is not None:
-            own = own.unionByName(fates.join(gone.select(F.col("id").alias("g")), F.col("to") == F.col("g"), "left_semi").select("id"))
+            own = own.unionByName(fates.join(apart(gone.select(F.col("id").alias("g")), n), F.col("to") == F.col("g"), "left_semi").select("id"))
         after = cut(own)
         drop(fates, *([gone] if gone is not None else []))
         gone = after
@@ -90,11 +90,11 @@ def trim(g: Graph, phases: Phases | None = None) -> tuple[DataFrame, Graph]:
     edges = g.edges.where("src <> dst")
 
     def left(among: DataFrame, gone: DataFrame) -> DataFrame:
-        return among.join(gone.select(F.col("id").alias("gone")), F.col("id") == F.col("gone"), "left_anti")
+        return among.join(apart(gone.select(F.col("id").alias("gone"))), F.col("id") == F.col("gone"), "left_anti")
 
-    inner = cut(subgraph(Graph(ids, edges), ids).edges)
+    inner = cut(subgraph(Graph(ids, edges), apart(ids)).edges)
     first = without_cycle_behind(ids, inner, phases)
-    behind = subgraph(Graph(ids, inner), cut(left(ids, first)))
+    behind = subgraph(Graph(ids, inner), apart(cut(left(ids, first))))
     second = without_cycle_behind(behind.vertices, transpose(behind.edges), phases)
     keep = cut(left(behind.vertices, second))
-    return first.unionByName(second), Graph(keep, subgraph(behind, keep).edges, g.symmetric)
+    return first.unionByName(second), Graph(keep, subgraph(behind, apart(keep)).edges, g.symmetric)

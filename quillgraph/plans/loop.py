@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 #: Hops that one job of a traversal takes from a small frontier, unless it is told how many, and those that later jobs come to where all edges are few.
 HOPS, FAR = 4, 16
+#: Rows beyond which apart() keeps the side of a join from the driver.
+APART_ROWS = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -131,3 +133,8 @@ def hops_ahead(kept: DataFrame, n: int, hops: int | None, before: int) -> int:
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if its known number of rows allows it."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def apart(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df as the side of a join that never goes through the driver, as Spark's own broadcasts do, unless its known number of rows is small."""
+    return df if rows is not None and rows <= APART_ROWS else df.hint("merge")

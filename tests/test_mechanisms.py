@@ -319,3 +319,10 @@ def test_knn_of_blocks(spark, tmp_path, block):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {(e.src, e.dst) for e in relational.knn(spark, str(tmp_path), 2, block).edges.collect()}
     assert got == {(s, t) for s, t, _ in _brute(np.round(x * 1000).astype(int), np.array(ids), 2)}
+
+
+def test_wide_joins_of_trimming_keep_off_the_driver(spark):
+    n, edges = 60, [(i, i + 1) for i in range(59)] + [(20, 10), (45, 40)]
+    gone, rest = peel.trim(graph(spark, n, edges))
+    assert {x["id"] for x in gone.collect()} == set(range(10)) | set(range(46, 60))
+    assert "BroadcastHashJoin" not in rest.edges._jdf.queryExecution().executedPlan().toString()
