@@ -28,9 +28,9 @@ def _labels(edges: DataFrame) -> DataFrame:
     """id, label of every vertex of edges(u, v) that isn't the least of its component."""
     now, mark = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), None
     while True:
-        after = cut(_stars(now))
+        after, seen = counted(_stars(now), n=F.count("*"), h=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
         drop(now)
-        now, before, mark = after, mark, after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now, before, mark = after, mark, seen
         if mark == before:
             return now.select(F.col("u").alias("id"), F.col("v").alias("label"))
 

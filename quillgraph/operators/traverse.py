@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.loop import Phases, by_source, counted, cut, drop, hops_ahead, near, small, together
-from .construct import restrict, transpose
+from .construct import both_ways, restrict, transpose
 
 
 def _oriented(edges: DataFrame, direction: str) -> DataFrame:
@@ -144,11 +144,6 @@ def packed_reach(edges: DataFrame, sources: DataFrame, part: DataFrame | None =
     return together(parts).groupBy("id", "block").agg(F.bit_or("bits").alias("bits"))
 
 
-def _both_ways(edges: DataFrame) -> DataFrame:
-    """src, dst, back: edges, and reversed ones as the other side."""
-    return edges.select("src", "dst", F.lit(False).alias("back")).unionByName(transpose(edges).withColumn("back", F.lit(True)))
-
-
 def _either_way() -> Column:
     return F.explode(F.array(F.lit(False), F.lit(True))).alias("back")
 
@@ -156,14 +151,14 @@ def _either_way() -> Column:
 def reach_both(edges: DataFrame, sources: DataFrame, hops: int | None = None) -> tuple[DataFrame, DataFrame]:
     """id of what sources(id) reach, and id of what reaches them, themselves included in both; by the same jobs."""
     start = sources.select("id").distinct().select("id", _either_way(), F.lit(True).alias("seen"))
-    found = together(spread(_both_ways(edges), start, ["id", "back"], "seen", F.bool_or, lambda fresh, known: F.when(known.isNull(), fresh), hops=hops, side="back"))
+    found = together(spread(both_ways(edges), start, ["id", "back"], "seen", F.bool_or, lambda fresh, known: F.when(known.isNull(), fresh), hops=hops, side="back"))
     return found.where("not back").select("id"), found.where("back").select("id")
 
 
 def packed_both(edges: DataFrame, sources: DataFrame, hops: int | None = None, phases: Phases | None = None) -> DataFrame:
     """id, back, block, bits: packed_reach() along the edges (back is false) and against them, by the same jobs."""
     start = sources.select(F.col("source").alias("id"), _either_way(), "block", F.expr("shiftleft(1L, bit)").alias("bits"))
-    parts = spread(_both_ways(edges), start, ["id", "back", "block"], "bits", F.bit_or, _news, hops=hops, phases=phases, side="back")
+    parts = spread(both_ways(edges), start, ["id", "back", "block"], "bits", F.bit_or, _news, hops=hops, phases=phases, side="back")
     return together(parts).groupBy("id", "back", "block").agg(F.bit_or("bits").alias("bits"))
 
 

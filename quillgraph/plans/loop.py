@@ -48,7 +48,12 @@ def counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]
     df.write.parquet(path)
     out = df.sparkSession.read.schema(schema).parquet(path)
     out._quill_path = path
-    return out, seen.get if seen else {}
+    return out, observed(seen) or out.agg(*[c.alias(name) for name, c in counts.items()]).first().asDict() if seen else {}
+
+
+def observed(seen: Observation) -> dict[str, int]:
+    """What was observed; empty if Spark found that there is no row at all, and left the observing out."""
+    return seen.get if seen._jo.getRow().size() else {}
 
 
 def drop(*frames: DataFrame) -> None:
@@ -91,7 +96,7 @@ def dealt(df: DataFrame, key: str) -> DataFrame:
     # one file for each bucket: rows are dealt before they are written
     df.observe(seen, F.count("*").alias("n")).repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
     out = spark.table(name)
-    out._quill_path, out._quill_table, out._quill_rows = path, name, seen.get["n"]
+    out._quill_path, out._quill_table, out._quill_rows = path, name, observed(seen).get("n", 0)
     return out
 
 

@@ -38,6 +38,29 @@ def test_batched_components_of_many_cycles(spark):
         scc.scc(g, method="other")
 
 
+def test_contracted_components(spark):
+    """Edges with their reverse make most of the components, one of them long; dangling paths lead in and out."""
+    n = 60
+    edges = [e for i in range(39) for e in ((i, i + 1), (i + 1, i))] + [(40, 5), (7, 41), (41, 42), (43, 44), (44, 43), (44, 45), (45, 46), (46, 43), (39, 43)]
+    edges += [(47, 48), (48, 49), (49, 50), (50, 47), (50, 51), (51, 52), (3, 3), (5, 6), (52, 53)]
+    phases = loop.Phases()
+    assert dict(rows(scc.scc(graph(spark, n, edges), phases), "id", "comp")) == sccs(n, edges)
+    assert ("mutual edges", 40) in {(x[0], x[1]) for x in phases.rows} and sum(x[1] for x in phases.rows) == n
+
+
+def test_trimming_takes_few_jobs(spark, monkeypatch):
+    """A path of 60 vertices to a cycle and one of 60 from it; edges whose ends are no vertices hold nothing."""
+    n, jobs = 124, []
+    edges = [(i, i + 1) for i in range(122)] + [(62, 60), (62, 60), (123, 123), (200, 0), (122, 200), (200, 123), (123, 200)]
+    for name in ("cut", "counted"):
+        real = getattr(loop, name)
+        monkeypatch.setattr(construct, name, lambda *x, _real=real, **y: jobs.append(0) or _real(*x, **y))
+    gone, rest = construct.trim(graph(spark, n, edges), iterate=True)
+    assert rows(rest.vertices, "id") == [(60,), (61,), (62,)] and rows(rest.edges, "src", "dst") == [(60, 61), (61, 62), (62, 60), (62, 60)]
+    assert rows(gone, "id") == [(i,) for i in range(n) if i not in (60, 61, 62)]
+    assert len(jobs) <= 12
+
+
 def test_batched_components_of_a_torus(spark):
     g = relational.torus(spark, 8)
     edges = [(r["src"], r["dst"]) for r in g.edges.collect()]
