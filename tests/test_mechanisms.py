@@ -10,7 +10,7 @@ from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 
 from quillgraph.model import Graph
-from quillgraph.operators import cc, construct, decompose, peel, pull, scc, traverse
+from quillgraph.operators import cc, construct, decompose, pairs, peel, pull, scc, traverse
 from quillgraph.plans import loop
 from quillgraph.sources import csr, csr_source, relational
 
@@ -89,6 +89,29 @@ def test_packed_reach(spark):
     assert dict(rows(traverse.greatest_reaching(g.edges, g.vertices.selectExpr("id", "id label")), "id", "label")) == {v: max(s for w, s in want if w == v) for v in range(n)}
 
 
+def test_pairs_by_a_pivot(spark, monkeypatch):
+    """A component of 40 with paths in, out and around it, contracted pairs and another component: the search gets none of the pairs that go through the first."""
+    n, r, got = 70, random.Random(3), []
+    edges = [(i, (i + 1) % 40) for i in range(40)] + [(r.randrange(40), r.randrange(40)) for _ in range(40)] + [(i + 1, i) for i in range(0, 30, 2)]
+    edges += [(40, 41), (41, 42), (42, 0), (43, 41), (3, 44), (44, 45), (45, 46), (40, 47), (47, 46), (48, 49), (49, 48), (49, 44), (50, 50), (51, 52), (52, 53), (53, 51), (42, 51)]
+    real = pairs.packed_reach
+    monkeypatch.setattr(pairs, "packed_reach", lambda e, s: got.append(loop.cut(real(e, s))) or got[-1])
+    monkeypatch.setattr(pairs, "CHUNK", 4)
+    g = graph(spark, n, edges)
+    sources = [v for v in range(n) if v % 5]
+    found = rows(pairs.multi_reach(g.edges, spark.createDataFrame([(v,) for v in sources], "id long")), "id", "label")
+    assert found == sorted((v, s) for s in sources for v in reached(n, edges, s))
+    assert got[0].count() <= 60 < len(found) / 20
+
+
+def test_pairs_without_a_cycle_left(spark, monkeypatch):
+    """All in one contraction, which leaves no edge."""
+    monkeypatch.setattr(pairs, "CHUNK", 4)
+    n, edges = 20, [e for i in range(15) for e in ((i, i + 1), (i + 1, i))]
+    found = rows(pairs.multi_reach(graph(spark, n, edges).edges, spark.range(n)), "id", "label")
+    assert found == sorted((v, s) for s in range(n) for v in reached(n, edges, s))
+
+
 @pytest.mark.parametrize("name", ["two_cycles", "isolated", "dup_edges", "random"])
 def test_decomposition_components(spark, name):
     n, edges = CASES[name]
